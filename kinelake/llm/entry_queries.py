@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, packing
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
 from .quality_rules import quality_rules
@@ -13,6 +16,22 @@ from .quality_rules import quality_rules
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), path)
+    back = bpe.decode(tokens, path)
+    n_tokens = F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens")
+    return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end=1)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -22,7 +41,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op5_exact_dedup, op8_quality_rules]
+    found = [op1_bpe, op4_packing, op5_exact_dedup, op8_quality_rules]
     return {f.__name__: f for f in found}
 
 
