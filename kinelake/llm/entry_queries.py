@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, packing
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
+from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end=1)
 
@@ -41,7 +46,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_bpe, op4_packing, op5_exact_dedup, op8_quality_rules]
+    found = [op1_bpe, op2_quality_classifier, op4_packing, op5_exact_dedup, op8_quality_rules]
     return {f.__name__: f for f in found}
 
 
