@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, packing
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
+from .near_dedup import near_groups
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 
@@ -41,12 +42,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_bpe, op2_quality_classifier, op4_packing, op5_exact_dedup, op8_quality_rules]
+    found = [op1_bpe, op2_quality_classifier, op4_packing, op5_exact_dedup, op7_near_dedup, op8_quality_rules]
     return {f.__name__: f for f in found}
 
 
