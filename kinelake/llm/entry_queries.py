@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, langid, packing, sharding, url_filter, warc
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_groups
@@ -34,6 +34,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end=1)
 
@@ -42,6 +46,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -50,8 +58,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_bpe, op2_quality_classifier, op4_packing, op5_exact_dedup, op7_near_dedup, op8_quality_rules]
+    found = [op1_bpe, op2_quality_classifier, op3_sharding, op4_packing, op5_exact_dedup, op6_url_filter, op7_near_dedup, op8_quality_rules, op9_warc, op10_language_id]
     return {f.__name__: f for f in found}
 
 
@@ -62,4 +78,7 @@ def oracle_sql() -> dict[str, str]:
             g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from n group by 1)
             select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, n.text_sha256 from n join g using (text_sha256)
         """,
+        "op3_sharding": sharding.oracle_sql(),
+        "op9_warc": warc.oracle_sql(),
+        "op6_url_filter": url_filter.oracle_sql(),
     }
