@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align_queries
+from . import align_queries, pose_queries
 
-MODULES = (align_queries,)
+MODULES = (align_queries, pose_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
