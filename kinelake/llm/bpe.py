@@ -28,7 +28,9 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 #: Words that a worker remembers; beyond it the table starts anew, which changes the time and never the result.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
+#: Texts whose new words are encoded together, and the longest word (in bytes) that goes with others.
+BLOCK, SHORT = 256, 64
 #: Rows and bytes of the record batches that a worker gives back.
 ROWS_OUT, BYTES_OUT = 512, 8 << 20
 NONE = 1 << 62
@@ -101,16 +103,63 @@ class Merges:
         return [x for x, lives in zip(ids, alive) if lives]
 
 
-class _Words(dict):
-    """Word -> packed ids, filled on demand."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.encode(word)
-        return out
+class Forest:
+    """The same trees for many words of up to ``SHORT`` symbols at once: row r of each array belongs to word r."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]], size: int):
+        self.size = size
+        keys = np.array([a * size + b for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rank = np.append(np.array([r for r, _ in ranks.values()], np.int64)[order], 0)
+        self.merged = np.zeros(1 + max((r for r, _ in ranks.values()), default=0), np.int64)
+        for r, m in ranks.values():
+            self.merged[r] = m
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+        """(rank, place) of each pair; NONE where it has no rank or an end is missing (-1)."""
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        known = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.rank[at] << bits | place, NONE)
+
+    def apply(self, symbols: np.ndarray) -> np.ndarray:
+        """Merges each row in place; -1 stands behind a word's end, and where a symbol went into its left one."""
+        n, width = symbols.shape
+        if width < 2:
+            return symbols
+        bits = (width - 2).bit_length() if width > 2 else 1
+        size = 1 << bits
+        tree = np.full((n, 2 * size), NONE, np.int64)
+        place = np.arange(width - 1)
+        tree[:, size : size + width - 1] = self.leaves(symbols[:, :-1], symbols[:, 1:], place[None, :], bits)
+        for k in range(size - 1, 0, -1):
+            np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+        symbols = np.concatenate([symbols, np.full((n, 1), -1)], axis=1)  # a last column that stays empty
+        after = np.broadcast_to(np.minimum(np.arange(1, width + 2), width), (n, width + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
+        rows = np.flatnonzero(tree[:, 1] < NONE)
+        while len(rows):
+            root = tree[rows, 1]
+            i = root & (size - 1)
+            j = after[rows, i]
+            symbols[rows, i] = self.merged[root >> bits]
+            symbols[rows, j] = -1
+            k = after[rows, j]
+            after[rows, i] = k
+            before[rows, k] = i
+            h = before[rows, i]
+            tree[rows, size + i] = self.leaves(symbols[rows, i], symbols[rows, k], i, bits)
+            inner = j < size  # the last symbol begins no pair
+            tree[rows[inner], size + j[inner]] = NONE
+            led = h >= 0
+            tree[rows[led], size + h[led]] = self.leaves(symbols[rows[led], h[led]], symbols[rows[led], i[led]], h[led], bits)
+            for at in (size + i, size + np.where(inner, j, i), size + np.where(led, h, i)):
+                for _ in range(bits):
+                    at = at >> 1
+                    tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+            rows = rows[tree[rows, 1] < NONE]
+        return symbols[:, :-1]
 
 
 class WordBpe:
@@ -146,7 +195,9 @@ class WordBpe:
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.split = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.words = _Words(self.encode_word)
+        self.forest = Forest(self.merges.ranks, size)
+        self.full = None not in self.inner and None not in self.last  # each byte has its symbols
+        self.words: dict[str, bytes] = {}  # word -> packed ids
 
     def encode_word(self, word: str) -> bytes:
         raw = word.encode()
@@ -154,23 +205,75 @@ class WordBpe:
         ids.append(self.last[raw[-1]])
         return np.array(self.merges.apply([i for i in ids if i is not None]), "<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
+    def learn(self, words: list[str]) -> None:
+        """Fills the table of words."""
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            raw = word.encode()
+            if self.full and len(raw) <= SHORT:
+                by_size.setdefault(max(2, 1 << (len(raw) - 2).bit_length()) + 1 if len(raw) > 1 else 1, []).append((word, raw))
+            else:
+                self.words[word] = self.encode_word(word)
+        inner, last = (np.array(x if self.full else [], np.int64) for x in (self.inner, self.last))
+        for width, own in by_size.items():
+            sizes = np.array([len(raw) for _, raw in own])
+            flat = np.frombuffer(b"".join(raw for _, raw in own), np.uint8)
+            ids, ends = inner[flat], np.cumsum(sizes) - 1
+            ids[ends] = last[flat[ends]]
+            symbols = np.full((len(own), width), -1, np.int64)
+            symbols[np.arange(width)[None, :] < sizes[:, None]] = ids
+            symbols = self.forest.apply(symbols)
+            there = symbols >= 0
+            packed = symbols[there].astype("<u4").tobytes()
+            cuts = [0, *(4 * np.cumsum(there.sum(axis=1))).tolist()]
+            for (word, _), a, b in zip(own, cuts, cuts[1:]):
+                self.words[word] = packed[a:b]
+
+    def split_words(self, text: str) -> list[str]:
+        """The normalised words of a text without special tokens."""
         if text.isascii():
-            return b"".join(map(self.words.__getitem__, self.find_ascii(text.lower())))
+            return self.find_ascii(text.lower())
         if self.other(text):
-            return b"".join([self.words[w] for w, _ in self.split(self.normal(text))])
-        return b"".join(map(self.words.__getitem__, self.find(text.lower())))
+            return [w for w, _ in self.split(self.normal(text))]
+        return self.find(text.lower())
 
-    def encode(self, text: str | None) -> bytes:
-        """Packed ids of a whole text."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+    def pieces(self, text: str | None) -> list[list[str] | bytes]:
+        """Words, and between them the packed ids of special tokens."""
         if not text:
-            return b""
+            return []
         if self.special and "<|" in text:
-            pieces = self.special.split(text)
-            return b"".join(np.array([self.specials[p]], "<u4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(pieces))
-        return self._plain(text)
+            parts = self.special.split(text)
+            return [np.array([self.specials[p]], "<u4").tobytes() if k % 2 else self.split_words(p) for k, p in enumerate(parts)]
+        return [self.split_words(text)]
+
+    def encode_block(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        split = [self.pieces(t) for t in texts]
+        new: set[str] = set()
+        for parts in split:
+            for part in parts:
+                if isinstance(part, list):
+                    new.update(part)
+        self.learn([w for w in new if w not in self.words])
+        known = self.words.__getitem__
+        return [b"".join(part if isinstance(part, bytes) else b"".join(map(known, part)) for part in parts) for parts in split]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_block([text])[0]
+
+    def encode_all(self, rows: Iterator[tuple[int, str | None]]) -> Iterator[tuple[int, bytes]]:
+        """(id, packed ids) of (id, text), by blocks of bounded rows and characters."""
+        ids, texts, size = [], [], 0
+        for i, text in rows:
+            ids.append(i)
+            texts.append(text)
+            size += len(text or "")
+            if len(ids) >= BLOCK or size >= BYTES_OUT:
+                yield from zip(ids, self.encode_block(texts))
+                ids, texts, size = [], [], 0
+        yield from zip(ids, self.encode_block(texts))
 
     def decode(self, packed: bytes) -> str:
         """The tokens, joined by spaces: what the library gives for a file without a decoder."""
@@ -202,15 +305,21 @@ def out_batches(rows: Iterator[tuple], schema: pa.Schema, weight=len) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of two columns, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_OUT):
+            part = batch.slice(at, ROWS_OUT)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the packed ids of each whole text."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = load(path).encode
-        rows = ((i.as_py(), done(t.as_py())) for b in batches for i, t in zip(b.column(0), b.column(1)))
-        yield from out_batches(rows, schema)
+        yield from out_batches(load(path).encode_all(pairs(batches)), schema)
 
     return narrow.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
 
@@ -222,7 +331,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = load(path).decode
-        rows = ((i.as_py(), p := x.as_py() or b"", done(p)) for b in batches for i, x in zip(b.column(0), b.column(1)))
+        rows = ((i, p or b"", done(p or b"")) for i, p in pairs(batches))
         yield from out_batches(rows, schema)
 
     return narrow.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
