@@ -43,3 +43,45 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], time: str
 def seconds(t: Column) -> Column:
     """Epoch seconds as double, to the microsecond."""
     return F.unix_micros(t.cast("timestamp")) / F.lit(1e6)
+
+
+def nway_sync(streams: Sequence[tuple[str, DataFrame]], by: Sequence[str], time: str, tie: str, slop: float) -> DataFrame:
+    """Rows of the first stream with the nearest row of every other one, where all stamps lie within ``slop`` seconds.
+
+    Gives the first stream's rows with (name)_time and (name)_tie of the others, stamp (the newest) and skew (seconds).
+    """
+    _, out = streams[0]
+    times = [time]
+    for name, other in streams[1:]:
+        found = asof_nearest(out, other.select(*by, time, tie), by, time, tie, [tie], "_n_")
+        out = found.withColumnsRenamed({"_n_" + time: f"{name}_time", "_n_" + tie: f"{name}_tie"})
+        times.append(f"{name}_time")
+    out = out.dropna(subset=times[1:])
+    stamps = [F.col(t) for t in times]
+    newest, oldest = (F.greatest(*stamps), F.least(*stamps)) if len(stamps) > 1 else (stamps[0], stamps[0])
+    out = out.withColumn("stamp", newest).withColumn("skew", seconds(newest) - seconds(oldest))
+    return out.where(F.col("skew") <= slop)
+
+
+def common_window(df: DataFrame, by: Sequence[str], series: str, time: str, required: int) -> DataFrame:
+    """The time that all of ``required`` series cover: latest first stamp to earliest last stamp; valid if not empty."""
+    each = df.groupBy(*by, series).agg(F.min(time).alias("first"), F.max(time).alias("last"))
+    out = each.groupBy(*by).agg(F.max("first").alias("starts_at"), F.min("last").alias("ends_at"), F.count(F.lit(1)).alias("series"))
+    return out.withColumn("valid", (F.col("series") == required) & (F.col("ends_at") > F.col("starts_at")))
+
+
+def resolve_ranges(requests: DataFrame, files: DataFrame, by: Sequence[str], end: str, file_end: str, keep: Sequence[str]) -> DataFrame:
+    """Each request with one file of its key: the one with its exact end, else the only one, else the one with the
+    smallest end behind it, else the one with the largest end. Requests without a file keep nulls."""
+    few = files.withColumn("_files", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    joined = requests.join(few, list(by), "left")
+    e, want = F.col(file_end), F.col(end)
+    tier = F.when(e == want, 0).when(F.col("_files") == 1, 1).when(e > want, 2).otherwise(3)
+    near = F.when(e >= want, e).otherwise(-e)
+    rank = F.struct(tier.alias("tier"), near.alias("near"), *[F.col(k) for k in keep])
+    return joined.groupBy(*requests.columns).agg(F.min(F.when(e.isNotNull(), rank)).alias("_m")).select(*requests.columns, *[F.col(f"_m.{k}").alias(k) for k in keep], F.abs("_m.near").alias(file_end), F.col("_m.tier").alias("tier"))
+
+
+def complete_groups(df: DataFrame, by: Sequence[str], child: str, required: Sequence[str]) -> DataFrame:
+    """Keys that have every required child."""
+    return df.where(F.col(child).isin(list(required))).groupBy(*by).agg(F.countDistinct(child).alias("children")).where(F.col("children") == len(set(required)))
