@@ -17,10 +17,11 @@ def raw_window(ratio: int, images: int = 9, actions: int = 32, stride: int = 4)
 
 def clip_plan(segments: DataFrame, start: str, end: str, ratios: Sequence[int], **sizes: int) -> DataFrame:
     """Every clip start of every segment [start, end) at every ratio; segments that are too short have none."""
-    table = F.array(*[F.struct(F.lit(r).cast("long").alias("ratio"), F.lit(raw_window(r, **sizes)).cast("long").alias("span")) for r in ratios])
-    each = segments.withColumn("_r", F.explode(table)).where(F.col(end) - F.col(start) >= F.col("_r.span"))
-    starts = F.sequence(F.col(start).cast("long"), F.col(end).cast("long") - F.col("_r.span"))
-    return each.withColumn("clip_start", F.explode(starts)).select(*segments.columns, F.col("_r.ratio").alias("ratio"), F.col("_r.span").alias("span"), "clip_start")
+    images, actions, stride = sizes.get("images", 9), sizes.get("actions", 32), sizes.get("stride", 4)
+    each = segments.withColumn("ratio", F.explode(F.array(*[F.lit(r).cast("long") for r in ratios])))
+    each = each.withColumn("span", F.greatest((images - 1) * stride * F.col("ratio") + 1, (actions - 1) * F.col("ratio") + 1))
+    each = each.where(F.col(end) - F.col(start) >= F.col("span"))
+    return each.withColumn("clip_start", F.explode(F.sequence(F.col(start).cast("long"), F.col(end).cast("long") - F.col("span"))))
 
 
 def clip_frames(clips: DataFrame, images: int = 9, actions: int = 32, stride: int = 4) -> DataFrame:
