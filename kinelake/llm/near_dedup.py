@@ -6,10 +6,12 @@ each cost only 2 * side * half minhashes. At similarity s a pair shares some tab
 (1 - (1 - s ** half) ** side) ** 2: 0.9995 at 0.75 and 0.99993 at 0.8 with the defaults.
 
 Texts with the same shingle set are one node from the start (its smallest id). In each table's bucket the smallest node
-is the centre, and a node is compared with its centres, best one first; a pair counts only if the full shingle sets
-confirm it. What these links leave apart inside a bucket is then compared across: every node outside the bucket's
-largest component with each node of another component. So no candidate link between different components is lost, and
-a group of g near copies costs about g comparisons, not g * g.
+is the centre, and a node is compared with the centre that it shares most tables with; a pair counts only if the full
+shingle sets confirm it. Some buckets still hold several components then. Their nodes are compared across components
+wherever two share a shingle among the first quarter of their sets in one common order, rare shingles first, at places
+that leave room for the similarity asked for: an exact condition, which texts that share no more than a frequent passage
+fail. So no candidate link between different components is lost, a group of g near copies costs about g comparisons, and
+so do g texts with a common passage.
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, A-Z lower-cased.
 Defined results: a text with one to four words has one shingle; a null or blank text has none, links with nothing and is
@@ -35,6 +37,8 @@ WORDS, PERCENT, SIDE, HALF = 5, 75, 10, 2
 WORDS_KEPT = 400_000
 #: Pairs of one centre that one comparing task run takes.
 SALTED = 512
+#: Sets that must have a shingle for it to come late in the common order, and bits of the filter that says so.
+FREQUENT, FREQUENT_BITS = 8, 1 << 26
 _ODD = np.random.default_rng(2024).integers(1, 1 << 62, size=(64, 2), dtype=np.uint64) | np.uint64(1)
 #: Multipliers of the minhashes, as many as any side and half may ask for.
 _TIMES = np.random.default_rng(99).integers(1, 1 << 62, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,15 +129,15 @@ def _keys(sketches: DataFrame, side: int) -> DataFrame:
     return sketches.select(F.expr(f"explode({tensor})").alias("key"), "id")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as a written table.
 
     Pairs are gathered by centre: each run of rows has the centre's set first, then those of its partners, and a worker
     holds one centre and one record batch at a time. A centre of many pairs is dealt to several runs.
     """
     n = sets.select("id", "n").dropDuplicates(["id"])
     sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    sized = scratch.put(f"{label}-sized", sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
     runs = sized.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")).withColumn("runs", F.expr(f"cast(ceil(_pairs / {SALTED}) as int)"))
     dealt = join_groups(sized, runs, "a", "_pairs", how="inner").select("a", F.expr("pmod(xxhash64(b), runs)").cast("int").alias("run"), "b")
     full = sets.select("id", "found")
@@ -165,19 +169,69 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out_batches(compare(batches), schema, lambda _: 16)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return scratch.put(label, rows.mapInArrow(run, "a long, b long"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _exploded(sets: DataFrame) -> DataFrame:
+    """(shingle): one row for each shingle of each set."""
+    schema = pa.schema([("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for found in b.column(0):
+                all_of = np.frombuffer(found.as_py(), np.int64)
+                for at in range(0, len(all_of), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(all_of[at : at + (1 << 16)])], schema=schema)
+
+    return sets.select("found").mapInArrow(run, "shingle long")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, place): the part of each set, in the common order, that two similar sets must both touch.
+
+    The order puts shingles in the filter of frequent ones last. The filter is at most FREQUENT_BITS large, and any
+    order gives the same links.
+    """
+    often = _exploded(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FREQUENT}").select(F.pmod("shingle", F.lit(FREQUENT_BITS)).alias("w"))
+    slots = often.select(F.expr("w div 32768").alias("slot"), F.expr("w % 32768").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()
+    late = np.zeros(FREQUENT_BITS // 8, np.uint8)
+    for r in slots:
+        late[r["slot"] * 4096 : (r["slot"] + 1) * 4096] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(late)
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            for i, found in zip(b.column(0), b.column(1)):
+                own = np.frombuffer(found.as_py(), np.int64)
+                w = own % FREQUENT_BITS
+                order = np.argsort((bits[w >> 3] >> (w & 7).astype(np.uint8)) & 1, kind="stable")
+                length = len(own) - -(-percent * len(own) // 100) + 1
+                first = own[order[:length]]
+                columns = [first, np.full(length, i.as_py()), np.full(length, len(own)), np.arange(length)]
+                for at in range(0, length, 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], schema=schema)
+
+    return sets.select("id", "found").mapInArrow(run, "token long, id long, n long, place long")
+
+
+def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb, shared): pairs of different components that the prefixes leave possible, and their common tokens."""
+    own = prefixes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    tokens = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
+    kept = own.join(tokens.select("token"), "token", "left_semi")
+    a = kept.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("comp").alias("ca"))
+    b = kept.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("comp").alias("cb"))
+    room = f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+    return a.join(b, "token").where(room).groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components so far."""
     la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    joined = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return joined.where("coalesce(ca, a) != coalesce(cb, b)").drop("ca", "cb")
+    return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, side: int = SIDE, half: int = HALF) -> DataFrame:
@@ -200,31 +254,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = scratch.put("sets", _sets(mine, "id", "text", size))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     tried = scratch.put("tried1", best)
-    links = scratch.put("links1", _linked(tried, sets, percent))
+    links = _linked(tried, sets, percent, scratch, "links1")
     labels = components(links, scratch, "cc1")
-    rest = _apart(stars.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels)
-    tried2 = scratch.put("tried2", rest)
-    links2 = scratch.put("links2", _linked(tried2, sets, percent))
-    links = links.unionByName(links2)
-    labels = components(links, scratch, "cc2")
-    # Across the components that a bucket still holds.
-    labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", "id", "comp")
-    parts = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    # Two nodes in a bucket are a star, which has been compared.
-    mixed = scratch.put("mixed", mixed.where("comps > 1 and n > 2").select("key", "n", F.col("top.comp").alias("largest")))
+    # Buckets that still hold several components, but for those whose only pair has been compared.
+    labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
+    mixed = scratch.put("mixed", mixed.select("key", "members"))
     if mixed.take(1):
-        inside = scratch.put("inside", join_groups(labelled, mixed, "key", "n", how="inner").select("key", "id", "comp", (F.col("comp") == F.col("largest")).alias("main")))
-        few = inside.where("not main").select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-        across = few.join(inside.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), "main"), "key").where("ca != cb and (main or a < b)")
-        before = _ordered(tried.unionByName(tried2))
-        fresh = _ordered(across.select("a", "b")).join(before, ["a", "b"], "left_anti")
-        links = links.unionByName(scratch.put("links3", _linked(scratch.put("tried3", fresh), sets, percent)))
+        ids = join_groups(members.select("key", "id"), mixed, "key", "members", how="inner").select("id").distinct()
+        ids = scratch.put("open", ids)
+        some = scratch.put("open-sets", sets.join(ids, "id", "left_semi"))
+        pairs = _across(scratch.put("prefixes", _prefixes(some, percent)), labels, percent)
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = scratch.put("across", pairs.join(known, ["a", "b"], "left_anti"))
+        # One pair of two components often links them; the others follow only where it has not.
+        first = pairs.groupBy("ca", "cb").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m"))
+        tried2 = scratch.put("tried2", first.select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")))
+        links = links.unionByName(_linked(tried2, some, percent, scratch, "links2"))
+        labels = components(links, scratch, "cc2")
+        rest = _apart(pairs.select("a", "b").join(tried2, ["a", "b"], "left_anti"), labels)
+        links = links.unionByName(_linked(scratch.put("tried3", rest), some, percent, scratch, "links3"))
+        scratch.drop("prefixes")
         labels = components(links, scratch, "cc3")
     roots = groups.join(labels.select("node", "comp"), "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"), "copies")
     out = join_groups(sketches.where("id is not null and n > 0").select("id", "n", "digest"), roots, "digest", "copies", how="inner").select("id", "n", "component_id")
     out = out.unionByName(sketches.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
-    scratch.drop("sets", "members", "nodes")
+    scratch.drop("sets", "open-sets", "members", "nodes")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
