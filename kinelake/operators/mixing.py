@@ -42,10 +42,12 @@ def numbered(df: DataFrame, key: Sequence[str], seed: int, buckets: int = 64) ->
 
 def draw(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     """Exactly ``n`` rows with replacement: slots 0 .. n - 1 look rows up by number. An empty table is an error."""
+    if n and not df.take(1):
+        raise ValueError("a required source is empty")
     own = numbered(df, key, seed)
     size = own.agg(F.count(F.lit(1)).alias("_size"))
     slots = df.sparkSession.range(n).select(F.col("id").alias("slot")).join(F.broadcast(size))  # one row
-    picked = slots.withColumn("number", F.when(F.col("_size") > 0, F.pmod(F.xxhash64("slot", F.lit(seed)), F.col("_size"))).otherwise(F.raise_error(F.lit("a required source is empty"))))
+    picked = slots.withColumn("number", F.pmod(F.xxhash64("slot", F.lit(seed)), F.col("_size")))
     return picked.drop("_size").join(own, "number").drop("number")
 
 

@@ -81,10 +81,10 @@ def source_probe(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", layout.source_kind(F.col("url")).alias("kind"), F.round(k["fx"], 6).alias("fx"))
 
 
-@query(f"with {TRAJ} select vec_id, 16::int as "values", round(action[5], 6) + 0.0 as second from traj")
+@query(f"with {TRAJ} select vec_id, 16::int as n_values, round(action[5], 6) + 0.0 as second from traj")
 def response_flatten(spark, sf_dir):
     """A nested response [4, 2, 2] as rows of four channels."""
     t = trajectory(spark, sf_dir)
     grid = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda g: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda h: F.get("action", c * 4 + g * 2 + h))))
     rows = layout.flatten_response(grid, channels_first=True)
-    return t.select("vec_id", (F.size(rows) * F.size(F.get(rows, F.lit(0)))).alias("values"), rounded(F.get(F.get(rows, F.lit(0)), F.lit(1))).alias("second"))
+    return t.select("vec_id", (F.size(rows) * F.size(F.get(rows, F.lit(0)))).alias("n_values"), rounded(F.get(F.get(rows, F.lit(0)), F.lit(1))).alias("second"))

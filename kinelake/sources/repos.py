@@ -63,8 +63,9 @@ def write_repo(frames: DataFrame, path: str, fps: float) -> None:
 
 def find_repos(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(root): folders at or below the paths that hold a finished repository, each once, in order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(list(paths)).select("path")
-    return files.where(F.col("path").endswith("/meta/info/_SUCCESS")).select(F.regexp_replace("path", "/meta/info/_SUCCESS$", "").alias("root")).distinct().orderBy("root")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(list(paths)).select("path")
+    at = "/meta/info/part-[^/]*$"
+    return files.where(F.col("path").rlike(at)).select(F.regexp_replace("path", at, "").alias("root")).distinct().orderBy("root")
 
 
 def read_frames(spark: SparkSession, root: str) -> DataFrame:
