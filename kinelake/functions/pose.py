@@ -72,7 +72,7 @@ def quat_normalize(q: Column, canonical: bool = True) -> Column:
 
     def unit(u: Column) -> Column:
         sign = F.when(at(u, 0) < 0, -1.0).otherwise(1.0) if canonical else F.lit(1.0)
-        return let(sign / norm(u), lambda k: F.when(norm(u) > TINY, F.array(*[at(u, i) * k for i in range(4)])).otherwise(F.array(*map(F.lit, IDENTITY))))
+        return let(sign / F.greatest(norm(u), F.lit(TINY)), lambda k: F.when(norm(u) > TINY, F.array(*[at(u, i) * k for i in range(4)])).otherwise(F.array(*map(F.lit, IDENTITY))))
 
     return let(q, unit)
 

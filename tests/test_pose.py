@@ -71,7 +71,7 @@ def test_matrix_branches(spark):
 
 
 def identity16(**places):
-    v = [0.0, 0, 0, 1, 0, 0, 0, 0] * 2
+    v = [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0] * 2
     for k, x in places.items():
         v[int(k[1:])] = x
     return v
