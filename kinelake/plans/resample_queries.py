@@ -92,7 +92,8 @@ def slerp_resample(spark, sf_dir):
 @query("""select user_id, event_id, round((epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6::double, 3) + 0.0 as rel from events""")
 def rebase_time(spark, sf_dir):
     """Time since each user's first event."""
-    return resample.rebase(samples(spark, sf_dir), "t", ["user_id"], "rel").select("user_id", "event_id", rounded(F.col("rel"), 3).alias("rel"))
+    e = read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))  # whole microseconds: no digit is lost
+    return resample.rebase(e, "us", ["user_id"], "rel").select("user_id", "event_id", rounded(F.col("rel") / F.lit(1e6), 3).alias("rel"))
 
 
 def two_clock_resample(spark, sf_dir):
