@@ -215,7 +215,7 @@ def masked_loss(spark, sf_dir):
 @query("""with r as (select l_returnflag, (l_tax - l_discount) * 0.5 as rw, (l_discount - l_tax * 2) * 0.5 as rl, l_discount as s from lineitem),
     t as (select *, -0.5 * (-ln(1 + exp(-rw)) - ln(1 + exp(rw)) - ln(1 + exp(-rl)) - ln(1 + exp(rl))) + ln(1 + exp(-(rw - rl))) as p from r)
     select l_returnflag, round(avg(p), 8) as loss_pro, round(avg(s), 8) as loss_sft, round(avg(rw), 8) + 0.0 as reward_winner, round(avg(rl), 8) + 0.0 as reward_loser, round(avg(p) + avg(s), 8) as loss from t group by 1""")
-def rpro_loss(spark, sf_dir):
+def preference_objective(spark, sf_dir):
     """The preference objective on four per-row losses."""
     li = read(spark, sf_dir, "lineitem").withColumn("two_tax", F.col("l_tax") * 2)
     out = stats.preference_loss(li, "l_discount", "two_tax", "l_tax", "l_discount", by=["l_returnflag"])
