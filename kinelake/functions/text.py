@@ -56,8 +56,8 @@ def split_virtual(path: Column) -> tuple[Column, Column]:
 def rate(text: Column) -> Column:
     """A rate written as a/b or a number; null for 0/0, division by zero or other text."""
     parts = F.split(text, "/", 2)
-    top, under = F.expr("1").cast("double") * F.try_to_number(F.get(parts, F.lit(0)), F.lit("999999999999.999999")), F.try_to_number(F.get(parts, F.lit(1)), F.lit("999999999999.999999")).cast("double")
-    value = F.when(F.contains(text, F.lit("/")), F.try_divide(top.cast("double"), under)).otherwise(top.cast("double"))
+    top, under = (F.get(parts, F.lit(i)).try_cast("double") for i in range(2))
+    value = F.when(F.contains(text, F.lit("/")), F.try_divide(top, under)).otherwise(top)
     return F.when(value > 0, value)
 
 
