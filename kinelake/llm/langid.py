@@ -36,7 +36,6 @@ ROUNDS = 25
 #: Characters that are counted at a time: a long text goes in parts that overlap.
 SPAN = 1 << 20
 _not_letter = re.compile(r"[\W\d_]+")
-_has_letter = re.compile(r"[^\W\d_]").search
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -46,7 +45,7 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts by bucket over a whole text; None without a letter."""
-    if not text or not _has_letter(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     total = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(text), SPAN):
