@@ -28,7 +28,7 @@ from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
 #: Words that a worker remembers; beyond it the table starts anew, which changes the time and never the result.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 600_000
 #: Texts whose new words are encoded together, and the longest word (in bytes) that goes with others.
 BLOCK, SHORT = 256, 64
 #: Rows and bytes of the record batches that a worker gives back.

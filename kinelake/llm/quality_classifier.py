@@ -28,7 +28,7 @@ from .bpe import out_batches
 
 #: Size of the indicator space, and most labelled rows that the fit uses.
 DIMS, SAMPLE = 1 << 20, 5000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 #: Codes of a repeated word's shape and of the text's edges.
 AGAIN, EDGE = 0x9E3779B1, 0x85EBCA77
 
