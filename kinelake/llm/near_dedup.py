@@ -7,11 +7,12 @@ each cost only 2 * side * half minhashes. At similarity s a pair shares some tab
 
 Texts with the same shingle set are one node from the start (its smallest id). In each table's bucket the smallest node
 is the centre, and a node is compared with the centre that it shares most tables with; a pair counts only if the full
-shingle sets confirm it. Some buckets still hold several components then. Their nodes are compared across components
-wherever two share a shingle among the first quarter of their sets in one common order, rare shingles first, at places
-that leave room for the similarity asked for: an exact condition, which texts that share no more than a frequent passage
-fail. So no candidate link between different components is lost, a group of g near copies costs about g comparisons, and
-so do g texts with a common passage.
+shingle sets confirm it. Nodes that stay outside their buckets' largest components try a few other centres there. Some
+buckets still hold several components then. Their nodes are compared across components wherever two share a shingle
+among the first quarter of their sets in one common order, rare shingles first, at places that leave room for the
+similarity asked for: an exact condition, which texts that share no more than a frequent passage fail. So no candidate
+link between different components is lost. A group of g near copies costs about g comparisons; only where many texts
+lie just below the threshold from each other does the condition leave more.
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, A-Z lower-cased.
 Defined results: a text with one to four words has one shingle; a null or blank text has none, links with nothing and is
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
@@ -34,9 +35,11 @@ from .common import Scratch, bitmap_filter, join_groups, might_contain
 from .components import components
 
 WORDS, PERCENT, SIDE, HALF = 5, 75, 10, 2
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Pairs of one centre that one comparing task run takes.
 SALTED = 512
+#: Turns of other centres, and centres that a node tries in each.
+TURNS, TRIES = 2, 4
 #: Sets that must have a shingle for it to come late in the common order, and bits of the filter that says so.
 FREQUENT, FREQUENT_BITS = 8, 1 << 26
 _ODD = np.random.default_rng(2024).integers(1, 1 << 62, size=(64, 2), dtype=np.uint64) | np.uint64(1)
@@ -129,15 +132,17 @@ def _keys(sketches: DataFrame, side: int) -> DataFrame:
     return sketches.select(F.expr(f"explode({tensor})").alias("key"), "id")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as a written table.
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, label: str, fitting: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as a written table. ``fitting``: their sizes have been compared.
 
     Pairs are gathered by centre: each run of rows has the centre's set first, then those of its partners, and a worker
     holds one centre and one record batch at a time. A centre of many pairs is dealt to several runs.
     """
-    n = sets.select("id", "n").dropDuplicates(["id"])
-    sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    sized = scratch.put(f"{label}-sized", sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
+    sized = pairs
+    if not fitting:  # sets of too different sizes need no comparison
+        n = sets.select("id", "n").dropDuplicates(["id"])
+        sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        sized = scratch.put(f"{label}-sized", sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
     runs = sized.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")).withColumn("runs", F.expr(f"cast(ceil(_pairs / {SALTED}) as int)"))
     dealt = join_groups(sized, runs, "a", "_pairs", how="inner").select("a", F.expr("pmod(xxhash64(b), runs)").cast("int").alias("run"), "b")
     full = sets.select("id", "found")
@@ -217,14 +222,58 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb, shared): pairs of different components that the prefixes leave possible, and their common tokens."""
+    """Pairs (a, b) of different components that the prefixes leave possible."""
     own = prefixes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tokens = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
     kept = own.join(tokens.select("token"), "token", "left_semi")
     a = kept.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("comp").alias("ca"))
     b = kept.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("comp").alias("cb"))
     room = f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
-    return a.join(b, "token").where(room).groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
+    return a.join(b, "token").where(room).select("a", "b").distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, comp) of the buckets' nodes; a node without a link is its own component."""
+    own = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    return own.select("key", "id", F.coalesce("comp", "id").alias("comp"))
+
+
+def _recentred(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): nodes outside their bucket's largest component with some node of it, at most TRIES of them each.
+
+    Which node of the component is the centre differs from bucket to bucket and turn to turn, so a centre that few others
+    resemble does not keep a group apart.
+    """
+    own = _labelled(members, labels)
+    parts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("pick"))
+    top = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("pick.h").alias("h"), F.col("pick.id").alias("id"), "comp")).alias("top"))
+    top = top.where("comps > 1").select("key", "members", F.col("top.id").alias("centre"), F.col("top.comp").alias("largest"))
+    pairs = join_groups(own, top, "key", "members", how="inner").where("comp != largest")
+    shared = pairs.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))  # a node is in side * side buckets at most
+    return shared.withColumn("_r", rank).where(F.col("_r") <= TRIES).select("a", "b")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, comp) of the buckets' nodes; a node without a link is its own component."""
+    own = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    return own.select("key", "id", F.coalesce("comp", "id").alias("comp"))
+
+
+def _recentred(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): nodes outside their bucket's largest component with some node of it, at most TRIES of them each.
+
+    Which node of the component is the centre differs from bucket to bucket and turn to turn, so a centre that few others
+    resemble does not keep a group apart.
+    """
+    own = _labelled(members, labels)
+    parts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("pick"))
+    top = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("pick.h").alias("h"), F.col("pick.id").alias("id"), "comp")).alias("top"))
+    top = top.where("comps > 1").select("key", "members", F.col("top.id").alias("centre"), F.col("top.comp").alias("largest"))
+    pairs = join_groups(own, top, "key", "members", how="inner").where("comp != largest")
+    shared = pairs.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))  # a node is in side * side buckets at most
+    return shared.withColumn("_r", rank).where(F.col("_r") <= TRIES).select("a", "b")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,9 +305,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried = scratch.put("tried1", best)
     links = _linked(tried, sets, percent, scratch, "links1")
     labels = components(links, scratch, "cc1")
-    # Buckets that still hold several components, but for those whose only pair has been compared.
-    labelled = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
+    for turn in range(TURNS):  # other centres for what the first ones left apart
+        fresh = _recentred(members, labels, turn).join(tried, ["a", "b"], "left_anti")
+        fresh = scratch.put(f"tried-{turn}", fresh)
+        tried = tried.unionByName(fresh)
+        links = links.unionByName(_linked(fresh, sets, percent, scratch, f"links-{turn}"))
+        labels = components(links, scratch, f"cc-{turn}")
+    # Buckets that still hold several components.
+    mixed = _labelled(members, labels).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
     mixed = scratch.put("mixed", mixed.select("key", "members"))
     if mixed.take(1):
         ids = join_groups(members.select("key", "id"), mixed, "key", "members", how="inner").select("id").distinct()
@@ -266,14 +320,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         some = scratch.put("open-sets", sets.join(ids, "id", "left_semi"))
         pairs = _across(scratch.put("prefixes", _prefixes(some, percent)), labels, percent)
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = scratch.put("across", pairs.join(known, ["a", "b"], "left_anti"))
-        # One pair of two components often links them; the others follow only where it has not.
-        first = pairs.groupBy("ca", "cb").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m"))
-        tried2 = scratch.put("tried2", first.select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")))
-        links = links.unionByName(_linked(tried2, some, percent, scratch, "links2"))
-        labels = components(links, scratch, "cc2")
-        rest = _apart(pairs.select("a", "b").join(tried2, ["a", "b"], "left_anti"), labels)
-        links = links.unionByName(_linked(scratch.put("tried3", rest), some, percent, scratch, "links3"))
+        fresh = pairs.join(known, ["a", "b"], "left_anti")
+        links = links.unionByName(_linked(scratch.put("across", fresh), some, percent, scratch, "links2", fitting=True))
         scratch.drop("prefixes")
         labels = components(links, scratch, "cc3")
     roots = groups.join(labels.select("node", "comp"), "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"), "copies")
