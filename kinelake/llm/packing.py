@@ -2,11 +2,14 @@
 
 Only lengths matter to the plan, and there are at most ``capacity`` of them. So executors cut the texts and count pieces
 by length, the driver plans over that histogram (its size does not grow with the corpus), and executors place each piece
-by its rank within its length. The search fills a sequence around the largest remaining piece: it enumerates fillings of
-the rest largest piece first, skips those that another dominates (one piece that fits exactly dominates all), bounds
-them by the waste they leave, and starts from the best-fit filling as incumbent. A filling is used as often as its pieces
-allow. A plan that meets the lower bound (all tokens / capacity, rounded up) is optimal and ends the search; otherwise
-dives with other choices follow, and the best plan stays.
+by its rank within its length.
+
+Greedy dives give the incumbent: each fills a sequence around the largest remaining piece, enumerates fillings of the
+rest largest piece first, and uses the one chosen as often as its pieces allow. If the incumbent is above the lower bound
+(all tokens / capacity, and dual feasible functions of the lengths), a depth-first search follows. It branches over the
+fillings of the largest piece and over how often each is used, leaves out fillings that an exchange of pieces dominates,
+takes the fillings of one largest piece in descending order only, and cuts a partial plan whose sequences and lower bound
+for the rest reach the incumbent. It ends with an optimal plan, or after ``EFFORT`` steps with the best plan found.
 
 Defined results: a null text counts as empty, and a document is its ids and one end id, so every row has a piece; only
 documents above the capacity are cut, at multiples of it; repeated rows each get their own pieces; an empty table gives
@@ -16,8 +19,9 @@ an empty result; columns other than id and text are ignored and may have any nam
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 from .bpe import load, out_batches, pairs
 from .common import Scratch
 
-#: Fillings that one sequence may try, and dives in all.
-FILLINGS, DIVES = 400, 12
+#: Fillings that one sequence of a dive may try, and dives: they choose among two fillings by parity, so there are three.
+FILLINGS, DIVES = 400, 3
+#: Steps of the search, and fillings that it sorts by waste at a time.
+EFFORT, SORTED = 1_000_000, 64
 #: Pieces of one length in one ranking task, about.
 RANKED = 50_000
 
@@ -49,6 +55,13 @@ class Lengths:
                 del self.count[length]
                 self.sorted.pop(bisect_right(self.sorted, length) - 1)
 
+    def give(self, pattern: Pattern, times: int) -> None:
+        for length, k in pattern:
+            if length not in self.count:
+                self.count[length] = 0
+                insort(self.sorted, length)
+            self.count[length] += k * times
+
     def times(self, pattern: Pattern) -> int:
         return min(self.count[length] // k for length, k in pattern)
 
@@ -75,7 +88,7 @@ def fillings(have: Lengths, room: int, used: dict[int, int], limit: int) -> Iter
         if length == left:  # an exact piece dominates every other way to fill what is left
             yield [*chosen, length]
             return
-        if k > 0 and (room - left) + length <= room:
+        if k > 0:
             stack.append((chosen, left, length - 1))  # later: without this length
         stack.append(([*chosen, length], left - length, length))
 
@@ -94,21 +107,140 @@ def dive(counts: dict[int, int], capacity: int, choose) -> list[tuple[Pattern, i
     return plan
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, dives: int = DIVES) -> list[tuple[Pattern, int]]:
-    """The best plan found, and surely an optimal one if it has as few sequences as the lower bound."""
+def bounds(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Dual feasible functions as (weight by length, unit): no sequence weighs more than one unit. The first is the length.
+
+    The others are the best of three families (Fekete and Schepers) on these counts, over all their parameters.
+    """
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    small = x[2 * x <= capacity].tolist()
+    out = [(x, capacity)]
+    rounded = ((np.where((k + 1) * x % capacity == 0, x * k, (k + 1) * x // capacity * capacity), k * capacity) for k in range(1, 101))
+    cut = ((np.where(x > capacity - e, capacity, np.where(x < e, 0, x)), capacity) for e in small)
+    counted = ((np.where(2 * x > capacity, capacity // e - (capacity - x) // e, x >= e).astype(np.int64), capacity // e) for e in small)
+    for family in (rounded, cut, counted):
+        best = max(family, key=lambda wu: int((wu[0] * n).sum()) / wu[1], default=None)
+        if best is not None:
+            out.append(best)
+    return [(dict(zip(x.tolist(), w.tolist())), unit) for w, unit in out]
+
+
+def lower_bound(counts: dict[int, int], functions: list[tuple[dict[int, int], int]]) -> int:
+    return max(-(-sum(w[x] * n for x, n in counts.items()) // unit) for w, unit in functions)
+
+
+class Search:
+    """Depth-first branch and bound from an incumbent. ``proven`` says whether it ended with an optimal plan."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, plan: list[tuple[Pattern, int]], functions: list[tuple[dict[int, int], int]], effort: int):
+        self.have, self.capacity, self.functions, self.effort = Lengths(counts), capacity, functions, effort
+        self.best, self.size = plan, sum(n for _, n in plan)
+        self.bound = lower_bound(counts, functions)
+        self.left = [sum(w[x] * n for x, n in counts.items()) for w, _ in functions]
+        self.used = 0
+
+    def slack(self) -> int:
+        """Tokens that the rest of a better plan may waste."""
+        return (self.size - 1 - self.used) * self.capacity - self.left[0]
+
+    def undominated(self, largest: int, ceiling: Pattern | None) -> Iterator[Pattern]:
+        """Fillings around ``largest`` below ``ceiling``, in descending order, that no exchange with a piece outside improves.
+
+        An exchange puts a larger piece in place of a smaller one, or of all that follows a prefix, or into room that is
+        left. It makes the sequence greater in this order and keeps the plan whole, so the greatest optimal plan has none.
+        """
+        count, order = self.have.count, self.have.sorted
+        stack: list[tuple[Pattern, int, int]] = []
+        for k in range(1, min(count[largest], self.capacity // largest) + 1):
+            stack.append((((largest, k),), self.capacity - k * largest, largest))
+        while stack and self.effort > 0:
+            self.effort -= 1
+            prefix, room, below = stack.pop()
+            if ceiling is not None and prefix > ceiling[: len(prefix)]:
+                continue
+            taken = dict(prefix)
+            spare = lambda x: count.get(x, 0) - taken.get(x, 0)
+            if room and spare(room) > 0:  # an exact piece dominates all else
+                if room >= below:
+                    continue
+                prefix, room = (*prefix, (room, 1)), 0
+            at = bisect_left(order, min(room + 1, below)) - 1
+            if room and at >= 0:
+                length = order[at]
+                stack.append((prefix, room, length))
+                stack.extend(((*prefix, (length, k)), room - k * length, length) for k in range(1, min(count[length], room // length) + 1))
+                continue
+            if room > self.slack() or (ceiling is not None and prefix >= ceiling):
+                continue
+            # Pieces that were passed over are lengths of the prefix or larger ones than what followed.
+            if room and any(spare(y) > 0 for x in (0, *taken) for y in order[bisect_right(order, x) : bisect_right(order, x + room)]):
+                continue
+            yield prefix
+
+    def branches(self, ceiling: Pattern | None) -> Iterator[tuple[Pattern, int]]:
+        """(filling, times), the least waste of each batch first; most times first, then halves, then all between."""
+        found = self.undominated(self.have.sorted[-1], ceiling)
+        while batch := list(islice(found, SORTED)):
+            batch.sort(key=lambda p: self.capacity - sum(x * k for x, k in p))  # stable: descending within a waste
+            for pattern in batch:
+                most = self.have.times(pattern)
+                halves = [most >> k for k in range(most.bit_length())]
+                yield from ((pattern, t) for t in halves)
+                among = set(halves)
+                yield from ((pattern, t) for t in range(most - 1, 0, -1) if t not in among)
+
+    def move(self, pattern: Pattern, times: int) -> None:
+        """Uses a filling; times below zero take it back."""
+        if times > 0:
+            self.have.take(pattern, times)
+        else:
+            self.have.give(pattern, -times)
+        self.used += times
+        for i, (w, _) in enumerate(self.functions):
+            self.left[i] -= times * sum(w[x] * k for x, k in pattern)
+
+    def run(self) -> list[tuple[Pattern, int]]:
+        path: list[tuple[Pattern, int]] = []
+        levels = [self.branches(None)] if self.size > self.bound else []
+        while levels and self.size > self.bound and self.effort > 0:
+            self.effort -= 1
+            branch = next(levels[-1], None)
+            if branch is None:
+                levels.pop()
+                if path:
+                    pattern, times = path.pop()
+                    self.move(pattern, -times)
+                continue
+            self.move(*branch)
+            if not self.have.sorted and self.used < self.size:
+                self.best, self.size = [*path, branch], self.used
+            if self.used + max(-(-left // unit) for left, (_, unit) in zip(self.left, self.functions)) >= self.size:
+                self.move(branch[0], -branch[1])
+                continue
+            path.append(branch)
+            same = self.have.sorted[-1] == branch[0][0][0]
+            levels.append(self.branches(branch[0] if same else None))
+        self.proven = self.size <= self.bound or self.effort > 0
+        return self.best
+
+
+def plan_sequences(counts: dict[int, int], capacity: int, dives: int = DIVES, effort: int = EFFORT) -> list[tuple[Pattern, int]]:
+    """An optimal plan if the search ends within its effort, else the best plan found."""
     if any(not 0 < length <= capacity for length in counts):
         raise ValueError("lengths must be from 1 to the capacity")
+    counts = {k: n for k, n in counts.items() if n > 0}
     bound = -(-sum(k * n for k, n in counts.items()) // capacity)
     best: list[tuple[Pattern, int]] | None = None
     size = lambda plan: sum(n for _, n in plan)
     for d in range(dives):
-        pick = (lambda found: found[-1] if found else []) if d == 0 else (lambda found, d=d: found[-1 - (d * 7919 + len(found)) % min(len(found), 2)] if found else [])
+        pick = lambda found, d=d: found[-1 - (d > 0) * ((d + len(found)) % min(len(found), 2))] if found else []
         plan = dive(counts, capacity, pick)
         if best is None or size(plan) < size(best):
             best = plan
         if size(best) <= bound:
-            break
-    return best or []
+            return best
+    return Search(counts, capacity, best or [], bounds(counts, capacity), effort).run()
 
 
 def _places(plan: list[tuple[Pattern, int]]) -> np.ndarray:
