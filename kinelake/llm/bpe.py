@@ -186,7 +186,7 @@ class WordBpe:
         self.merges = Merges({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))})
         pattern = splits[0]["pattern"]["Regex"]
         # Latin text is split by the standard library; anything else by the tokenizers library, whose tables of letters it follows.
-        latin = [chr(c) for c in range(0x250)]
+        latin = sorted({x for c in range(0x250) for x in chr(c) + chr(c).lower()})  # some small forms are beyond the range
         letters = "".join(c for c in latin if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in latin if unicodedata.category(c)[0] == "N")
         self.find = re.compile(pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]").replace(r"\s\p{L}\p{N}", f"\\t-\\r \x85\xa0\u2028{letters}{numbers}")).findall
