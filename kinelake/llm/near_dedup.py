@@ -139,10 +139,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, l
     holds one centre and one record batch at a time. A centre of many pairs is dealt to several runs.
     """
     sized = pairs
-    if not fitting:  # sets of too different sizes need no comparison
-        n = sets.select("id", "n").dropDuplicates(["id"])
-        sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        sized = scratch.put(f"{label}-sized", sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b"))
+    if not fitting:  # sets of too different sizes need no comparison; an id with several texts has a range of sizes
+        n = sets.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        na = n.select(F.col("id").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
+        nb = n.select(F.col("id").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+        sized = pairs.join(na, "a").join(nb, "b").where(f"100 * ha >= {percent} * lb and 100 * hb >= {percent} * la").select("a", "b")
+        sized = scratch.put(f"{label}-sized", sized)
     runs = sized.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")).withColumn("runs", F.expr(f"cast(ceil(_pairs / {SALTED}) as int)"))
     dealt = join_groups(sized, runs, "a", "_pairs", how="inner").select("a", F.expr("pmod(xxhash64(b), runs)").cast("int").alias("run"), "b")
     full = sets.select("id", "found")
@@ -291,6 +293,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Equal sets are one node.
     groups = scratch.put("groups", linked.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
     nodes = scratch.put("nodes", linked.join(groups.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest"]).select("id", "sig"))
+    # The nodes of one id's texts are one document.
+    repeated = scratch.put("repeated", sketches.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    several = bool(repeated.take(1))
+    if several:
+        texts = join_groups(linked.select("id", "digest"), repeated, "id", "rows", how="inner").select("id", "digest").distinct()
+        same = join_groups(texts, groups, "digest", "copies", how="inner").where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+        same = scratch.put("same", same.distinct())
     # Buckets with more than one node.
     keys = _keys(nodes, side)
     buckets = scratch.put("buckets", keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1"))
@@ -304,6 +313,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     tried = scratch.put("tried1", best)
     links = _linked(tried, sets, percent, scratch, "links1")
+    if several:
+        links = links.unionByName(same)
     labels = components(links, scratch, "cc1")
     for turn in range(TURNS):  # other centres for what the first ones left apart
         fresh = _recentred(members, labels, turn).join(tried, ["a", "b"], "left_anti")
@@ -326,7 +337,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(links, scratch, "cc3")
     roots = groups.join(labels.select("node", "comp"), "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"), "copies")
     out = join_groups(sketches.where("id is not null and n > 0").select("id", "n", "digest"), roots, "digest", "copies", how="inner").select("id", "n", "component_id")
-    out = out.unionByName(sketches.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
+    blank = sketches.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
+    if several:  # a blank row goes with its id's other texts
+        others = join_groups(texts.dropDuplicates(["id"]), groups, "digest", "copies", how="inner").join(labels.select("node", "comp"), "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
+        others = scratch.put("others", others.join(repeated, "id").select("id", "comp", "rows"))
+        blank = join_groups(blank, others, "id", "rows", how="left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
+    out = out.unionByName(blank)
     scratch.drop("sets", "open-sets", "members", "nodes")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
