@@ -1,5 +1,5 @@
-"""Recorded containers as tables: concatenated blobs, NumPy archives, JSON annotations, and HDF5 or video if their codecs
-are installed. Files are read by Spark's binary source and decoded on executors, one file at a time.
+"""Recorded containers as tables: concatenated blobs, NumPy archives, JSON annotations, and HDF5 if ``h5py`` is installed.
+Video has no reader. Files are read by Spark's binary source and decoded on executors, one file at a time.
 
 A :class:`Layout` says which arrays of a container are states, actions and instructions, and how actions follow. Keys
 resolve in order, exactly first and then as the end of a path. Pickles are never loaded.
@@ -80,7 +80,10 @@ def load_hdf5(data: bytes) -> dict[str, np.ndarray]:
 
 
 def loader(suffix: str) -> Callable[[bytes], dict[str, np.ndarray]]:
-    return {".npz": load_npz, ".json": load_json}.get(suffix, load_hdf5)
+    known = {".npz": load_npz, ".json": load_json, ".h5": load_hdf5, ".hdf5": load_hdf5}
+    if suffix not in known:
+        raise ValueError(f"no reader for {suffix} files")
+    return known[suffix]
 
 
 def frames_of(arrays: dict[str, np.ndarray], layout: Layout) -> dict[str, list]:
