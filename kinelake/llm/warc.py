@@ -8,7 +8,7 @@ Indexing: a scan notes each record's place under its URL's key with the host rev
 and go into compressed blocks of ``BLOCK`` lines; a sparse directory has the first key of each block.
 
 Reading: a lookup finds its block by binary search in the directory, its lines by binary search in the block, and its
-records by range reads. Reading everything goes through the same blocks, then by archive and place.
+records by range reads. Reading everything expands all blocks, then goes by archive and place; it searches nothing.
 
 Defined results: a null html is an empty payload; a null URL has an empty key; rows with one id and equal payloads have
 the same type; a null id ranks below every other; an empty table gives an empty result; columns other than id, URL and
@@ -138,6 +138,7 @@ class CaptureIndex:
         self.spark, self.archives = spark, archives
         self.scratch = scratch or Scratch(spark, "capture-index")
         self._blocks: DataFrame | None = None
+        self._spans: tuple[list[str], list[str]] | None = None
 
     def captures(self) -> DataFrame:
         """(key, uri, offset, length) of each record, from a scan of the archives."""
@@ -183,11 +184,22 @@ class CaptureIndex:
         return self.blocks().select("first", "last", "n")
 
     def lookup(self, url: str) -> list[tuple[str, int, int]]:
-        """(uri, offset, length) of the captures of one URL. Key statistics of the blocks' files cut the directory's search
-        to the few blocks that span the key; the lines inside are found by binary search."""
+        """(uri, offset, length) of the captures of one URL.
+
+        Binary search in the directory, which the driver holds from the first lookup on, finds the blocks that span the
+        key; only those are read, and the lines inside are found by binary search.
+        """
+        if self._spans is None:
+            rows = sorted((r["first"], r["last"]) for r in self.directory().collect())
+            self._spans = [r[0] for r in rows], [r[1] for r in rows]
         key = url_key(url)
+        firsts, lasts = self._spans
+        low, high = bisect_left(lasts, key), bisect_right(firsts, key)
+        if low >= high:
+            return []
+        spanning = self.blocks().where(F.col("first").isin(sorted(set(firsts[low:high]))) & F.col("last").isin(sorted(set(lasts[low:high]))))
         found = []
-        for row in self.blocks().where((F.col("first") <= key) & (F.col("last") >= key)).collect():
+        for row in spanning.collect():
             lines = lines_of(bytes(row["data"]))
             keys = [x[0] for x in lines]
             found += [x[1:] for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
