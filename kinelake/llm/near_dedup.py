@@ -40,6 +40,8 @@ WORDS_KEPT = 150_000
 SALTED = 512
 #: Turns of other centres, and centres that a node tries in each.
 TURNS, TRIES = 2, 4
+#: Sets with one token that one block of a self-join takes.
+SQUARE = 1024
 #: Sets that must have a shingle for it to come late in the common order, and bits of the filter that says so.
 FREQUENT, FREQUENT_BITS = 8, 1 << 26
 _ODD = np.random.default_rng(2024).integers(1, 1 << 62, size=(64, 2), dtype=np.uint64) | np.uint64(1)
@@ -132,24 +134,21 @@ def _keys(sketches: DataFrame, side: int) -> DataFrame:
     return sketches.select(F.expr(f"explode({tensor})").alias("key"), "id")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, label: str, fitting: bool = False) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as a written table. ``fitting``: their sizes have been compared.
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as a written table. ``pairs`` is a written table too.
 
     Pairs are gathered by centre: each run of rows has the centre's set first, then those of its partners, and a worker
-    holds one centre and one record batch at a time. A centre of many pairs is dealt to several runs.
+    holds one centre and one record batch at a time. A centre of many pairs is dealt to several runs. Partners of too
+    different a size stay behind; an id with several texts has a range of sizes.
     """
-    sized = pairs
-    if not fitting:  # sets of too different sizes need no comparison; an id with several texts has a range of sizes
-        n = sets.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        na = n.select(F.col("id").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
-        nb = n.select(F.col("id").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-        sized = pairs.join(na, "a").join(nb, "b").where(f"100 * ha >= {percent} * lb and 100 * hb >= {percent} * la").select("a", "b")
-        sized = scratch.put(f"{label}-sized", sized)
-    runs = sized.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")).withColumn("runs", F.expr(f"cast(ceil(_pairs / {SALTED}) as int)"))
-    dealt = join_groups(sized, runs, "a", "_pairs", how="inner").select("a", F.expr("pmod(xxhash64(b), runs)").cast("int").alias("run"), "b")
-    full = sets.select("id", "found")
-    partners = dealt.join(full.withColumnRenamed("id", "b"), "b").select("a", "run", "b", "found")
-    centres = runs.join(full.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.expr("sequence(0, runs - 1)")).alias("run"), F.lit(None).cast("long").alias("b"), "found")
+    if not pairs.take(1):
+        return pairs.select("a", "b")
+    sizes = sets.groupBy(F.col("id").alias("a")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    runs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_pairs")).withColumn("runs", F.expr(f"cast(ceil(_pairs / {SALTED}) as int)"))
+    runs = scratch.put(f"{label}-runs", runs.join(sizes, "a"))
+    dealt = join_groups(pairs.select("a", "b"), runs, "a", "_pairs", how="inner").select("a", "low", "high", F.expr("pmod(xxhash64(b), runs)").cast("int").alias("run"), "b")
+    partners = dealt.join(sets.withColumnRenamed("id", "b"), "b").where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low").select("a", "run", "b", "found")
+    centres = runs.join(sets.select(F.col("id").alias("a"), "found"), "a").select("a", F.explode(F.expr("sequence(0, runs - 1)")).alias("run"), F.lit(None).cast("long").alias("b"), "found")
     rows = centres.unionByName(partners).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -193,17 +192,17 @@ def _exploded(sets: DataFrame) -> DataFrame:
     return sets.select("found").mapInArrow(run, "shingle long")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, place): the part of each set, in the common order, that two similar sets must both touch.
+def _prefixes(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(token, id, n, place), as a written table: the part of each set, in the common order, that two similar sets must both touch.
 
-    The order puts shingles in the filter of frequent ones last. The filter is at most FREQUENT_BITS large, and any
-    order gives the same links.
+    The order puts shingles in the filter of frequent ones last. The filter is FREQUENT_BITS large, whatever the input,
+    and any order gives the same links.
     """
     often = _exploded(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FREQUENT}").select(F.pmod("shingle", F.lit(FREQUENT_BITS)).alias("w"))
-    slots = often.select(F.expr("w div 32768").alias("slot"), F.expr("w % 32768").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()
+    slots = often.select(F.expr("w div 32768").alias("slot"), F.expr("w % 32768").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     late = np.zeros(FREQUENT_BITS // 8, np.uint8)
-    for r in slots:
-        late[r["slot"] * 4096 : (r["slot"] + 1) * 4096] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    for r in slots.toLocalIterator():
+        late[r["slot"] * 4096 : (r["slot"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(late)
     schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
@@ -220,71 +219,59 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 for at in range(0, length, 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], schema=schema)
 
-    return sets.select("id", "found").mapInArrow(run, "token long, id long, n long, place long")
+    out = scratch.put("prefixes", sets.select("id", "found").mapInArrow(run, "token long, id long, n long, place long"))
+    shared.destroy()
+    return out
+
 
+def _across(prefixes: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that the prefixes leave possible.
 
-def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that the prefixes leave possible."""
+    A token of many sets is a square of blocks of them, each met by a task of its own.
+    """
     own = prefixes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    own = scratch.put("own-prefixes", own)
     tokens = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
-    kept = own.join(tokens.select("token"), "token", "left_semi")
-    a = kept.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("comp").alias("ca"))
-    b = kept.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("comp").alias("cb"))
+    tokens = scratch.put("tokens", tokens.select("token", "rows", F.expr(f"cast(ceil(rows / {SQUARE}) as int)").alias("blocks")))
+    kept = join_groups(own, tokens, "token", "rows", how="inner").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    a = kept.select("token", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("ia"), F.col("comp").alias("ca"))
+    b = kept.select("token", every.alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("ib"), F.col("comp").alias("cb"))
     room = f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
-    return a.join(b, "token").where(room).select("a", "b").distinct()
+    return a.join(b, ["token", "i", "j"]).where(room).select("a", "b").distinct()
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, comp) of the buckets' nodes; a node without a link is its own component."""
-    own = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    return own.select("key", "id", F.coalesce("comp", "id").alias("comp"))
+def _open(members: DataFrame, labels: DataFrame, scratch: Scratch, label: str) -> DataFrame | None:
+    """(key, id, comp) of the buckets that hold several components, as a written table; None without any.
 
-
-def _recentred(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b): nodes outside their bucket's largest component with some node of it, at most TRIES of them each.
-
-    Which node of the component is the centre differs from bucket to bucket and turn to turn, so a centre that few others
-    resemble does not keep a group apart.
+    A node without a link is its own component.
     """
-    own = _labelled(members, labels)
-    parts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("pick"))
-    top = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("pick.h").alias("h"), F.col("pick.id").alias("id"), "comp")).alias("top"))
-    top = top.where("comps > 1").select("key", "members", F.col("top.id").alias("centre"), F.col("top.comp").alias("largest"))
-    pairs = join_groups(own, top, "key", "members", how="inner").where("comp != largest")
-    shared = pairs.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))  # a node is in side * side buckets at most
-    return shared.withColumn("_r", rank).where(F.col("_r") <= TRIES).select("a", "b")
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, comp) of the buckets' nodes; a node without a link is its own component."""
-    own = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    return own.select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    own = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    own = scratch.put(f"{label}-own", own)
+    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
+    mixed = scratch.put(f"{label}-mixed", mixed.select("key", "members"))
+    if not mixed.take(1):
+        return None
+    out = scratch.put(f"{label}-open", join_groups(own, mixed, "key", "members", how="inner").select("key", "id", "comp"))
+    scratch.drop(f"{label}-own", f"{label}-mixed")
+    return out
 
 
-def _recentred(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def _recentred(own: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
     """(a, b): nodes outside their bucket's largest component with some node of it, at most TRIES of them each.
 
     Which node of the component is the centre differs from bucket to bucket and turn to turn, so a centre that few others
     resemble does not keep a group apart.
     """
-    own = _labelled(members, labels)
     parts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("pick"))
-    top = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("pick.h").alias("h"), F.col("pick.id").alias("id"), "comp")).alias("top"))
-    top = top.where("comps > 1").select("key", "members", F.col("top.id").alias("centre"), F.col("top.comp").alias("largest"))
+    top = parts.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", F.col("pick.h").alias("h"), F.col("pick.id").alias("id"), "comp")).alias("top"))
+    top = scratch.put(f"top-{turn}", top.select("key", "members", F.col("top.id").alias("centre"), F.col("top.comp").alias("largest")))
     pairs = join_groups(own, top, "key", "members", how="inner").where("comp != largest")
     shared = pairs.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))  # a node is in side * side buckets at most
     return shared.withColumn("_r", rank).where(F.col("_r") <= TRIES).select("a", "b")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, side: int = SIDE, half: int = HALF) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row for each input row."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
@@ -316,26 +303,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if several:
         links = links.unionByName(same)
     labels = components(links, scratch, "cc1")
+    own = _open(members, labels, scratch, "turn0")
+    scratch.drop("members", "stars", "buckets")
     for turn in range(TURNS):  # other centres for what the first ones left apart
-        fresh = _recentred(members, labels, turn).join(tried, ["a", "b"], "left_anti")
-        fresh = scratch.put(f"tried-{turn}", fresh)
+        if own is None:
+            break
+        fresh = scratch.put(f"tried-{turn}", _recentred(own, turn, scratch).join(tried, ["a", "b"], "left_anti"))
+        found = _linked(fresh, sets, percent, scratch, f"links-{turn}")
         tried = tried.unionByName(fresh)
-        links = links.unionByName(_linked(fresh, sets, percent, scratch, f"links-{turn}"))
-        labels = components(links, scratch, f"cc-{turn}")
-    # Buckets that still hold several components.
-    mixed = _labelled(members, labels).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low != high")
-    mixed = scratch.put("mixed", mixed.select("key", "members"))
-    if mixed.take(1):
-        ids = join_groups(members.select("key", "id"), mixed, "key", "members", how="inner").select("id").distinct()
-        ids = scratch.put("open", ids)
-        some = scratch.put("open-sets", sets.join(ids, "id", "left_semi"))
-        pairs = _across(scratch.put("prefixes", _prefixes(some, percent)), labels, percent)
+        if found.take(1):
+            links = links.unionByName(found)
+            labels = components(links, scratch, f"cc-{turn}")
+            own = _open(own, labels, scratch, f"turn{turn + 1}")
+    if own is not None:  # buckets that still hold several components
+        some = scratch.put("open-sets", sets.join(scratch.put("open", own.select("id").distinct()), "id", "left_semi"))
+        pairs = _across(_prefixes(some, percent, scratch), labels, percent, scratch)
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = pairs.join(known, ["a", "b"], "left_anti")
-        links = links.unionByName(_linked(scratch.put("across", fresh), some, percent, scratch, "links2", fitting=True))
-        scratch.drop("prefixes")
-        labels = components(links, scratch, "cc3")
+        fresh = scratch.put("across", pairs.join(known, ["a", "b"], "left_anti"))
+        found = _linked(fresh, some, percent, scratch, "links2")
+        scratch.drop("prefixes", "own-prefixes", "tokens", "open-sets")
+        if found.take(1):
+            labels = components(links.unionByName(found), scratch, "cc3")
     roots = groups.join(labels.select("node", "comp"), "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"), "copies")
+    roots = scratch.put("roots", roots)
     out = join_groups(sketches.where("id is not null and n > 0").select("id", "n", "digest"), roots, "digest", "copies", how="inner").select("id", "n", "component_id")
     blank = sketches.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
     if several:  # a blank row goes with its id's other texts
@@ -343,7 +333,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         others = scratch.put("others", others.join(repeated, "id").select("id", "comp", "rows"))
         blank = join_groups(blank, others, "id", "rows", how="left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
     out = out.unionByName(blank)
-    scratch.drop("sets", "open-sets", "members", "nodes")
+    scratch.drop("sets", "nodes")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

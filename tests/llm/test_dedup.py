@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.llm import common
+from kinelake.llm import common, near_dedup
 from kinelake.llm.components import components
 from kinelake.llm.exact_dedup import DigestIndex, drop_exact_copies, exact_dedup
 from kinelake.llm.near_dedup import drop_near_copies, near_groups
@@ -148,6 +148,22 @@ def test_near_groups_of_chains_stars_and_passages(spark):
     assert kept == sorted(set(want.values()))
 
 
+def test_components_of_nothing(spark):
+    none = spark.createDataFrame([(3, 3)], "a long, b long")
+    assert components(none, common.Scratch(spark, "test")).collect() == []
+    assert components(none, common.Scratch(spark, "test"), one_task=0).collect() == []
+
+
+def test_blocks_of_a_token_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SQUARE", 7)
+    rows = [(5, i, 40, 0) for i in range(60)] + [(9, i, 40, 1) for i in range(0, 60, 3)]
+    prefixes = spark.createDataFrame(rows, "token long, id long, n long, place long")
+    labels = spark.createDataFrame([(i, 0 if i < 20 else 20) for i in range(40)], "node long, comp long")
+    got = {(r.a, r.b) for r in near_dedup._across(prefixes, labels, 75, common.Scratch(spark, "test")).collect()}
+    comp = lambda i: 0 if i < 20 else 20 if i < 40 else i
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if comp(a) != comp(b)}
+
+
 def test_dropping_near_copies_keeps_columns(tricky, tricky_rows):
     out = drop_near_copies(tricky)
     assert out.columns == tricky.columns
@@ -155,10 +171,11 @@ def test_dropping_near_copies_keeps_columns(tricky, tricky_rows):
     assert {r.doc_id for r in out.collect()} == {d for d, c in want.items() if d == c} | {None}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 60, 1 << 21])
+def test_components_against_union_find(spark, one_task):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, k) for k in range(1, 40)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)] + [(5, 5)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "test")).collect()}
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "test"), one_task=one_task).collect()}
     parent = {}
 
     def find(x):
