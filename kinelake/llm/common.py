@@ -76,10 +76,21 @@ def bitmap_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
     The bound on the filter's size is ``bits``, whatever the number of keys, so it may be broadcast; with more keys
     it passes more rows, never fewer.
     """
-    where = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    return _slots(keys.select(_place(key, bits).alias("w")))
+
+
+def _place(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+
+
+def repeated_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
+    """A filter like that of ``bitmap_filter``, of the places that more than one row has."""
+    return _slots(keys.groupBy(_place(key, bits).alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
+def _slots(places: DataFrame) -> DataFrame:
     return (
-        keys.select(where.alias("w"))
-        .select(F.expr(f"w div {BITMAP_BITS}").alias("slot"), F.expr(f"w % {BITMAP_BITS}").alias("bit"))
+        places.select(F.expr(f"w div {BITMAP_BITS}").alias("slot"), F.expr(f"w % {BITMAP_BITS}").alias("bit"))
         .groupBy("slot")
         .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     )
@@ -87,10 +98,9 @@ def bitmap_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
 
 def might_contain(df: DataFrame, key: str, slots: DataFrame, bits: int = 1 << 26, flag: str = "_hit") -> DataFrame:
     """Adds ``flag``: false only where the key is surely not in the filter."""
-    where = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
     byte = "cast(conv(hex(substring(bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
     return (
-        df.withColumn("_w", where)
+        df.withColumn("_w", _place(key, bits))
         .withColumn("_slot", F.expr(f"_w div {BITMAP_BITS}"))
         .withColumn("_bit", F.expr(f"cast(_w % {BITMAP_BITS} as int)"))
         .join(F.broadcast(slots.withColumnRenamed("slot", "_slot")), "_slot", "left")

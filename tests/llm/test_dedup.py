@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.llm import common, near_dedup
+from kinelake.llm import exact_dedup as exact
 from kinelake.llm.components import components
 from kinelake.llm.exact_dedup import DigestIndex, drop_exact_copies, exact_dedup
 from kinelake.llm.near_dedup import drop_near_copies, near_groups
@@ -44,8 +45,12 @@ def test_exact_groups(tricky, tricky_rows, keep):
     assert got == brute_exact(tricky_rows, max if keep == "max" else min)
 
 
-def test_colliding_digests_are_told_apart_by_bytes(tricky, tricky_rows):
+def test_colliding_digests_are_told_apart_by_bytes(tricky, tricky_rows, monkeypatch):
     weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)
+    monkeypatch.setattr(exact, "sha256_of", weak)
+    rows = drop_exact_copies(tricky).collect()
+    assert sorted(lower(r.text) for r in rows) == sorted({lower(t) for _, t, *_ in tricky_rows})
+    monkeypatch.undo()
     got = sorted((key(r.doc_id), key(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in exact_dedup(tricky, digest=weak).collect())
     assert got == brute_exact(tricky_rows)
 
@@ -70,10 +75,24 @@ def test_empty_tables(empty):
 
 def test_index_probes_and_later_runs(spark):
     index = DigestIndex(spark)
-    for batch in ([("a", 1), ("b", 2)], [("a", 7), ("c", 3)]):
+    for batch in ([("a", 1), ("b", 2)], [("a", 7), ("c", 3)], [("a", None), ("d", None), ("d", None)]):
         index.flush(spark.createDataFrame(batch, "digest string, id long"))
-    assert {(r.digest, r.keep_id, r.n) for r in index.compact().collect()} == {("a", 7, 2), ("b", 2, 1), ("c", 3, 1)}
-    assert sorted(r.id for r in index.probe(["a"]).collect()) == [1, 7]
+    assert {(r.digest, r.keep_id, r.n) for r in index.hits().collect()} == {("a", 7, 3), ("d", None, 2)}
+    assert {r.digest for r in index.marked().where("_hit").collect()} == {"a", "d"}  # the filters settle the others
+    assert sorted(r.id for r in index.probe(["a", "c"]).where("id is not null").collect()) == [1, 3, 7]
+    plan = index.probe(["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(digest" in plan or "PushedFilters: [IsNotNull(digest), EqualTo(digest" in plan
+
+
+def test_levels_merge_a_hot_digest(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), F.col("id") % 2000)).alias("digest"), "id").repartition(40)
+    index = DigestIndex(spark, "min")
+    index.flush(rows)
+    want = {}
+    for r in rows.collect():
+        low, n = want.get(r.digest, (r.id, 0))
+        want[r.digest] = min(low, r.id), n + 1
+    assert {r.digest: (r.keep_id, r.n) for r in index.hits().collect()} == {k: v for k, v in want.items() if v[1] > 1}
 
 
 def shingled(text, size=5):
