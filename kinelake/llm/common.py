@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 #: Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of one bitmap of bitmap_construct_agg.
-BITMAP_BITS = 32768
+#: Bits of one bitmap of bitmap_construct_agg, and of a whole filter.
+BITMAP_BITS, MOST_BITS = 32768, 1 << 26
+#: Rows of one key that are no burden to the task that gets them.
+FEW = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,22 +73,34 @@ def ascii_lower(col: Column) -> Column:
     return F.when(col.rlike(OTHER_CASE), F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
 
 
-def bitmap_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
-    """One row (slot, bitmap) for each used 4 KB slice of a filter of at most ``bits`` bits (8 MB by default).
+@dataclass(frozen=True)
+class KeyFilter:
+    """Which hash places keys have: one row (slot, bitmap) for each used 4 KB slice of ``bits`` bits."""
 
-    The bound on the filter's size is ``bits``, whatever the number of keys, so it may be broadcast; with more keys
-    it passes more rows, never fewer.
-    """
-    return _slots(keys.select(_place(key, bits).alias("w")))
+    slots: DataFrame
+    bits: int
+
+
+def bits_for(keys: int) -> int:
+    """A power of two, 16 for each key, at most ``MOST_BITS`` (8 MB): the bound on a filter's size, whatever the input."""
+    return min(MOST_BITS, max(BITMAP_BITS, 1 << (16 * keys).bit_length()))
 
 
 def _place(key: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
 
 
-def repeated_filter(keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
+def bitmap_filter(keys: DataFrame, key: str, bits: int | None = None) -> KeyFilter:
+    """The filter of ``keys``, a written table unless ``bits`` is given. It is small enough to broadcast; beyond the keys
+    that it is made for it passes more rows, never fewer."""
+    bits = bits or bits_for(keys.count())
+    return KeyFilter(_slots(keys.select(_place(key, bits).alias("w"))), bits)
+
+
+def repeated_filter(keys: DataFrame, key: str) -> KeyFilter:
     """A filter like that of ``bitmap_filter``, of the places that more than one row has."""
-    return _slots(keys.groupBy(_place(key, bits).alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bits = bits_for(keys.count())
+    return KeyFilter(_slots(keys.groupBy(_place(key, bits).alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")), bits)
 
 
 def _slots(places: DataFrame) -> DataFrame:
@@ -96,14 +111,14 @@ def _slots(places: DataFrame) -> DataFrame:
     )
 
 
-def might_contain(df: DataFrame, key: str, slots: DataFrame, bits: int = 1 << 26, flag: str = "_hit") -> DataFrame:
+def might_contain(df: DataFrame, key: str, kept: KeyFilter, flag: str = "_hit") -> DataFrame:
     """Adds ``flag``: false only where the key is surely not in the filter."""
     byte = "cast(conv(hex(substring(bitmap, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
     return (
-        df.withColumn("_w", _place(key, bits))
+        df.withColumn("_w", _place(key, kept.bits))
         .withColumn("_slot", F.expr(f"_w div {BITMAP_BITS}"))
         .withColumn("_bit", F.expr(f"cast(_w % {BITMAP_BITS} as int)"))
-        .join(F.broadcast(slots.withColumnRenamed("slot", "_slot")), "_slot", "left")
+        .join(F.broadcast(kept.slots.withColumnRenamed("slot", "_slot")), "_slot", "left")
         .withColumn(flag, F.expr(f"coalesce(shiftright({byte}, _bit % 8) & 1, 0) = 1"))
         .drop("_w", "_slot", "_bit", "bitmap")
     )
@@ -112,13 +127,15 @@ def might_contain(df: DataFrame, key: str, slots: DataFrame, bits: int = 1 << 26
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, share: int = 1000, how: str = "left") -> DataFrame:
     """Joins rows to the one row that ``groups`` has for each key, whatever the size of a group.
 
-    A key that holds at least 1/``share`` of the rows is hot. There are at most ``share`` of them, which bounds their
-    broadcast; the other keys, none of them hot, meet in a shuffle. ``count`` is the column of ``groups`` with the
-    number of rows of the key.
+    A key that holds at least 1/``share`` of the rows, and ``FEW`` at least, is hot. There are at most ``share`` of them,
+    which bounds their broadcast; the other keys, none of them hot, meet in a shuffle. ``count`` is the column of
+    ``groups``, a written table, with the number of rows of the key.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
-    is_hot = (F.col(count) > 1) & (F.col(count) * share >= total)
-    hot, cold = groups.where(is_hot), groups.where(~is_hot)
-    by_hot = rows.join(F.broadcast(hot), key, "inner")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
-    return by_hot.unionByName(rest)
+    total, most = groups.agg(F.sum(count), F.max(count)).first()
+    least = max(FEW, -(-(total or 0) // share))
+    if (most or 0) < least:
+        return rows.join(groups, key, how)
+    hot, cold = groups.where(F.col(count) >= least), groups.where(F.col(count) < least)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(cold, key, how)
+    return marked.where("_hot").drop("_hot").unionByName(rest)

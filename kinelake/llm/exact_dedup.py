@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, bitmap_filter, join_groups, might_contain, repeated_filter
+from .common import KeyFilter, Scratch, ascii_lower, bitmap_filter, join_groups, might_contain, repeated_filter
 
 #: Runs of level 1.
 FANOUT = 16
@@ -47,7 +47,7 @@ class DigestIndex:
         self.spark, self.keep = spark, keep
         self.scratch = Scratch(spark, "digest-index")
         self._flushed: list[DataFrame] = []
-        self._filter: DataFrame | None = None
+        self._filter: KeyFilter | None = None
         self._merged: DataFrame | None = None
 
     def flush(self, entries: DataFrame) -> None:
@@ -68,7 +68,8 @@ class DigestIndex:
     def marked(self) -> DataFrame:
         """Level 0 with ``_hit``: false where the filters say that no other entry has the digest."""
         if self._filter is None:
-            self._filter = self.scratch.put("filter", repeated_filter(self.runs(), "digest"))
+            made = repeated_filter(self.runs(), "digest")
+            self._filter = KeyFilter(self.scratch.put("filter", made.slots), made.bits)
         return might_contain(self.runs(), "digest", self._filter)
 
     def _merge(self, entries: DataFrame, by: list[str], level: str) -> DataFrame:

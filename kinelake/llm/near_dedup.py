@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .bpe import out_batches
-from .common import Scratch, bitmap_filter, join_groups, might_contain
+from .common import BITMAP_BITS, Scratch, bitmap_filter, bits_for, join_groups, might_contain
 from .components import components
 
 WORDS, PERCENT, SIDE, HALF = 5, 75, 10, 2
@@ -42,8 +42,8 @@ SALTED = 512
 TURNS, TRIES = 2, 4
 #: Sets with one token that one block of a self-join takes.
 SQUARE = 1024
-#: Sets that must have a shingle for it to come late in the common order, and bits of the filter that says so.
-FREQUENT, FREQUENT_BITS = 8, 1 << 26
+#: Sets that must have a shingle for it to come late in the common order.
+FREQUENT = 8
 _ODD = np.random.default_rng(2024).integers(1, 1 << 62, size=(64, 2), dtype=np.uint64) | np.uint64(1)
 #: Multipliers of the minhashes, as many as any side and half may ask for.
 _TIMES = np.random.default_rng(99).integers(1, 1 << 62, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,24 +195,25 @@ def _exploded(sets: DataFrame) -> DataFrame:
 def _prefixes(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(token, id, n, place), as a written table: the part of each set, in the common order, that two similar sets must both touch.
 
-    The order puts shingles in the filter of frequent ones last. The filter is FREQUENT_BITS large, whatever the input,
-    and any order gives the same links.
+    The order puts shingles in a filter of frequent ones last. The filter is bounded like every other one, and any order
+    gives the same links.
     """
-    often = _exploded(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FREQUENT}").select(F.pmod("shingle", F.lit(FREQUENT_BITS)).alias("w"))
-    slots = often.select(F.expr("w div 32768").alias("slot"), F.expr("w % 32768").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    late = np.zeros(FREQUENT_BITS // 8, np.uint8)
-    for r in slots.toLocalIterator():
+    bits = bits_for(sets.agg(F.sum("n")).first()[0] or 0)
+    often = _exploded(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(f"n > {FREQUENT}").select(F.pmod("shingle", F.lit(bits)).alias("w"))
+    slots = often.select(F.expr(f"w div {BITMAP_BITS}").alias("slot"), F.expr(f"w % {BITMAP_BITS}").alias("bit")).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    late = np.zeros(bits // 8, np.uint8)
+    for r in slots.collect():  # 8 MB at most
         late[r["slot"] * 4096 : (r["slot"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(late)
     schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        seen = shared.value
         for b in batches:
             for i, found in zip(b.column(0), b.column(1)):
                 own = np.frombuffer(found.as_py(), np.int64)
-                w = own % FREQUENT_BITS
-                order = np.argsort((bits[w >> 3] >> (w & 7).astype(np.uint8)) & 1, kind="stable")
+                w = own % bits
+                order = np.argsort((seen[w >> 3] >> (w & 7).astype(np.uint8)) & 1, kind="stable")
                 length = len(own) - -(-percent * len(own) // 100) + 1
                 first = own[order[:length]]
                 columns = [first, np.full(length, i.as_py()), np.full(length, len(own)), np.arange(length)]
@@ -294,7 +295,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = scratch.put("members", join_groups(near, buckets, "key", "members", how="inner").select("key", "id", "centre"))
     starred = members.where("id != centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     stars = scratch.put("stars", starred)
-    involved = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id")))
+    involved = stars.select(F.col("b").alias("id")).unionByName(buckets.select(F.col("centre").alias("id")))
     mine = might_contain(_narrow(docs, id_col, text_col), "id", bitmap_filter(involved, "id")).where("_hit").select("id", "text")
     sets = scratch.put("sets", _sets(mine, "id", "text", size))
     best = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")

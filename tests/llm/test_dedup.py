@@ -219,6 +219,6 @@ def test_hot_groups_join_whole(spark):
 
 def test_bitmap_filter_has_no_false_negatives(spark):
     keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("k"))
-    marked = common.might_contain(spark.range(3000).select(F.col("id").cast("string").alias("k")), "k", common.bitmap_filter(keys, "k", 1 << 16), 1 << 16)
+    marked = common.might_contain(spark.range(3000).select(F.col("id").cast("string").alias("k")), "k", common.bitmap_filter(keys, "k", 1 << 16))
     assert marked.join(keys, "k").where("not _hit").count() == 0
     assert marked.where("_hit").count() < 1200
