@@ -73,13 +73,16 @@ def common_window(df: DataFrame, by: Sequence[str], series: str, time: str, requ
 def resolve_ranges(requests: DataFrame, files: DataFrame, by: Sequence[str], end: str, file_end: str, keep: Sequence[str]) -> DataFrame:
     """Each request with one file of its key: the one with its exact end, else the only one, else the one with the
     smallest end behind it, else the one with the largest end. Requests without a file keep nulls."""
+    asked = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_asked"))  # repeated requests meet as counts
     few = files.withColumn("_files", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    joined = requests.join(few, list(by), "left")
+    joined = asked.join(few, list(by), "left")
     e, want = F.col(file_end), F.col(end)
     tier = F.when(e == want, 0).when(F.col("_files") == 1, 1).when(e > want, 2).otherwise(3)
     near = F.when(e >= want, e).otherwise(-e)
     rank = F.struct(tier.alias("tier"), near.alias("near"), *[F.col(k) for k in keep])
-    return joined.groupBy(*requests.columns).agg(F.min(F.when(e.isNotNull(), rank)).alias("_m")).select(*requests.columns, *[F.col(f"_m.{k}").alias(k) for k in keep], F.abs("_m.near").alias(file_end), F.col("_m.tier").alias("tier"))
+    best = joined.groupBy(*requests.columns, "_asked").agg(F.min(F.when(e.isNotNull(), rank)).alias("_m"))
+    each = best.withColumn("_copy", F.explode(F.expr("sequence(1L, _asked)")))
+    return each.select(*requests.columns, *[F.col(f"_m.{k}").alias(k) for k in keep], F.abs("_m.near").alias(file_end), F.col("_m.tier").alias("tier"))
 
 
 def complete_groups(df: DataFrame, by: Sequence[str], child: str, required: Sequence[str]) -> DataFrame:

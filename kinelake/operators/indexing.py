@@ -8,16 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _in_order(keys: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
+    """Adds ``_b``: which of ``ranges`` stretches of the order a row is in. Their bounds come from at most 16 * ranges
+    rows, so no stretch depends on the size of the table and none is the whole of it."""
+    some = keys.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(16 * ranges).orderBy(*order).collect()
+    fields = [keys.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, fields, order)]) for row in some[16::16]]
+    if not bounds:
+        return keys.withColumn("_b", F.lit(0))
+    return keys.withColumn("_b", F.size(F.filter(F.array(*bounds), lambda bound: bound <= F.struct(*order))))
+
+
+def _running(rows: DataFrame, order: Sequence[str], amount: Column, into: str) -> DataFrame:
+    """The sum of ``amount`` over the rows before each row in the order: inside a stretch, and over the stretches before."""
+    dealt = _in_order(rows, order)
+    totals = dealt.groupBy("_b").agg(F.sum(amount).alias("_t"))
+    first = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_f"))  # one row for each stretch
+    own = F.sum(amount).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - amount
+    return dealt.withColumn("_o", own).join(F.broadcast(first), "_b").withColumn(into, (F.col("_f") + F.col("_o")).cast("long")).drop("_b", "_o", "_f")
+
+
 def first_appearance_ids(df: DataFrame, key: str, order: Sequence[str], into: str) -> DataFrame:
     """(key, id): ids from 0 in the order in which keys first appear. The ranking runs over keys, not rows."""
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    return firsts.select(key, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias(into))
+    flat = firsts.select(key, *[F.col(f"_first.{c}").alias(f"_first_{k}") for k, c in enumerate(order)])
+    return _running(flat, [f"_first_{k}" for k in range(len(order))], F.lit(1), into).select(key, into)
 
 
 def global_index(df: DataFrame, group: str, local: Sequence[str], into: str = "index") -> DataFrame:
     """Running offset of the groups before a row's group plus its place in it: dense over all rows."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_offset", F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).drop("_n")
+    offsets = _running(sizes, [group], F.col("_n"), "_offset").drop("_n")
     place = F.row_number().over(Window.partitionBy(group).orderBy(*local)) - 1
     return df.withColumn("_place", place).join(offsets, group).withColumn(into, F.col("_offset") + F.col("_place")).drop("_place", "_offset")
 
@@ -25,7 +46,7 @@ def global_index(df: DataFrame, group: str, local: Sequence[str], into: str = "i
 def renumber(df: DataFrame, group: str, into: str) -> DataFrame:
     """Dense numbers from 0 of the groups that are left, in their order."""
     left = df.select(group).distinct()
-    return df.join(left.withColumn(into, (F.row_number().over(Window.orderBy(group)) - 1).cast("long")), group)
+    return df.join(_running(left, [group], F.lit(1), into), group)
 
 
 def shard_round_robin(df: DataFrame, family: Sequence[str], order: Sequence[str], shards: int, into: str = "shard") -> DataFrame:
@@ -55,8 +76,8 @@ def normal_text(text: Column) -> Column:
 
 def text_keys(df: DataFrame, text: str) -> DataFrame:
     """(text_key, raw_texts, num_links): one row for each normalised text."""
-    rows = df.withColumn("_key", F.sha1(normal_text(F.col(text)).cast("binary")))
-    raw = rows.groupBy("_key", text).agg(F.count(F.lit(1)).alias("_n"))  # repeated texts meet as counts
+    rows = df.select(F.sha1(normal_text(F.col(text)).cast("binary")).alias("_key"), F.sha1(F.col(text).cast("binary")).alias("_raw"))
+    raw = rows.groupBy("_key", "_raw").agg(F.count(F.lit(1)).alias("_n"))  # repeated texts meet as counts
     return raw.groupBy(F.col("_key").alias("text_key")).agg(F.count(F.lit(1)).alias("raw_texts"), F.sum("_n").alias("num_links"))
 
 

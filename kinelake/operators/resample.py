@@ -38,12 +38,12 @@ def _bracket(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str,
     row = F.struct(*[F.col(c) for c in grid.columns])
     s = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
     s_type = samples.select(s.alias("s")).schema["s"].dataType
-    a = grid.select(*by, F.col("grid_time").alias("_t"), row.alias("_row"), F.lit(None).cast(s_type).alias("_s"))
-    b = samples.select(*by, F.col(time).alias("_t"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), s.alias("_s"))
+    a = grid.select(*by, F.col("grid_time").alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(s_type).alias("_s"))
+    b = samples.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), s.alias("_s"))
     u = a.unionByName(b)
-    w = Window.partitionBy(*by).orderBy("_t")
-    before = F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_s", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Each frame grows by one row at a time: what comes after is what came before, from the end.
+    held = lambda *order: F.last("_s", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = held("_t", "_side", "_s"), held(F.desc("_t"), "_side", F.desc("_s"))
     return u.withColumn("_before", before).withColumn("_after", after).where(F.col("_row").isNotNull()).select("_row.*", "_before", "_after")
 
 

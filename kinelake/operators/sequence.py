@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import pose
 
+#: Rows of a fold whose outputs are gathered at a time.
+STRETCH = 128
+
 
 def ordered(by: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -33,12 +36,18 @@ def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], keep: Sequence[
     names = list(dict.fromkeys([*order, *keep]))
     row = F.struct(*[F.col(c) for c in names])
     grouped = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    done = F.aggregate(
-        "_rows",
-        F.struct(F.array().cast(f"array<{_type(df, start, 's')}>").alias("done"), start.alias("state")),
-        lambda acc, r: pose.let(step(acc["state"], r), lambda s: F.struct(F.array_append(acc["done"], s).alias("done"), s.alias("state"))),
-    )
-    zipped = grouped.withColumn("_done", done["done"]).withColumn("_z", F.explode(F.arrays_zip("_rows", "_done")))
+    kind = _type(df, start, "s")
+    held = lambda form, state: F.struct(F.array().cast(form).alias("done"), state.alias("state"))
+    append = lambda acc, out, state: F.struct(F.array_append(acc["done"], out).alias("done"), state.alias("state"))
+
+    def stretch(acc: Column, rows: Column) -> Column:
+        """The outputs of one stretch are one element of those of the group: no append copies a long array."""
+        inner = F.aggregate(rows, held(f"array<{kind}>", acc["state"]), lambda a, r: pose.let(step(a["state"], r), lambda s: append(a, s, s)))
+        return pose.let(inner, lambda found: append(acc, found["done"], found["state"]))
+
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / STRETCH).cast("int")), lambda k: F.slice("_rows", k * STRETCH + 1, STRETCH))
+    done = F.aggregate(stretches, held(f"array<array<{kind}>>", start), stretch)
+    zipped = grouped.withColumn("_done", F.flatten(done["done"])).withColumn("_z", F.explode(F.arrays_zip("_rows", "_done")))
     return zipped.select(*by, *[F.col(f"_z._rows.{c}").alias(c) for c in names], F.col("_z._done").alias(into))
 
 
@@ -75,8 +84,8 @@ def rising_edges(df: DataFrame, col: str, threshold: float, by: Sequence[str], o
 
 def next_marked(df: DataFrame, mark: str, value: str, by: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
     """The value of the first marked row at or after each row; null without one."""
-    w = ordered(by, order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(into, F.first(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w))
+    w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(into, F.last(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w))
 
 
 def running_max(df: DataFrame, col: str, by: Sequence[str], order: Sequence[str], into: str) -> DataFrame:

@@ -95,15 +95,15 @@ def common_window(spark, sf_dir):
 
 
 @query("""
-    with q as (select o_orderkey, (o_orderkey % 50) as want from orders), f as (select l_orderkey, cast(floor(l_quantity) as bigint) as file_end from lineitem),
+    with q as (select row_number() over () as request, l_orderkey as o_orderkey, (l_orderkey % 50) as want from lineitem where l_linenumber % 2 = 0), f as (select l_orderkey, cast(floor(l_quantity) as bigint) as file_end from lineitem),
     n as (select *, count(*) over (partition by l_orderkey) as files from f),
-    j as (select q.o_orderkey, q.want, n.file_end, case when n.file_end = want then 0 when files = 1 then 1 when n.file_end > want then 2 else 3 end as tier,
+    j as (select q.request, q.o_orderkey, q.want, n.file_end, case when n.file_end = want then 0 when files = 1 then 1 when n.file_end > want then 2 else 3 end as tier,
           case when n.file_end >= want then n.file_end else -n.file_end end as near from q left join n on n.l_orderkey = q.o_orderkey),
-    r as (select *, row_number() over (partition by o_orderkey order by tier, near) as k from j)
+    r as (select *, row_number() over (partition by request order by tier, near) as k from j)
     select o_orderkey, want, file_end, case when file_end is not null then tier end::int as tier from r where k = 1""")
 def resolve_latent(spark, sf_dir):
-    """A file for each requested end: exact, only, next behind, or last one."""
-    requests = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("want"))
+    """A file for each requested end: exact, only, next behind, or last one. Requests are repeated."""
+    requests = read(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") % 50).alias("want"))
     files = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.floor("l_quantity").alias("file_end"))
     return align.resolve_ranges(requests, files, ["o_orderkey"], "want", "file_end", []).select("o_orderkey", "want", "file_end", "tier")
 

@@ -48,9 +48,10 @@ def sql_unit(q: str, canonical: bool = True) -> str:
 
 def sql_product(a: str, b: str) -> str:
     """DuckDB: Hamilton product of two quaternions."""
-    p, q = [f"({a})[{i}]" for i in range(1, 5)], [f"({b})[{i}]" for i in range(1, 5)]
-    terms = (("+0,0", "-1,1", "-2,2", "-3,3"), ("+0,1", "+1,0", "+2,3", "-3,2"), ("+0,2", "-1,3", "+2,0", "+3,1"), ("+0,3", "+1,2", "-2,1", "+3,0"))
-    return "[" + ", ".join(" ".join(f"{t[0]} {p[int(t[1])]} * {q[int(t[3])]}" for t in row) for row in terms) + "]"
+    w, x, y, z = [f"({a})[{i}]" for i in range(1, 5)]
+    s, t, u, v = [f"({b})[{i}]" for i in range(1, 5)]
+    return f"""[{w} * {s} - {x} * {t} - {y} * {u} - {z} * {v}, {w} * {t} + {x} * {s} + {y} * {v} - {z} * {u},
+        {w} * {u} - {x} * {v} + {y} * {s} + {z} * {t}, {w} * {v} + {x} * {u} - {y} * {t} + {z} * {s}]"""
 
 
 def sql_conjugate(q: str) -> str:

@@ -231,10 +231,19 @@ def left_lock(spark, sf_dir):
     return t.select("vec_id", rounded(pose.at(d, 0)).alias("lx"), rounded(pose.at(d, 7)).alias("lg_delta"), rounded(pose.at(a, 0)).alias("lx_abs"), rounded(pose.at(a, 8)).alias("rx"))
 
 
+MATRIX = "m00 m01 m02 m10 m11 m12 m20 m21 m22"
+
+
+@query(f"""with {TRAJ}, u as (select vec_id, {sql_unit('action[12:15]')} as q from traj), c as (select vec_id, q[1] as w, q[2] as x, q[3] as y, q[4] as z from u),
+    m as (select vec_id, [1 - 2 * (y * y + z * z), 2 * (x * y + w * z), 2 * (x * z - w * y)] as l, 2 * (x * z + w * y) as rx, 2 * (y * z - w * x) as ry, 1 - 2 * (x * x + y * y) as rz from c),
+    h as (select *, rx / sqrt(rx * rx + ry * ry) as hx, ry / sqrt(rx * rx + ry * ry) as hy, sqrt(0.5::double) as k from m),
+    t as (select *, [hx * k, hy * k, case when rz < 0 then -k else k end] as t, [rx, ry, rz] as r, [-hy, hx, 0.0::double] as f from h),
+    a as (select *, [r[2] * t[3] - r[3] * t[2], r[3] * t[1] - r[1] * t[3], r[1] * t[2] - r[2] * t[1]] as a, list_dot_product(r, t) as c from t),
+    p as (select *, [l[1] * c + a[2] * l[3] - a[3] * l[2] + a[1] * list_dot_product(a, l) / (1 + c), l[2] * c + a[3] * l[1] - a[1] * l[3] + a[2] * list_dot_product(a, l) / (1 + c), 0.0::double] as p from a),
+    s as (select vec_id, t, case when list_dot_product(p, f) < 0 then [-e for e in f] else f end as x from p),
+    o as (select vec_id, [x[1], t[2] * x[3] - t[3] * x[2], t[1], x[2], t[3] * x[1] - t[1] * x[3], t[2], x[3], t[1] * x[2] - t[2] * x[1], t[3]] as o from s)
+    select vec_id, {sql_spread('o', MATRIX)} from o""")
 def orientation_constraint(spark, sf_dir):
     """The right gripper's ray at a set angle to the horizontal, its level axis horizontal."""
     turned = trajectory(spark, sf_dir).withColumn("m", constrain_ray(pose.part(F.col("action"), 11, 4), angle_deg=45.0))
-    return turned.select("vec_id", *spread(pose.matrix_to_quat(F.col("m")), "qw qx qy qz"))
-
-
-QUERIES["orientation_constraint"] = orientation_constraint
+    return turned.select("vec_id", *spread(F.col("m"), MATRIX))

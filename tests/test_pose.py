@@ -139,14 +139,37 @@ def test_fused_residual_and_its_label(spark):
     assert one(spark, pose.label_drop_reason(F.col("l")), l=[2.0] + label[1:]) == "pose_residual_out_of_bounds"
 
 
-def test_ray_constraint_holds(spark):
+def rotation(q):
+    w, x, y, z = unit(q)
+    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+
+
+@pytest.mark.parametrize("angle,ray_axis,level_axis", [(45.0, "+z", "+x"), (30.0, "-x", "+z"), (60.0, "+y", "-x"), (45.0, "+z", None), (90.0, "+z", "+x")])
+def test_ray_constraint_holds(spark, angle, ray_axis, level_axis):
     rng = np.random.default_rng(1)
-    q = rng.normal(size=(200, 4))
-    m = orientation.constrained_matrices(orientation.quat_matrices(q), 45.0, "+z", "+x")
-    ray, level = m @ [0, 0, 1.0], m @ [1.0, 0, 0]
-    assert np.allclose(np.degrees(np.arcsin(np.abs(ray[:, 2]))), 45, atol=1e-6)
-    assert np.allclose(m @ m.transpose(0, 2, 1), np.eye(3), atol=1e-9)
-    assert np.median(np.abs(level[:, 2])) < 1e-6
+    quats = [*rng.normal(size=(60, 4)).tolist(), [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(quats)], "i int, q array<double>")
+    got = {r.i: np.array(r.m).reshape(3, 3) for r in rows.select("i", orientation.constrain_ray(F.col("q"), angle, ray_axis, level_axis).alias("m")).collect()}
+    body = lambda name: (-1.0 if name[0] == "-" else 1.0) * np.eye(3)["xyz".index(name[-1])]
+    for i, q in enumerate(quats):
+        before, after = rotation(np.array(q)), got[i]
+        assert np.allclose(after @ after.T, np.eye(3), atol=1e-9) and np.linalg.det(after) > 0
+        ray, old = after @ body(ray_axis), before @ body(ray_axis)
+        assert np.degrees(np.arcsin(np.clip(ray[2], -1, 1))) == pytest.approx(-angle if old[2] < 0 else angle, abs=1e-5)
+        if np.hypot(*old[:2]) > 1e-6 and angle < 90:
+            assert np.allclose(ray[:2] / np.hypot(*ray[:2]), old[:2] / np.hypot(*old[:2]), atol=1e-9)
+        least = np.arccos(np.clip(old @ ray, -1, 1))  # the angle of the shortest turn
+        turned = np.arccos(np.clip((np.trace(after @ before.T) - 1) / 2, -1, 1))
+        if level_axis is None or angle == 90:
+            assert turned == pytest.approx(least, abs=1e-6)
+        else:
+            assert abs((after @ body(level_axis))[2]) < 1e-9
+            assert turned <= np.hypot(least, np.pi / 2) + 1e-6  # never more than a quarter about the ray
+
+
+def test_ray_constraint_refuses_angles_beyond_the_vertical():
+    with pytest.raises(ValueError):
+        orientation.constrain_ray(F.lit(None), 91.0)
 
 
 def numpy_bridge(start, target, arrival, h, fraction=0.5, cap=0.04):
