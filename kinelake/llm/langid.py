@@ -7,7 +7,8 @@ per language and doubling of the n-grams. The prediction is the language of the
 proportion.
 
 Counting covers all learnable documents; a task adds up its own counts before the shuffle, and what is gathered is at
-most languages * BUCKETS numbers.
+most languages * BUCKETS numbers; more than ``MOST_LANGUAGES`` distinct languages are an error, which bounds that and the
+broadcast model.
 
 Defined results: a null text or one without a letter gives ``und`` with score 0; documents with a null language or a null
 id are not learned from; without any learnable document every prediction is ``und``; of equal proportions the
@@ -32,7 +33,8 @@ from .quality_classifier import remainder
 
 #: Hash buckets of the n-grams; smoothing; penalty of a language in nats, times the logarithm of the number of n-grams.
 BUCKETS, SMOOTH, PENALTY = 1 << 15, 0.5, 1.0
-ROUNDS = 25
+#: Most EM rounds for one set of languages; most languages that a model may have (256 MB of numbers).
+ROUNDS, MOST_LANGUAGES = 1000, 1000
 #: Characters that are counted at a time: a long text goes in parts that overlap.
 SPAN = 1 << 20
 _not_letter = re.compile(r"[\W\d_]+")
@@ -65,7 +67,7 @@ def gram_counts(text: str | None) -> np.ndarray | None:
 
 @dataclass
 class LanguageModel:
-    """Languages in alphabetical order, and the logarithms of their n-gram distributions (buckets by languages)."""
+    """Languages in alphabetical order, and their n-gram distributions (buckets by languages)."""
 
     languages: list[str]
     probability: np.ndarray
@@ -82,7 +84,9 @@ class LanguageModel:
         while len(chosen) > 1:
             least = int(np.argmin(share))
             rest = [k for k in range(len(chosen)) if k != least]
-            fewer, worse = _em(p[:, [chosen[k] for k in rest]], n, total)
+            # From what the larger set had found, evened out a little: no language is out of the race.
+            begin = 0.9 * share[rest] / max(share[rest].sum(), 1e-300) + 0.1 / len(rest)
+            fewer, worse = _em(p[:, [chosen[k] for k in rest]], n, total, begin)
             if fit - worse > penalty:
                 break
             chosen, share, fit = [chosen[k] for k in rest], fewer, worse
@@ -99,12 +103,12 @@ class LanguageModel:
         return self.languages[best], float(min(1.0, share[best]))
 
 
-def _em(p: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, float]:
-    """Proportions and log likelihood of one set of languages."""
+def _em(p: np.ndarray, n: np.ndarray, total: float, begin: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Proportions and log likelihood of one set of languages. The likelihood has one maximum, which any start leads to."""
     k = p.shape[1]
     if k == 1:
         return np.ones(1), float(n @ np.log(p[:, 0]))
-    share = np.full(k, 1 / k)
+    share = np.full(k, 1 / k) if begin is None else begin
     for _ in range(ROUNDS):
         mixed = p @ share
         nxt = share * ((n / mixed) @ p) / total
@@ -133,7 +137,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], schema=schema)
 
-    summed = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn: clean the column first")
+    summed = summed.toPandas()
     languages = sorted(summed["lang"].unique())
     counts = np.full((BUCKETS, len(languages)), SMOOTH)
     for k, lang in enumerate(languages):

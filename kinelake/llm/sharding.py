@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_groups
 
 BITS, STEP = 60, 12
 LIMIT = 1 << 20
+#: Copies of one row that one task deals to pages.
+STRETCH = 1000
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,11 +32,15 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(f"`{id_col}`").alias("id"), size.alias("n_bytes"), bits.alias("h"))
 
 
-def _depths(cells: DataFrame, base: int, deep: int, limit: int) -> DataFrame:
-    """(cell, depth): the least depth from ``base`` to ``deep`` at which the cell's bucket fits; null if none does."""
-    levels = cells.withColumn("d", F.explode(F.sequence(F.lit(base), F.lit(deep)))).withColumn("p", F.expr(f"shiftright(cell, {deep} - d)"))
-    sums = levels.groupBy("d", "p").agg(F.sum("n_bytes").alias("total"))
-    fits = levels.select("cell", "d", "p").join(sums, ["d", "p"])
+def _depths(cells: DataFrame, base: int, deep: int, limit: int, scratch: Scratch) -> DataFrame:
+    """(cell, depth): the least depth from ``base`` to ``deep`` at which the cell's bucket fits; null if none does.
+
+    A short prefix has many cells: it meets them like any hot key.
+    """
+    levels = cells.withColumn("d", F.explode(F.sequence(F.lit(base), F.lit(deep))))
+    levels = levels.select("cell", "n_bytes", "d", F.struct("d", F.expr(f"shiftright(cell, {deep} - d)").alias("p")).alias("node"))
+    sums = levels.groupBy("node").agg(F.sum("n_bytes").alias("total"), F.count(F.lit(1)).alias("cells"))
+    fits = join_groups(levels.select("cell", "d", "node"), scratch.put(f"sums{deep}", sums), "node", "cells", how="inner")
     return fits.groupBy("cell").agg(F.min(F.when(F.col("total") <= limit, F.col("d"))).alias("depth"))
 
 
@@ -47,7 +53,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
         deep = min(BITS, base + STEP)
         cell = F.shiftright("h", BITS - deep)
         sums = todo.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
-        depths = scratch.put(f"depths{deep}", _depths(sums, base, deep, limit))
+        depths = scratch.put(f"depths{deep}", _depths(scratch.put(f"cells{deep}", sums), base, deep, limit, scratch))
         side = F.broadcast(depths) if base == 0 else depths  # 2 ** STEP rows at most in the first round
         placed = todo.withColumn("cell", cell).join(side, "cell")
         done = placed.where("depth is not null").select("id", "n_bytes", "depth", F.expr(f"shiftright(h, {BITS} - depth)").alias("prefix"), F.lit(0).cast("long").alias("page"))
@@ -68,7 +74,9 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     alike = rows.groupBy("h", "id", "n_bytes").agg(F.count(F.lit(1)).alias("copies"))
     each = alike.withColumn("fit", F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))).withColumn("need", F.ceil(F.col("copies") / F.col("fit")))
     before = F.sum("need").over(Window.partitionBy("h").orderBy("id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = each.withColumn("first", F.coalesce(before, F.lit(0))).withColumn("i", F.explode(F.expr("sequence(0L, copies - 1)")))
+    # A row with many copies is dealt out in stretches before it becomes rows again.
+    dealt = each.withColumn("first", F.coalesce(before, F.lit(0))).withColumn("from", F.explode(F.expr(f"sequence(0L, copies - 1, {STRETCH}L)")))
+    dealt = dealt.repartition("h", "id", "n_bytes", "from").withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {STRETCH} - 1, copies - 1))")))
     return dealt.select("id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), (F.col("first") + F.floor(F.col("i") / F.col("fit"))).cast("long").alias("page"))
 
 

@@ -31,8 +31,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Verdict of URLs without a rule: sites and files that no training corpus wants.
 BLOCKED = ("*casino*/*", "*porn*/*", "*viagra*/*", "*poker*/*", "*.exe", "*.zip", "*/wp-login*", "*/cart/*")
 BLOCK = 2048
-#: Between host and path of a canonical URL.
-MARK = "\x01"
+#: Between host and path of a canonical URL: half of a surrogate pair, which no text has.
+MARK = "\udfff"
 
 
 @dataclass
@@ -134,7 +134,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, blocked: S
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 hosts, paths = part.column(1).to_pylist(), part.column(2).to_pylist()
-                hit = automaton.match([f".{h.replace(MARK, '')}{MARK}{p.replace(MARK, '')}" for h, p in zip(hosts, paths)])
+                hit = automaton.match([f".{h}{MARK}{p}" for h, p in zip(hosts, paths)])
                 rule: list[str | None] = []
                 verdict = []
                 for row in hit:
@@ -150,7 +150,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, blocked: S
 def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, blocked: Sequence[str] = BLOCKED) -> str:
     """The same verdicts in DuckDB SQL."""
     quoted = ", ".join(f"('{v}', '{r.partition('/')[0]}', '{r[r.index('/'):]}', '{r}')" for v, r in rules)
-    glob = " or ".join(f"('.' || host || path) glob '{g}'" for g in blocked)
+    glob = " or ".join(f"('.' || host || chr(1) || path) glob '{g}'" for g in blocked)
     return f"""
         with r(verdict, rhost, rpath, rule) as (values {quoted}),
         u as (select page_id, case when coalesce(instr(url, '://'), 0) > 0

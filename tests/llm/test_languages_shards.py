@@ -91,3 +91,54 @@ def test_one_repeated_id_fills_pages(spark):
     docs = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
     pages = {r.shard: r.n_bytes for r in sharding.directory(sharding.assign(docs, 1050)).collect()}
     assert len(pages) == 100 and set(pages.values()) == {1000}
+
+
+def brute_mixture(model, counts, steps=200):
+    """Best of all sets of at most two languages on a fine grid, by penalised likelihood."""
+    at = np.flatnonzero(counts)
+    n, p = counts[at], model.probability[at]
+    penalty = langid.PENALTY * np.log(n.sum() + 1)
+    best = None
+    for i in range(p.shape[1]):
+        for j in range(i, p.shape[1]):
+            for u in np.linspace(0, 1, steps + 1) if i != j else [1.0]:
+                share = np.zeros(p.shape[1])
+                share[i] += u
+                share[j] += 1 - u
+                value = float(n @ np.log(p @ share)) - penalty * (1 if i == j or u in (0.0, 1.0) else 2)
+                if best is None or value > best[0]:
+                    best = value, share
+    return best[1]
+
+
+def test_mixtures_against_brute_force():
+    rng = np.random.default_rng(8)
+    table = rng.gamma(0.3, size=(langid.BUCKETS, 3)) + 1e-4
+    model = langid.LanguageModel(["a", "b", "c"], table / table.sum(axis=0))
+    for share in ([1, 0, 0], [0, 0.7, 0.3], [0.5, 0, 0.5], [0, 0, 1], [0.2, 0.8, 0]):
+        counts = rng.multinomial(600, model.probability @ np.array(share, float))
+        got, want = model.mixture(counts), brute_mixture(model, counts)
+        assert np.abs(got - want).max() < 0.02
+        assert np.argmax(got) == np.argmax(want)
+
+
+def test_warm_starts_find_the_same_maximum():
+    rng = np.random.default_rng(9)
+    p, n = rng.gamma(0.5, size=(400, 4)) + 1e-3, rng.integers(1, 9, 400).astype(float)
+    p /= p.sum(axis=0)
+    cold = langid._em(p, n, n.sum())
+    warm = langid._em(p, n, n.sum(), np.array([0.91, 0.03, 0.03, 0.03]))
+    assert warm[1] == pytest.approx(cold[1], abs=0.05)
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "some words here", f"l{i % 3}") for i in range(30)]
+    with pytest.raises(ValueError):
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_many_rows_of_one_id_fill_pages(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
+    shards = sharding.directory(sharding.assign(rows, limit=5000)).collect()
+    assert sum(r.documents for r in shards) == 20_000 and len(shards) == 400 and all(r.n_bytes == 5000 for r in shards)

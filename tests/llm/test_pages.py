@@ -115,3 +115,9 @@ def test_scan_with_tiny_reads(spark, pages, monkeypatch):
 def test_keys():
     assert warc.url_key("http://WWW.Example.com/a/b?c=d#e") == "com,example,www)/a/b?c=d"
     assert warc.url_key(None) == ""
+
+
+def test_marks_in_a_url_do_not_change_its_host(spark):
+    urls = ["http://ex\x01ample.org/es/a", "http://x.exe", "http://a.b/\x01.zip", "http://a.b\x01/cart/"]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in rows] == [("org/", "allow"), (None, "allow"), (None, "block"), (None, "block")]

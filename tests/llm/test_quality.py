@@ -191,3 +191,26 @@ def test_dual_descent_against_the_primal_optimum():
         d = np.zeros_like(w)
         d[:30] = rng.normal(0, 0.02, 30)
         assert primal(w + d, b + rng.normal(0, 0.02)) >= best - 0.02
+
+
+def test_indicators_against_brute_force():
+    """The same hashes, one n-gram at a time."""
+    low = (1 << 64) - 1
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+    def place(x):
+        x &= low
+        return (((x ^ (x >> 29)) * b & low) >> 44) & (qc.DIMS - 1)
+
+    long_word = "aB1" * 40
+    for text in ("One two two THREE 4x!", "", "solo", f"{long_word} {long_word}x -- --", "é É 12 ß"):
+        words = text.split()
+        names = [qc.xxh32_intdigest(w.lower().encode()) for w in words]
+        forms = [qc.xxh32_intdigest(qc.shape(w).encode(), 1) for w in words]
+        forms = [qc.AGAIN if k and names[k] == names[k - 1] else f for k, f in enumerate(forms)]
+        edged = [qc.EDGE, *forms, qc.EDGE]
+        want = {place(w * a + 1) for w in names} | {place(f * b + 2) for f in edged if words}
+        want |= {place(x * a + y * b + 3) for x, y in zip(edged, edged[1:]) if words}
+        want |= {place((x * a + y * b) * c + z * a + 4) for x, y, z in zip(edged, edged[1:], edged[2:])}
+        assert qc.indicators(text).tolist() == sorted(want)
+    assert qc.shape(long_word) != qc.shape(long_word + "x!")
