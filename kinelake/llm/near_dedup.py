@@ -37,7 +37,7 @@ from .components import components
 WORDS, PERCENT, SIDE, HALF = 5, 75, 10, 2
 WORDS_KEPT = 150_000
 #: Pairs of one centre that one comparing task run takes.
-SALTED = 512
+SALTED = 128
 #: Turns of other centres, and centres that a node tries in each.
 TURNS, TRIES = 2, 4
 #: Sets with one token that one block of a self-join takes.
