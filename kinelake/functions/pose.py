@@ -141,6 +141,23 @@ def scatter30(v16: Column) -> Column:
     return F.array(*[at(v16, place[c]) if c in place else F.lit(0.0) for c in range(30)])
 
 
+def release30(v16: Column, reference: Column, release: Column, left_valid: Column, right_valid: Column) -> tuple[Column, Column]:
+    """The 30 channels with both arms' release poses relative to ``reference`` in 14 to 27, and their mask."""
+    poses = F.concat(*[relative_pose(part(reference, o, 7), part(release, o, 7)) for o in (LEFT, RIGHT)])
+    values = let(poses, lambda r: let(scatter30(v16), lambda v: F.concat(F.slice(v, 1, 14), r, F.slice(v, 29, 2))))
+    mask = F.concat(F.array_repeat(F.lit(True), 14), F.array_repeat(left_valid, 7), F.array_repeat(right_valid, 7), F.array_repeat(F.lit(True), 2))
+    return values, mask
+
+
+def split16(v16: Column) -> Column:
+    """A command by name: pose and gripper of either arm."""
+    return F.struct(part(v16, LEFT, 7).alias("left_pose"), at(v16, 7).alias("left_gripper"), part(v16, RIGHT, 7).alias("right_pose"), at(v16, 15).alias("right_gripper"))
+
+
+def assemble16(parts: Column) -> Column:
+    return F.concat(parts["left_pose"], F.array(parts["left_gripper"]), parts["right_pose"], F.array(parts["right_gripper"]))
+
+
 def gather16(v30: Column) -> Column:
     return F.array(*[at(v30, c) for c in EXECUTION_CHANNELS])
 

@@ -60,6 +60,12 @@ def strided_history(df: DataFrame, col: str, index: str, stride: int, length: in
     return out.withColumn(into, F.concat(F.array_repeat(empty, pad), F.col("_k"))).withColumn(into + "_mask", mask).drop("_s", "_k")
 
 
+def kept_history(kept: DataFrame, index: str, stride: int, length: int, by: Sequence[str], empty: Column, into: str = "history") -> DataFrame:
+    """The same over kept rows alone, however far apart their indices are: ``stride`` counts kept rows."""
+    numbered = kept.withColumn("_pos", F.row_number().over(ordered(by, [index])).cast("long") - 1)
+    return strided_history(numbered, index, "_pos", stride, length, by, empty, into).drop("_pos")
+
+
 def keyframes(frames: DataFrame, intervals: DataFrame, every: int, by: Sequence[str], index: str) -> DataFrame:
     """Frames to keep: all inside the intervals [start, end] (both included), every ``every``-th between them, counted
     anew after each interval, and the first and the last. Overlapping intervals count as one."""

@@ -134,7 +134,8 @@ def append_manifest(spark: SparkSession, path: str, stage: str, round_id: int, c
 
 def stale_checkpoints(listing: DataFrame, keep: int = 2) -> DataFrame:
     """Checkpoints (path, modified) that go before a new one is written: all but the newest ``keep``."""
-    return listing.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("modified"), F.desc("path")))).where(F.col("_r") > keep).drop("_r")
+    newest = listing.orderBy(F.desc("modified"), F.desc("path")).limit(keep).select("path")
+    return listing.join(F.broadcast(newest), "path", "left_anti")  # ``keep`` rows
 
 
 def preflight(checks: DataFrame) -> DataFrame:
