@@ -8,7 +8,8 @@ Indexing: a scan notes each record's place under its URL's key with the host rev
 and go into compressed blocks of ``BLOCK`` lines; a sparse directory has the first key of each block.
 
 Reading: a lookup finds its block by binary search in the directory, its lines by binary search in the block, and its
-records by range reads. Reading everything expands all blocks, then goes by archive and place; it searches nothing.
+records by range reads. Many keys are looked up together: ``ROOT`` keys of the directory at most deal it and them to
+tasks, each of which searches its part of the directory; blocks then meet the keys that they may hold.
 
 Defined results: a null html is an empty payload; a null URL has an empty key; rows with one id and equal payloads have
 the same type; a null id ranks below every other; an empty table gives an empty result; columns other than id, URL and
@@ -34,6 +35,8 @@ from .common import Scratch, bitmap_filter, join_groups, might_contain
 END = "\r\n\r\n"
 #: Lines of an index block; records of an archive; bytes that one read asks for.
 BLOCK, RECORDS, CHUNK = 512, 2000, 1 << 20
+#: Keys that deal the directory to tasks, and most characters of one: 4 MB in the driver and in a task.
+ROOT, ROOT_KEY = 4096, 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -88,6 +91,9 @@ def write(pages: DataFrame, path: str, least: int = 0, **names: str) -> None:
     records(typed(pages, least, **names)).write.option("lineSep", END).option("maxRecordsPerFile", str(RECORDS)).mode("overwrite").text(path)
 
 
+BREAKS = str.maketrans("\t\r\n", "   ")
+
+
 def url_key(url: str | None) -> str:
     """com,example,www)/path?query of http://www.example.com/path?query; the host in small letters, no scheme."""
     if not url:
@@ -95,7 +101,8 @@ def url_key(url: str | None) -> str:
     rest = url.partition("://")[2] or url
     cut = min((k for k in (rest.find(c) for c in "/?#") if k >= 0), default=len(rest))
     host = rest[:cut].lower()
-    return ",".join(reversed(host.split("."))) + ")" + rest[cut:].partition("#")[0]
+    key = ",".join(reversed(host.split("."))) + ")" + rest[cut:].partition("#")[0]
+    return key.translate(BREAKS)  # a line of a block has tabs between its parts
 
 
 def _open(uri: str) -> pa.NativeFile:
@@ -138,6 +145,7 @@ class CaptureIndex:
         self.spark, self.archives = spark, archives
         self.scratch = scratch or Scratch(spark, "capture-index")
         self._blocks: DataFrame | None = None
+        self._directory: DataFrame | None = None
         self._spans: tuple[list[str], list[str]] | None = None
 
     def captures(self) -> DataFrame:
@@ -152,14 +160,14 @@ class CaptureIndex:
         return files.mapInArrow(run, "key string, uri string, `offset` long, length long")
 
     def blocks(self) -> DataFrame:
-        """(first, last, n, data): compressed lines in the order of their keys, one row for each block."""
+        """(first, last, n, data, block): compressed lines in the order of their keys, one row for each block."""
         if self._blocks is None:
             made = self.scratch.put("captures", self.captures())
             ordered = made.repartitionByRange("key", "uri", "offset").sortWithinPartitions("key", "uri", "offset")
             schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("n", pa.int32()), ("data", pa.binary())])
 
             def pack(lines: list[tuple]) -> tuple:
-                text = "\n".join("\t".join((k.replace("\t", " ").replace("\n", " "), u, str(o), str(n))) for k, u, o, n in lines)
+                text = "\n".join("\t".join((k, u, str(o), str(n))) for k, u, o, n in lines)
                 return lines[0][0], lines[-1][0], len(lines), zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +184,78 @@ class CaptureIndex:
 
                 yield from out_batches(packed(), schema)
 
-            self._blocks = self.scratch.put("blocks", ordered.mapInArrow(run, "first string, last string, n int, data binary"))
+            packed = ordered.mapInArrow(run, "first string, last string, n int, data binary")
+            self._blocks = self.scratch.put("blocks", packed.withColumn("block", F.monotonically_increasing_id()))
         return self._blocks
 
     def directory(self) -> DataFrame:
-        """The sparse directory: first and last key of each block."""
-        return self.blocks().select("first", "last", "n")
+        """(first, last, n, block): the sparse directory, a written table with the first and last key of each block."""
+        if self._directory is None:
+            self._directory = self.scratch.put("directory", self.blocks().select("first", "last", "n", "block"))
+        return self._directory
+
+    def spanning(self, keys: DataFrame) -> DataFrame:
+        """(key, block): the blocks whose span holds a key, by binary search in the directory.
+
+        A key and the blocks around it meet in the slot between two root keys. A task holds the directory's rows of one
+        slot at a time, which is about one of ``ROOT``, and takes the slot's keys one after another.
+        """
+        firsts = self.directory().select(F.substring("first", 1, ROOT_KEY).alias("first")).distinct()
+        root = sorted(r["first"] for r in firsts.orderBy(F.xxhash64("first"), "first").limit(ROOT).collect())
+        schema = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("key", pa.string()), ("last", pa.string()), ("block", pa.int64())])
+        ddl = "slot int, kind int, key string, last string, block long"
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3))))
+            yield from out_batches(((slot, 0, first, last, block) for first, last, block in rows for slot in range(bisect_right(root, first), bisect_right(root, last) + 1)), schema, lambda _: 200)
+
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from out_batches(((bisect_right(root, key), 1, key, None, None) for b in batches for key in b.column(0).to_pylist()), schema, lambda _: 200)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def found() -> Iterator[tuple]:
+                at, low, high, numbers = None, [], [], []
+                for b in batches:
+                    for slot, kind, key, last, block in zip(*(b.column(k).to_pylist() for k in range(5))):
+                        if slot != at:
+                            at, low, high, numbers = slot, [], [], []
+                        if kind == 0:
+                            low.append(key)
+                            high.append(last)
+                            numbers.append(block)
+                            continue
+                        for k in range(bisect_left(high, key), bisect_right(low, key)):
+                            yield key, numbers[k]
+
+            yield from out_batches(found(), pa.schema([("key", pa.string()), ("block", pa.int64())]), lambda _: 200)
+
+        dealt = self.directory().select("first", "last", "block").mapInArrow(entries, ddl).unionByName(keys.select("key").mapInArrow(wanted, ddl))
+        ordered = dealt.repartition("slot").sortWithinPartitions("slot", "kind", "key", "last", "block")
+        return ordered.mapInArrow(search, "key string, block long")
+
+    def locate(self, keys: DataFrame) -> DataFrame:
+        """(key, uri, offset, length): the captures of distinct keys, by binary search in the blocks that span them."""
+        met = self.spanning(keys)
+        rows = self.blocks().select("block", F.lit(None).cast("string").alias("key"), "data").unionByName(met.select("block", "key", F.lit(None).cast("binary").alias("data")))
+        ordered = rows.repartition("block").sortWithinPartitions("block", F.col("key").asc_nulls_first())
+        schema = pa.schema([("key", pa.string()), ("uri", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def found() -> Iterator[tuple]:
+                at, data, lines, own = None, b"", [], []
+                for b in batches:
+                    for block, key, packed in zip(*(b.column(k).to_pylist() for k in range(3))):
+                        if block != at:
+                            at, data, lines = block, packed, []
+                            continue
+                        if not lines:  # only blocks with a key are unpacked
+                            lines = lines_of(data)
+                            own = [x[0] for x in lines]
+                        yield from lines[bisect_left(own, key) : bisect_right(own, key)]
+
+            yield from out_batches(found(), schema, lambda _: 200)
+
+        return ordered.mapInArrow(search, "key string, uri string, `offset` long, length long")
 
     def lookup(self, url: str) -> list[tuple[str, int, int]]:
         """(uri, offset, length) of the captures of one URL.
@@ -205,14 +279,10 @@ class CaptureIndex:
             found += [x[1:] for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
         return sorted(found)
 
-    def read(self) -> DataFrame:
-        """(id, url, record_type, refers_to, digest, payload) of all captures, read by ranges through the index."""
-        schema = pa.schema([("uri", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-
-        def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from out_batches((x[1:] for b in batches for data in b.column(0).to_pylist() for x in lines_of(data)), schema, lambda _: 100)
-
-        places = self.blocks().select("data").mapInArrow(expand, "uri string, `offset` long, length long")
+    def read(self, keys: DataFrame) -> DataFrame:
+        """(id, url, record_type, refers_to, digest, payload) of the captures of distinct keys, found through the index
+        and read by ranges."""
+        places = self.locate(keys).select("uri", "offset", "length")
         # An archive has a bounded number of records: its reads stay together, in order.
         ordered = places.repartition("uri").sortWithinPartitions("uri", "offset")
         out = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload", pa.binary())])
@@ -254,6 +324,17 @@ def record_of(raw: bytes) -> tuple:
     return page(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], page(head.get("warc-refers-to")), head["warc-payload-digest"].removeprefix("sha1:"), block[block.index(END.encode()) + 4 :]
 
 
+def keys_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """(key): the distinct keys of the pages' URLs, as their records state them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["key"])
+
+    stated = pages.select(F.regexp_replace(F.col(f"`{url_col}`").cast("string"), r"[\r\n]+", " ").alias("url")).distinct()
+    return stated.mapInArrow(run, "key string").distinct()
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -283,7 +364,7 @@ def round_trip(pages: DataFrame, least: int = 0, **names: str) -> DataFrame:
 
         yield from out_batches(rows(), schema, lambda _: 100)
 
-    read = index.read().select("id", "record_type", "refers_to", "digest", "payload")
+    read = index.read(keys_of(pages, names.get("url_col", "url"))).select("id", "record_type", "refers_to", "digest", "payload")
     seen = scratch.put("seen", read.mapInArrow(judge, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
     responses = seen.where("record_type = 'response'")
     revisits = seen.where("record_type = 'revisit'").drop("payload_bytes")
