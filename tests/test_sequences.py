@@ -209,3 +209,39 @@ def test_filters_and_columns_reach_the_scan(spark):
 
     plan = registry.queries()["asof_causal"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in plan and "props" not in plan
+
+
+def test_frames_only_grow(spark):
+    """No window looks at all that follows, which would be computed anew for each row."""
+    s = spark.createDataFrame([(1, float(i), float(i)) for i in range(5)], "k long, t double, v double")
+    grid = s.select("k", F.col("t").cast("long").alias("frame_index"), (F.col("t") + 0.5).alias("grid_time"))
+    frames = [resample.interpolate(grid, s, ["k"], "t", "v", "y"), sequence.next_marked(s.withColumn("m", F.col("t") == 3), "m", "v", ["k"], ["t"], "n")]
+    for df in frames:
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower().replace(" ", "")
+
+
+def test_folds_of_many_stretches(spark):
+    n = 3 * sequence.STRETCH + 1
+    rows = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    out = sequence.fold(rows, ["k"], ["i"], ["v"], F.lit(0.0), lambda s, r: s + r["v"], "total")
+    total, want = 0.0, []
+    for i in range(n):
+        total += i % 7
+        want.append((i, total))
+    assert [(r.i, r.total) for r in out.orderBy("i").collect()] == want
+
+
+def test_repeated_requests_are_all_answered(spark):
+    requests = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 5), (2, 5)], "k long, want long")
+    files = spark.createDataFrame([(1, 10), (1, 20)], "k long, file_end long")
+    got = sorted(map(str, align.resolve_ranges(requests, files, ["k"], "want", "file_end", []).select("k", "file_end").collect()))
+    assert got == sorted(map(str, spark.createDataFrame([(1, 10), (1, 10), (1, 20), (2, None), (2, None)], "k long, file_end long").collect()))
+
+
+def test_stretches_number_whole_orders(spark):
+    rows = [(f"g{k % 900:03d}", k) for k in range(2000)] + [("g000", 5000)]
+    df = spark.createDataFrame(rows, "g string, i long").repartition(6)
+    place = {r: k for k, r in enumerate(sorted(rows))}
+    assert {(r.g, r.i): r["index"] for r in indexing.global_index(df, "g", ["i"]).collect()} == place
+    assert {r.g: r.n for r in indexing.renumber(df, "g", "n").select("g", "n").distinct().collect()} == {f"g{k:03d}": k for k in range(900)}
+    assert indexing.renumber(df.limit(0), "g", "n").collect() == []
