@@ -73,7 +73,7 @@ def read_frames(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_episodes(spark: SparkSession, root: str, split: str | None = None, tasks: Sequence[str] = (), start: int = 0, limit: int | None = None) -> DataFrame:
-    """Episodes with an instruction; ``split`` is "a:b" of episode numbers, ``tasks`` filters by words, ``start`` skips.
+    """Episodes with an instruction, in order; ``split`` is "a:b" of episode numbers, ``tasks`` filters by words, ``start`` skips.
 
     The instruction is the first segment's text, else the first task, else the folder's name as a phrase. Filters run on
     the metadata, before any frame is read.
@@ -88,7 +88,8 @@ def read_episodes(spark: SparkSession, root: str, split: str | None = None, task
     e = e.where(text.matches_any(F.col("instruction"), tasks))
     if start:
         e = e.withColumn("_r", F.row_number().over(Window.orderBy("episode_index"))).where(F.col("_r") > start).drop("_r")
-    return e.orderBy("episode_index").limit(limit) if limit is not None else e
+    e = e.orderBy("episode_index")
+    return e.limit(limit) if limit is not None else e
 
 
 def segments(episodes: DataFrame) -> DataFrame:
