@@ -34,6 +34,8 @@ BLOCK, SHORT = 256, 64
 #: Rows and bytes of the record batches that a worker gives back.
 ROWS_OUT, BYTES_OUT = 512, 8 << 20
 NONE = 1 << 62
+#: Symbols of the trees that hold a word of so many bytes: a power of two of pairs. 0: the word has a tree of its own.
+WIDTHS = np.array([0, 1, *(max(2, 1 << (n - 2).bit_length()) + 1 for n in range(2, SHORT + 1)), 0])
 
 
 def byte_symbols() -> list[str]:
@@ -135,31 +137,36 @@ class Forest:
         tree[:, size : size + width - 1] = self.leaves(symbols[:, :-1], symbols[:, 1:], place[None, :], bits)
         for k in range(size - 1, 0, -1):
             np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
-        symbols = np.concatenate([symbols, np.full((n, 1), -1)], axis=1)  # a last column that stays empty
-        after = np.broadcast_to(np.minimum(np.arange(1, width + 2), width), (n, width + 1)).copy()
-        before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
+        wide = width + 1  # a last column that stays empty
+        cells = np.concatenate([symbols, np.full((n, 1), -1)], axis=1).ravel()
+        after = np.tile(np.minimum(np.arange(1, width + 2), width), n)
+        before = np.tile(np.arange(-1, width), n)
+        nodes = tree.ravel()
         rows = np.flatnonzero(tree[:, 1] < NONE)
         while len(rows):
-            root = tree[rows, 1]
+            row, top = rows * wide, rows * (2 * size)
+            root = nodes[top + 1]
             i = root & (size - 1)
-            j = after[rows, i]
-            symbols[rows, i] = self.merged[root >> bits]
-            symbols[rows, j] = -1
-            k = after[rows, j]
-            after[rows, i] = k
-            before[rows, k] = i
-            h = before[rows, i]
-            tree[rows, size + i] = self.leaves(symbols[rows, i], symbols[rows, k], i, bits)
-            inner = j < size  # the last symbol begins no pair
-            tree[rows[inner], size + j[inner]] = NONE
-            led = h >= 0
-            tree[rows[led], size + h[led]] = self.leaves(symbols[rows[led], h[led]], symbols[rows[led], i[led]], h[led], bits)
-            for at in (size + i, size + np.where(inner, j, i), size + np.where(led, h, i)):
+            j = after[row + i]
+            cells[row + i] = merged = self.merged[root >> bits]
+            cells[row + j] = -1
+            k = after[row + j]
+            after[row + i] = k
+            before[row + k] = i
+            h = before[row + i]
+            nodes[top + size + i] = self.leaves(merged, cells[row + k], i, bits)
+            inner, led = j < size, h >= 0  # the last symbol begins no pair
+            nodes[(top + size + j)[inner]] = NONE
+            ahead = h[led]
+            nodes[top[led] + size + ahead] = self.leaves(cells[row[led] + ahead], merged[led], ahead, bits)
+            for at, over in ((i, top), (j[inner], top[inner]), (ahead, top[led])):
+                at = size + at
                 for _ in range(bits):
                     at = at >> 1
-                    tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
-            rows = rows[tree[rows, 1] < NONE]
-        return symbols[:, :-1]
+                    pair = over + 2 * at
+                    nodes[over + at] = np.minimum(nodes[pair], nodes[pair + 1])
+            rows = rows[nodes[top + 1] < NONE]
+        return cells.reshape(n, wide)[:, :-1]
 
 
 class WordBpe:
@@ -197,6 +204,7 @@ class WordBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.forest = Forest(self.merges.ranks, size)
         self.full = None not in self.inner and None not in self.last  # each byte has its symbols
+        self.inner_ids, self.last_ids = (np.array(x if self.full else [], np.int64) for x in (self.inner, self.last))
         self.words: dict[str, bytes] = {}  # word -> packed ids
 
     def encode_word(self, word: str) -> bytes:
@@ -207,27 +215,29 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Fills the table of words."""
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            raw = word.encode()
-            if self.full and len(raw) <= SHORT:
-                by_size.setdefault(max(2, 1 << (len(raw) - 2).bit_length()) + 1 if len(raw) > 1 else 1, []).append((word, raw))
-            else:
-                self.words[word] = self.encode_word(word)
-        inner, last = (np.array(x if self.full else [], np.int64) for x in (self.inner, self.last))
-        for width, own in by_size.items():
-            sizes = np.array([len(raw) for _, raw in own])
-            flat = np.frombuffer(b"".join(raw for _, raw in own), np.uint8)
-            ids, ends = inner[flat], np.cumsum(sizes) - 1
-            ids[ends] = last[flat[ends]]
+        if not self.full:
+            self.words.update((word, self.encode_word(word)) for word in words)
+            return
+        raws = list(map(str.encode, words))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        widths = WIDTHS[np.minimum(sizes, SHORT + 1)]
+        for width in np.unique(widths).tolist():
+            places = np.flatnonzero(widths == width)
+            own = [words[i] for i in places.tolist()]
+            if not width:
+                self.words.update((word, self.encode_word(word)) for word in own)
+                continue
+            count = sizes[places]
+            flat = np.frombuffer(b"".join([raws[i] for i in places.tolist()]), np.uint8)
+            ids, ends = self.inner_ids[flat], np.cumsum(count) - 1
+            ids[ends] = self.last_ids[flat[ends]]
             symbols = np.full((len(own), width), -1, np.int64)
-            symbols[np.arange(width)[None, :] < sizes[:, None]] = ids
+            symbols[np.arange(width)[None, :] < count[:, None]] = ids
             symbols = self.forest.apply(symbols)
             there = symbols >= 0
             packed = symbols[there].astype("<u4").tobytes()
-            cuts = [0, *(4 * np.cumsum(there.sum(axis=1))).tolist()]
-            for (word, _), a, b in zip(own, cuts, cuts[1:]):
-                self.words[word] = packed[a:b]
+            ends = (4 * np.cumsum(there.sum(axis=1))).tolist()
+            self.words.update(zip(own, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends))))
 
     def split_words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
@@ -251,14 +261,18 @@ class WordBpe:
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         split = [self.pieces(t) for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            for part in parts:
-                if isinstance(part, list):
-                    new.update(part)
-        self.learn([w for w in new if w not in self.words])
-        known = self.words.__getitem__
-        return [b"".join(part if isinstance(part, bytes) else b"".join(map(known, part)) for part in parts) for parts in split]
+        get = self.words.get
+        done = [[part if isinstance(part, bytes) else list(map(get, part)) for part in parts] for parts in split]
+        gaps, new = [], set()  # (words, their packed ids, places of words that are not known yet)
+        for words, found in ((w, f) for parts, own in zip(split, done) for w, f in zip(parts, own) if isinstance(f, list)):
+            if places := [i for i, x in enumerate(found) if x is None]:
+                gaps.append((words, found, places))
+                new.update([words[i] for i in places])
+        self.learn(list(new))
+        for words, found, places in gaps:
+            for i in places:
+                found[i] = get(words[i])
+        return [b"".join(part if isinstance(part, bytes) else b"".join(part) for part in parts) for parts in done]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_block([text])[0]
