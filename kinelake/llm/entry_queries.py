@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, sharding, url_filter, warc
+from . import bpe, chat_format, langid, merkle, packing, periodic_runs, sharding, url_filter, warc
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_groups
@@ -66,8 +66,32 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs, least=6, copies=4))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_format.read_back(chat_format.windows(turns, tokenizer_path()), together=True)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without = F.translate("text", "\n", "")
+    tampered = F.when(struck & (without != F.col("text")), F.unhex(merkle.leaf_digest(*[without if c == "text" else F.col(c) for c in fields])))
+    told = merkle.manifest(docs, fields, "source", "doc_id", tampered=tampered)
+    folded = merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("proof"))
+    told = told.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_bpe, op2_quality_classifier, op3_sharding, op4_packing, op5_exact_dedup, op6_url_filter, op7_near_dedup, op8_quality_rules, op9_warc, op10_language_id]
+    found = [op1_bpe, op2_quality_classifier, op3_sharding, op4_packing, op5_exact_dedup, op6_url_filter, op7_near_dedup, op8_quality_rules, op9_warc, op10_language_id, op11_periodic_runs, op12_chat_formatting, op13_merkle_manifest]
     return {f.__name__: f for f in found}
 
 
@@ -78,6 +102,7 @@ def oracle_sql() -> dict[str, str]:
             g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from n group by 1)
             select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, n.text_sha256 from n join g using (text_sha256)
         """,
+        "op13_merkle_manifest": merkle.oracle_sql(),
         "op3_sharding": sharding.oracle_sql(),
         "op9_warc": warc.oracle_sql(),
         "op6_url_filter": url_filter.oracle_sql(),
