@@ -8,20 +8,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _in_order(keys: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
-    """Adds ``_b``: which of ``ranges`` stretches of the order a row is in. Their bounds come from at most 16 * ranges
-    rows, so no stretch depends on the size of the table and none is the whole of it."""
-    some = keys.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(16 * ranges).orderBy(*order).collect()
-    fields = [keys.schema[c].dataType for c in order]
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, fields, order)]) for row in some[16::16]]
+#: Rows of a stretch at least about, the fewest and the most stretches, and keys that are looked at for each bound.
+STRETCH_ROWS, FEWEST, MOST, LOOKS = 1 << 20, 16, 4096, 8
+#: Bounds that are compared one by one; beyond them every such bound is compared first.
+FANOUT = 64
+
+
+def in_order(rows: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Adds ``_b``: which of about ``ranges`` stretches of the order a row is in; by default as many as the rows need.
+
+    Bounds come from a sample of at most ``MOST * LOOKS`` keys or so. They say how even the stretches are, never what the
+    result is. Rows of one key stay together.
+    """
+    total = rows.count()
+    ranges = min(MOST, max(FEWEST, -(-total // STRETCH_ROWS))) if ranges is None else ranges
+    keys = rows.select(*order)
+    share = min(1.0, ranges * LOOKS / max(1, total))
+    some = sorted({tuple(r): r for r in (keys.sample(share, 7) if share < 1 else keys).collect()}.items(), key=lambda x: tuple((v is not None, v) for v in x[0]))
+    step = max(1, len(some) // ranges)
+    fields = [rows.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(key, fields, order)]) for key, _ in some[step::step]]
     if not bounds:
-        return keys.withColumn("_b", F.lit(0))
-    return keys.withColumn("_b", F.size(F.filter(F.array(*bounds), lambda bound: bound <= F.struct(*order))))
+        return rows.withColumn("_b", F.lit(0))
+    here = F.struct(*order)
+    below = lambda some: F.size(F.filter(some, lambda bound: bound <= here))
+    if len(bounds) <= FANOUT:
+        return rows.withColumn("_b", below(F.array(*bounds)))
+    parts = [bounds[k : k + FANOUT] for k in range(0, len(bounds), FANOUT)]
+    part = below(F.array(*[p[0] for p in parts[1:]]))
+    return rows.withColumn("_b", part * FANOUT + below(F.get(F.array(*[F.array(*p) for p in parts]), part)))
 
 
-def _running(rows: DataFrame, order: Sequence[str], amount: Column, into: str) -> DataFrame:
+def running(rows: DataFrame, order: Sequence[str], amount: Column, into: str) -> DataFrame:
     """The sum of ``amount`` over the rows before each row in the order: inside a stretch, and over the stretches before."""
-    dealt = _in_order(rows, order)
+    dealt = in_order(rows, order)
     totals = dealt.groupBy("_b").agg(F.sum(amount).alias("_t"))
     first = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_f"))  # one row for each stretch
     own = F.sum(amount).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - amount
@@ -32,13 +52,13 @@ def first_appearance_ids(df: DataFrame, key: str, order: Sequence[str], into: st
     """(key, id): ids from 0 in the order in which keys first appear. The ranking runs over keys, not rows."""
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     flat = firsts.select(key, *[F.col(f"_first.{c}").alias(f"_first_{k}") for k, c in enumerate(order)])
-    return _running(flat, [f"_first_{k}" for k in range(len(order))], F.lit(1), into).select(key, into)
+    return running(flat, [f"_first_{k}" for k in range(len(order))], F.lit(1), into).select(key, into)
 
 
 def global_index(df: DataFrame, group: str, local: Sequence[str], into: str = "index") -> DataFrame:
     """Running offset of the groups before a row's group plus its place in it: dense over all rows."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _running(sizes, [group], F.col("_n"), "_offset").drop("_n")
+    offsets = running(sizes, [group], F.col("_n"), "_offset").drop("_n")
     place = F.row_number().over(Window.partitionBy(group).orderBy(*local)) - 1
     return df.withColumn("_place", place).join(offsets, group).withColumn(into, F.col("_offset") + F.col("_place")).drop("_place", "_offset")
 
@@ -46,7 +66,7 @@ def global_index(df: DataFrame, group: str, local: Sequence[str], into: str = "i
 def renumber(df: DataFrame, group: str, into: str) -> DataFrame:
     """Dense numbers from 0 of the groups that are left, in their order."""
     left = df.select(group).distinct()
-    return df.join(_running(left, [group], F.lit(1), into), group)
+    return df.join(running(left, [group], F.lit(1), into), group)
 
 
 def shard_round_robin(df: DataFrame, family: Sequence[str], order: Sequence[str], shards: int, into: str = "shard") -> DataFrame:

@@ -105,7 +105,7 @@ def draw_number(seed: Column, slot: Column, size: Column) -> Column:
 
 
 def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return indexing._running(df, order, F.lit(1), "_number")
+    return indexing.running(df, order, F.lit(1), "_number")
 
 
 def rank_draws(df: DataFrame, order: Sequence[str], ranks: int, size: int, seed: int, stride: int = 100_003) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import pose
+from kinelake.operators import align
 
 
 def finite(v: Column) -> Column:
@@ -33,23 +34,24 @@ def uniform_grid(windows: DataFrame, start: str, end: str, fps: float) -> DataFr
     return good.withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))).withColumn("grid_time", F.col(start) + F.col("frame_index") / F.lit(float(fps)))
 
 
-def _bracket(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, value: str) -> DataFrame:
-    """Grid rows with _before and _after: structs (t, v) of the neighbouring samples; both are the sample at its own time."""
+def _bracket(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, value: str, slices: int | None = 0) -> DataFrame:
+    """Grid rows with _before and _after: structs (t, v) of the neighbouring samples; both are the sample at its own time.
+    ``slices`` as in :func:`kinelake.operators.align.asof`."""
     row = F.struct(*[F.col(c) for c in grid.columns])
     s = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
     s_type = samples.select(s.alias("s")).schema["s"].dataType
     a = grid.select(*by, F.col("grid_time").alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(s_type).alias("_s"))
     b = samples.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), s.alias("_s"))
-    u = a.unionByName(b)
+    u, sliced = align.in_slices(a.unionByName(b), by, slices)
     # Each frame grows by one row at a time: what comes after is what came before, from the end.
-    held = lambda *order: F.last("_s", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before, after = held("_t", "_side", "_s"), held(F.desc("_t"), "_side", F.desc("_s"))
-    return u.withColumn("_before", before).withColumn("_after", after).where(F.col("_row").isNotNull()).select("_row.*", "_before", "_after")
+    u = align.neighbour(u, by, "_s", "_before", "_s", False, sliced)
+    u = align.neighbour(u, by, "_s", "_after", "_s", True, sliced)
+    return u.where(F.col("_row").isNotNull()).select("_row.*", "_before", "_after")
 
 
-def interpolate(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, value: str, into: str, mix: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def interpolate(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, value: str, into: str, mix: Callable[[Column, Column, Column], Column] | None = None, slices: int | None = 0) -> DataFrame:
     """Values on the grid between neighbouring samples; the ends hold beyond the series. ``mix(a, b, u)`` is linear by default."""
-    both = _bracket(grid, samples, by, time, value)
+    both = _bracket(grid, samples, by, time, value, slices)
     a, b = F.col("_before"), F.col("_after")
     mix = mix or (lambda x, y, u: x + (y - x) * u)
     u = (F.col("grid_time") - a["t"]) / (b["t"] - a["t"])
@@ -57,14 +59,14 @@ def interpolate(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: st
     return both.withColumn(into, out).drop("_before", "_after")
 
 
-def interpolate_rotation(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, value: str, into: str) -> DataFrame:
+def interpolate_rotation(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, value: str, into: str, slices: int | None = 0) -> DataFrame:
     """Quaternions on the grid along the shortest arcs."""
-    return interpolate(grid, samples.withColumn(value, pose.quat_normalize(F.col(value), canonical=False)), by, time, value, into, pose.slerp)
+    return interpolate(grid, samples.withColumn(value, pose.quat_normalize(F.col(value), canonical=False)), by, time, value, into, pose.slerp, slices)
 
 
-def nearest_index(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, index: str, into: str) -> DataFrame:
+def nearest_index(grid: DataFrame, samples: DataFrame, by: Sequence[str], time: str, index: str, into: str, slices: int | None = 0) -> DataFrame:
     """The index of the sample nearest to each grid point; the earlier one wins a tie."""
-    both = _bracket(grid, samples, by, time, index)
+    both = _bracket(grid, samples, by, time, index, slices)
     a, b, g = F.col("_before"), F.col("_after"), F.col("grid_time")
     first = a.isNotNull() & (b.isNull() | (g - a["t"] <= b["t"] - g))
     return both.withColumn(into, F.when(first, a["v"]).otherwise(b["v"])).drop("_before", "_after")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import pose
+from kinelake.operators import indexing
 
 #: Rows of a fold whose outputs are gathered at a time.
 STRETCH = 128
@@ -62,6 +63,45 @@ def decode_deltas(df: DataFrame, col: str, by: Sequence[str], order: Sequence[st
     return fold(rows, by, order, [*keep, "_delta"], F.array(*[F.lit(float(x)) for x in start]), lambda s, r: pose.apply16(s, r["_delta"]), "decoded").drop("_delta")
 
 
+def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], keep: Sequence[str], item: Column, combine: Callable[[Column, Column], Column], into: str, ranges: int | None = None) -> DataFrame:
+    """Prefixes of an associative ``combine`` over each group in order, whatever its length, one output row for each row.
+
+    Three levels, each in parallel: runs of ``STRETCH`` rows, runs of a slice of the order, slices of a group. Each level
+    folds what the one below adds up to, so no task gathers more than a slice's runs; a row takes its own prefix and those
+    of the run and the slice before it.
+    """
+    names = list(dict.fromkeys([*by, *order, *keep]))
+    dealt = indexing.in_order(df.withColumn("_item", item), [*by, *order], ranges)
+    number = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1
+    dealt = dealt.withColumn("_k", F.floor(number / STRETCH).cast("int"))
+    rows = _prefixes(dealt, [*by, "_b", "_k"], order, [n for n in names if n not in (*by, *order)], combine)
+    runs = _prefixes(_totals(rows, [*by, "_b", "_k"], order), [*by, "_b"], ["_k"], [], combine)
+    slices = _prefixes(_totals(runs, [*by, "_b"], ["_k"]), list(by), ["_b"], [], combine)
+    before = lambda t, keys, last, name: t.select(*keys, (F.col(last) + 1).alias(last), F.col("_prefix").alias(name))
+    met = rows.withColumnRenamed("_prefix", "_own")
+    met = met.join(before(runs, [*by, "_b"], "_k", "_run"), [*by, "_b", "_k"], "left")
+    places = slices.withColumn("_next", F.lead("_b").over(Window.partitionBy(*by).orderBy("_b"))).where("_next is not null")
+    met = met.join(places.select(*by, F.col("_next").alias("_b"), F.col("_prefix").alias("_slice")), [*by, "_b"], "left")
+    after = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).otherwise(combine(F.col(a), F.col(b)))
+    return met.withColumn("_own", after("_run", "_own")).withColumn(into, after("_slice", "_own")).select(*names, into)
+
+
+def _prefixes(df: DataFrame, by: Sequence[str], order: Sequence[str], keep: Sequence[str], combine: Callable[[Column, Column], Column]) -> DataFrame:
+    none = F.lit(None).cast(df.schema["_item"].dataType)
+    step = lambda s, r: F.when(s.isNull(), r["_item"]).otherwise(combine(s, r["_item"]))
+    return fold(df, by, order, [*keep, "_item"], none, step, "_prefix").drop("_item")
+
+
+def _totals(prefixes: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return prefixes.groupBy(*by).agg(F.max_by("_prefix", F.struct(*order)).alias("_item"))
+
+
+def decode_long(df: DataFrame, col: str, by: Sequence[str], order: Sequence[str], keep: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """:func:`decode_deltas` from the identity for series of any length: poses compose associatively."""
+    start = F.array(*[F.lit(float(x)) for x in [0.0, 0.0, 0.0, *pose.IDENTITY, 0.0] * 2])
+    return scan(df, by, order, keep, pose.apply16(start, F.col(col)), pose.apply16, "decoded", ranges)
+
+
 def continuous_signs(df: DataFrame, col: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Flips quaternions so that each is on the side of the corrected one before it.
 

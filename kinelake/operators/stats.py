@@ -3,19 +3,93 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.sources import shared
+
 from .resample import finite
 
 
-def channel_stats(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
-    """(channel, q01, q99, min, max, mean, std, count) of each channel; quantiles interpolate linearly."""
+#: Values of a group that one buffer may hold; points and accuracy of the sketch that narrows larger groups.
+HELD, POINTS, ACCURACY = 1 << 16, 128, 4096
+
+
+def exact_quantiles(rows: DataFrame, by: Sequence[str], x: str, shares: Sequence[float], held: int | None = None) -> DataFrame:
+    """(by, share, value): quantiles that interpolate linearly, exact for groups of any size.
+
+    Each wanted rank is bracketed by two values. A mergeable sketch of the rows in the bracket gives a narrower one, whose
+    ranks are then counted, not estimated; that is repeated until at most ``held`` rows, or one value, are left. No buffer
+    holds more than a sketch or ``held`` values, and every round reads only the rows in the brackets.
+    """
+    held = held or HELD
+    spark, keys = rows.sparkSession, list(by)
+    data = rows.select(*keys, F.col(x).cast("double").alias("_x")).where("_x is not null")
+    wanted = spark.createDataFrame([(float(p),) for p in shares], "share double")
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    at = (F.col("n") - 1) * F.col("share")
+    ends = F.explode(F.array(*[F.struct(f(at).cast("long").alias("rank"), F.lit(k).alias("end")) for k, f in enumerate((F.floor, F.ceil))])).alias("_e")
+    open_ = sizes.crossJoin(F.broadcast(wanted)).select(*keys, "share", "n", "lo", "hi", ends)  # a row for each share
+    targets = open_.select(*keys, "share", "n", "lo", "hi", "_e.*", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    targets = _kept(targets)
+    points = [k / POINTS for k in range(POINTS + 1)]
+    names, before = targets.columns, None
+    while (left := targets.where(f"inside > {held} and lo < hi").agg(F.count(F.lit(1)), F.sum("inside")).first()) and left[0] and tuple(left) != before:
+        before = tuple(left)
+        wide = targets.where(f"inside > {held} and lo < hi")
+        near = _within(data, wide, keys)
+        sketch = near.groupBy(*keys, "share", "end").agg(F.percentile_approx("_x", points, ACCURACY).alias("p"))
+        place = (F.col("rank") - F.col("below")) / F.col("inside") * POINTS
+        edge = 1 + POINTS * 2 // ACCURACY
+        cut = wide.join(sketch, [*keys, "share", "end"]).withColumn("_lo", F.get("p", F.greatest(F.floor(place).cast("int") - edge, F.lit(0)))).withColumn("_hi", F.get("p", F.least(F.ceil(place).cast("int") + edge, F.lit(POINTS)))).drop("p")
+        counted = _within(data, cut, keys).groupBy(*names, "_lo", "_hi").agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_under"), F.sum(F.col("_x").between(F.col("_lo"), F.col("_hi")).cast("long")).alias("_in"))
+        first, last = F.col("below") + F.col("_under"), F.col("below") + F.col("_under") + F.col("_in")
+        missed_low, missed_high = F.col("rank") < first, F.col("rank") >= last  # the sketch was off: keep that side
+        lo, hi = F.when(missed_low, F.col("lo")).otherwise(F.col("_lo")), F.when(missed_high, F.col("hi")).otherwise(F.col("_hi"))
+        under = F.when(missed_low, F.col("below")).otherwise(first)
+        inside = F.when(missed_low, F.col("_under") + F.col("_in")).when(missed_high, F.col("inside") - F.col("_under")).otherwise(F.col("_in"))
+        narrowed = counted.select(*keys, "share", "n", lo.alias("lo"), hi.alias("hi"), "rank", "end", under.alias("below"), inside.alias("inside"))
+        targets = _kept(targets.where(f"inside <= {held} or lo >= hi").unionByName(narrowed))
+    some = _within(data, targets.where("lo < hi"), keys).groupBy(*names).agg(F.sort_array(F.collect_list("_x")).alias("_v"))
+    values = targets.where("lo >= hi").withColumn("v", F.col("lo")).unionByName(some.withColumn("v", F.get("_v", (F.col("rank") - F.col("below")).cast("int"))).drop("_v"))
+    part = (F.first("n") - 1) * F.col("share")
+    low, high = (F.max(F.when(F.col("end") == k, F.col("v"))) for k in (0, 1))
+    return values.groupBy(*keys, "share").agg(low.alias("_l"), high.alias("_h"), (part - F.floor(part)).alias("_p")).select(*keys, "share", (F.col("_l") + F.col("_p") * (F.col("_h") - F.col("_l"))).alias("value"))
+
+
+def _kept(targets: DataFrame) -> DataFrame:
+    """Cuts the lineage of the brackets: a row for each group, share and end."""
+    spark = targets.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared.folder(spark))
+    return targets.checkpoint()
+
+
+def _within(data: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of each target's bracket."""
+    named = targets.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_x").between(F.col("lo"), F.col("hi")))
+    return data.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def channel_stats(df: DataFrame, vector: str, by: Sequence[str] = (), held: int | None = None) -> DataFrame:
+    """(channel, q01, q99, min, max, mean, std, count) of each channel; quantiles interpolate linearly.
+
+    Quantiles of groups with at most ``held`` values come with the other aggregates, from one buffer; if any group is
+    larger, all come from :func:`exact_quantiles`.
+    """
     each = df.select(*by, F.posexplode(vector).alias("channel", "x"))
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.99)))
-    aggs = [q.alias("_q"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count")]
-    return each.groupBy(*by, "channel").agg(*aggs).withColumn("q01", F.get("_q", F.lit(0))).withColumn("q99", F.get("_q", F.lit(1))).drop("_q")
+    most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    aggs = [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count")]
+    if most <= (held or HELD):
+        q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.99)))
+        return each.groupBy(*by, "channel").agg(q.alias("_q"), *aggs).withColumn("q01", F.get("_q", F.lit(0))).withColumn("q99", F.get("_q", F.lit(1))).drop("_q")
+    found = exact_quantiles(each, [*by, "channel"], "x", [0.01, 0.99], held)
+    wide = found.groupBy(*by, "channel").agg(F.max(F.when(F.col("share") < 0.5, F.col("value"))).alias("q01"), F.max(F.when(F.col("share") > 0.5, F.col("value"))).alias("q99"))
+    return each.groupBy(*by, "channel").agg(*aggs).join(wide, [*by, "channel"], "left")
 
 
 def quantile_scale(x: Column, low: Column, high: Column, limit: float | None = 1.5) -> Column:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from kinelake.functions import layout
-from kinelake.sources import codecs, repos
+from kinelake.sources import codecs, repos, shared
 
 from .bindings import TRAJ, read, rounded, trajectory
 
@@ -29,14 +26,7 @@ def query(sql: str | None = None):
 
 def workspace(spark) -> str:
     """A folder of the shared scratch space."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="kinelake-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared.folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"with {TRAJ} select episode as episode_index, frame_index, (row_number() over (order by episode, frame_index) - 1)::bigint as index, dense_rank() over (order by episode % 3) - 1 as task_index, round(action[1]::float::double, 6) + 0.0 as x from traj")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions import text
@@ -87,7 +87,7 @@ def read_episodes(spark: SparkSession, root: str, split: str | None = None, task
     e = e.withColumn("instruction", text.first_text(F.get("segments", F.lit(0))["action_text"], F.get("tasks", F.lit(0)), folder))
     e = e.where(text.matches_any(F.col("instruction"), tasks))
     if start:
-        e = e.withColumn("_r", F.row_number().over(Window.orderBy("episode_index"))).where(F.col("_r") > start).drop("_r")
+        e = indexing.running(e, ["episode_index"], F.lit(1), "_r").where(F.col("_r") >= start).drop("_r")
     e = e.orderBy("episode_index")
     return e.limit(limit) if limit is not None else e
 
