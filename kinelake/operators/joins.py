@@ -53,6 +53,28 @@ def token_visibility(tokens: DataFrame, id_col: str = "token") -> DataFrame:
     return q.join(k, F.col("q_seq") == F.col("k_seq")).where(rule).select("q", "k")
 
 
+def visibility_blocks(tokens: DataFrame, id_col: str = "token") -> DataFrame:
+    """(seq, q_first, q_last, k_first, k_last): what :func:`token_visibility` says, as ranges of tokens.
+
+    Neighbouring tokens (by id) of one sequence, frame, modality and noise are one run, and runs see each other as their
+    tokens do: a mask costs a row for each pair of runs, whatever their lengths. A sequence's ids must be dense; a gap
+    ends a run.
+    """
+    names = ["seq", "frame", "modality", "noise"]
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(id_col))
+    runs = tokens.withColumn("_run", F.col(id_col) - place).groupBy(*names, "_run").agg(F.min(id_col).alias("first"), F.max(id_col).alias("last"))
+    q, k = (runs.select(*[F.col(n).alias(f"{p}_{n}") for n in (*names, "first", "last")]) for p in "qk")
+    rule = visible(*[F.col(f"{p}_{n}") for p in "qk" for n in names])
+    met = q.join(k, F.col("q_seq") == F.col("k_seq")).where(rule)
+    return met.select(F.col("q_seq").alias("seq"), "q_first", "q_last", "k_first", "k_last")
+
+
+def expanded(blocks: DataFrame) -> DataFrame:
+    """The (q, k) pairs of :func:`visibility_blocks`."""
+    q = blocks.withColumn("q", F.explode(F.sequence("q_first", "q_last")))
+    return q.withColumn("k", F.explode(F.sequence("k_first", "k_last"))).select("q", "k")
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], table_keys: Sequence[str], value: str, into: str) -> DataFrame:
     """A value by the first of several alternative keys that the table knows."""
     out, found = df, []

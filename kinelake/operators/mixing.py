@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinelake.operators import indexing
+
 #: Shares of the sources of a batch: in the first round there is no history yet.
 FIRST_ROUND = (("current", 0.8), ("sft", 0.2))
 LATER_ROUNDS = (("current", 0.7), ("history", 0.15), ("sft", 0.15))
@@ -27,14 +29,21 @@ def quotas(df: DataFrame, batch: str, shares: Sequence[tuple[str, float]]) -> Da
     return each.withColumn("_left", left).withColumn("_rank", rank).select(*df.columns, "source", (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).alias("quota"))
 
 
-def seeded_order(key: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*key, F.lit(seed))
+#: Values of a draw: 32 bits.
+DRAWS = 1 << 32
+
+
+def drawn(seed: Column | int, *key: Column | str) -> Column:
+    """A number below ``DRAWS`` for a seed and a key, the same on any engine: the first 8 digits of an MD5 digest."""
+    text = F.concat_ws(":", F.lit(seed).cast("string"), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def numbered(df: DataFrame, key: Sequence[str], seed: int, buckets: int = 64) -> DataFrame:
-    """A random dense numbering from 0: rows are dealt to hash ranges, numbered inside, and the ranges' sizes added up.
-    No task sees more than its ranges."""
-    h = df.withColumn("_h", seeded_order(key, seed)).withColumn("_b", F.pmod(F.shiftright("_h", 32), F.lit(buckets)))
+def numbered(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
+    """A random dense numbering from 0: rows are dealt to ranges of their draw, as many as the rows need, numbered inside,
+    and the ranges' sizes added up. No task sees more than its ranges."""
+    buckets = min(indexing.MOST, max(indexing.FEWEST, -(-df.count() // indexing.STRETCH_ROWS)))
+    h = df.withColumn("_h", drawn(seed, *key)).withColumn("_b", F.expr(f"_h * {buckets} div {DRAWS}"))
     sizes = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
     inside = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *key)) - 1)
     return inside.join(F.broadcast(sizes), "_b").withColumn("number", F.col("_o") + F.col("_r")).drop("_h", "_b", "_o", "_r")  # ``buckets`` rows
@@ -47,7 +56,7 @@ def draw(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     own = numbered(df, key, seed)
     size = own.agg(F.count(F.lit(1)).alias("_size"))
     slots = df.sparkSession.range(n).select(F.col("id").alias("slot")).join(F.broadcast(size))  # one row
-    picked = slots.withColumn("number", F.pmod(F.xxhash64("slot", F.lit(seed)), F.col("_size")))
+    picked = slots.withColumn("number", F.pmod(drawn(seed, "slot"), F.col("_size")))
     return picked.drop("_size").join(own, "number").drop("number")
 
 
@@ -59,7 +68,7 @@ def mixed_batch(spark: SparkSession, sources: dict[str, DataFrame], size: int, s
         if counts[name]:
             part = draw(sources[name], counts[name], key, seed + k).withColumn("source", F.lit(name))
             out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("source", "slot", F.lit(seed)))  # one batch, of a fixed size
+    order = Window.partitionBy(F.lit(0)).orderBy(drawn(seed, "source", "slot"), "source", "slot")  # one batch, of a fixed size
     return out.withColumn("position", F.row_number().over(order) - 1).drop("slot")
 
 
@@ -70,10 +79,10 @@ def replace_slots(batch: DataFrame, source: str, preferred: str = "current") ->
 
 def dropout(df: DataFrame, col: str, share: float, key: Sequence[str], seed: int) -> DataFrame:
     """Nulls a value with probability ``share``, decided by the row's key."""
-    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    u = drawn(seed, *key) / float(DRAWS)
     return df.withColumn(col, F.when(u >= share, F.col(col)))
 
 
 def sample_without_replacement(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     """``n`` distinct rows by seeded order (a top-k, no full sort)."""
-    return df.orderBy(seeded_order(key, seed), *key).limit(n)
+    return df.orderBy(drawn(seed, *key), *key).limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import indexing
+from . import indexing, mixing
 
 #: What an action may be relative to.
 REPRESENTATIONS = ("absolute", "delta")
@@ -100,8 +100,7 @@ def folded_place(row: Column, channel: Column, frames: Column, per_frame: int) -
 
 def draw_number(seed: Column, slot: Column, size: Column) -> Column:
     """A number below ``size``, the same for the same seed and slot on any engine: the start of an MD5 digest."""
-    text = F.concat_ws(":", seed.cast("string"), slot.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), size)
+    return F.pmod(mixing.drawn(seed, slot), size)
 
 
 def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import mixing
 from .sequence import ordered
 
 
@@ -33,7 +34,7 @@ def clip_frames(clips: DataFrame, images: int = 9, actions: int = 32, stride: in
 def random_start(segments: DataFrame, start: str, end: str, span: int, key: Sequence[str], seed: int) -> DataFrame:
     """One clip start of each segment, uniform over all that fit (the last one included), by hash of the key."""
     fits = segments.where(F.col(end) - F.col(start) >= span)
-    return fits.withColumn("clip_start", F.col(start) + F.pmod(F.xxhash64(*key, F.lit(seed)), F.col(end) - F.col(start) - span + 1))
+    return fits.withColumn("clip_start", F.col(start) + F.pmod(mixing.drawn(seed, *key), F.col(end) - F.col(start) - span + 1))
 
 
 def lookahead(df: DataFrame, col: str, horizon: int, by: Sequence[str], order: Sequence[str], into: str = "chunk") -> DataFrame:

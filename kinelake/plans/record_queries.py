@@ -29,17 +29,6 @@ def _draw(seed: str, slot: str, size: str) -> str:
     return f"(('0x' || substr(md5(({seed})::varchar || ':' || ({slot})::varchar), 1, 8))::bigint % {size})"
 
 
-@query("select 'repo_' || k as name from range(0, 2) r(k)")
-def repo_discovery(spark, sf_dir):
-    """Finished repositories below a folder; one without its info is none."""
-    path = workspace(spark)
-    t = trajectory(spark, sf_dir).withColumn("task", F.lit("task")).withColumn("timestamp", F.col("frame_index") / 10.0)
-    for k in range(2):
-        repos.write_repo(t.where(F.col("episode") % 4 == k), f"{path}/deep/repo_{k}", 10.0)
-    t.write.parquet(f"{path}/deep/unfinished/data")
-    return repos.find_repos(spark, [path]).select(F.regexp_extract("root", "([^/]+)$", 1).alias("name"))
-
-
 CLOCKS = """e as (select *, row_number() over w as k, epoch_us(ts) // 1000000 as s, (epoch_us(ts) % 1000000) * 1000 as ns from events window w as (partition by user_id order by ts, event_id)),
     c as (select *, case when user_id % 3 = 0 then s + ns / 1e9::double end as native, case when user_id % 3 = 1 or k > 2 then value end as parquet from e)"""
 
@@ -218,30 +207,6 @@ def checkpoint_retention(spark, sf_dir):
     return repos.stale_checkpoints(listing, 3).select("s_suppkey")
 
 
-@query("select * from (values ('collect', 1, 'ok', 2), ('train', 1, 'error', 0), ('collect', 2, 'ok', 1)) v(stage, round, status, outputs)")
-def stage_manifest(spark, sf_dir):
-    """Audit rows of stages, appended one by one."""
-    path = workspace(spark)
-    for stage, number, status, outputs in (("collect", 1, "ok", ["a", "b"]), ("train", 1, "error", []), ("collect", 2, "ok", ["c"])):
-        repos.append_manifest(spark, path, stage, number, f"run {stage}", outputs, status)
-    return spark.read.parquet(path).select("stage", "round", "status", F.size("outputs").alias("outputs"))
-
-
-@query("""with v as (select vec_id, label, (embedding::double[]) as e from embeddings where vec_id < 6)
-    select 'pair-' || (vec_id // 3) as pair_id, (vec_id // 3 + 1)::int as round_id, case when vec_id % 3 < 2 then 'loser' else 'winner' end as side, (case when vec_id % 3 < 2 then vec_id % 3 else 0 end)::int as frame_index, round(e[17]::float::double, 5) + 0.0 as x from v""")
-def pair_store(spark, sf_dir):
-    """Pairs written with their frames and blobs, and the finished ones read again."""
-    path = workspace(spark)
-    rows = trajectory(spark, sf_dir).where("vec_id < 6").orderBy("vec_id").collect()  # six rows: one recording
-    frame = lambda r: {"ts": float(r.vec_id), "source": "policy", "state": r.state, "action": r.action, "observation": {"step": r.vec_id}}
-    for k in range(2):
-        own = [frame(r) for r in rows if r.vec_id // 3 == k]
-        pairs.write_pair(spark, path, f"pair-{k}", k + 1, own[:2], own[2:])
-    frames = spark.read.schema(pairs.FRAMES).parquet(f"{path}/pair_frames")
-    done = pairs.completed_pairs(spark, path).select("pair_id", "round_id").join(frames, "pair_id")
-    return done.select("pair_id", "round_id", "side", "frame_index", rounded(F.get("state", F.lit(0)).cast("double"), 5).alias("x"))
-
-
 @query(f"""with {TRAJ}, n as (select *, lead(state) over w as s1, count(*) over (partition by episode) as n from traj window w as (partition by episode order by frame_index))
     select 'column' as kind, 'task ' || episode as instruction, frame_index, round(state[1], 6) + 0.0 as s, round(action[1], 6) + 0.0 as a from n
     union all select 'next_state', 'task ' || episode, frame_index, round(state[1], 6) + 0.0, round(coalesce(s1, state)[1], 6) + 0.0 from n

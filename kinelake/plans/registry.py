@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align_queries, convert_queries, long_queries, pose_queries, recording_queries, resample_queries, record_queries, source_queries, state_queries, stream_queries, table_queries, window_queries
+from . import align_queries, convert_queries, long_queries, pose_queries, recording_queries, resample_queries, record_queries, source_queries, state_queries, store_queries, stream_queries, table_queries, window_queries
 
-MODULES = (align_queries, pose_queries, window_queries, resample_queries, table_queries, state_queries, source_queries, convert_queries, record_queries, recording_queries, stream_queries, long_queries)
+MODULES = (align_queries, pose_queries, window_queries, resample_queries, table_queries, state_queries, source_queries, convert_queries, record_queries, recording_queries, stream_queries, long_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

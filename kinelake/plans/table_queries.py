@@ -223,11 +223,13 @@ def preference_objective(spark, sf_dir):
 
 
 @query("""with s as (select i as step, 1.0::double + i * ((0.0::double - 1.0) / 1000) as s from range(0, 1000) r(i)), h as (select step, 5.0::double * s / (1 + 4.0::double * s) as sigma from s),
-    t as (select *, sigma * 1000 as timestep, exp(-2 * power((sigma * 1000 - 500) / 1000, 2)) as y from h), m as (select *, y - min(y) over () as z from t)
-    select step, round(sigma, 9) as sigma, round(timestep, 6) as timestep, round(z * (1000 / sum(z) over ()), 8) as weight from m""")
+    t as (select *, sigma * 1000 as timestep, exp(-2 * power((sigma * 1000 - 500) / 1000, 2)) as y from h), m as (select *, y - min(y) over () as z from t),
+    n as (select step, round(sigma, 9) as sigma, round(timestep, 6) as timestep, round(z * (1000 / sum(z) over ()), 8) as weight from m)
+    select event_id, n.* from events join n on n.step = event_id % 1000""")
 def noise_schedule(spark, sf_dir):
-    s = stats.noise_schedule(spark, 1000, shift=5.0)
-    return s.select("step", F.round("sigma", 9).alias("sigma"), F.round("timestep", 6).alias("timestep"), F.round("weight", 8).alias("weight"))
+    """The scheduled noise and weight of each event's step. The schedule has 1,000 rows."""
+    s = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("step")).join(F.broadcast(stats.noise_schedule(spark, 1000, shift=5.0)), "step")
+    return s.select("event_id", "step", F.round("sigma", 9).alias("sigma"), F.round("timestep", 6).alias("timestep"), F.round("weight", 8).alias("weight"))
 
 
 @query("""with s as (select i as step, 1.0::double + i * ((0.0::double - 1.0) / 1000) as s from range(0, 1000) r(i)), h as (select step, 5.0::double * s / (1 + 4.0::double * s) as sigma, 5.0::double * s / (1 + 4.0::double * s) * 1000 as t from s),
@@ -287,32 +289,41 @@ def batch_quota(spark, sf_dir):
     return mixing.quotas(b, "size", mixing.LATER_ROUNDS)
 
 
+def sql_drawn(seed: str, *key: str) -> str:
+    """DuckDB: the draw of a seed and a key."""
+    return "('0x' || substr(md5(" + " || ':' || ".join(f"({x})::varchar" for x in (seed, *key)) + "), 1, 8))::bigint"
+
+
+@query(f"""with p as (select doc_id, lang, case when lang = 'en' then 0 when lang = 'de' then 1 else 2 end as k from documents), n as (select *, row_number() over (partition by k order by {sql_drawn('7 + k', 'doc_id')}, doc_id) - 1 as number, count(*) over (partition by k) as size from p),
+    q as (select * from (values (0, 'current', 179), (1, 'history', 39), (2, 'sft', 38)) v(k, source, quota)), s as (select k, source, slot from q, range(0, 179) r(slot) where slot < quota),
+    d as (select s.source, s.slot, n.doc_id, n.lang from s join n on n.k = s.k and n.number = {sql_drawn('7 + s.k', 's.slot')} % n.size)
+    select doc_id, lang, source, row_number() over (order by {sql_drawn('7', 'source', 'slot')}, source, slot) - 1 as position, source = 'current' as is_preference from d""")
 def mixed_batch(spark, sf_dir):
-    """A batch of 256 rows drawn by quota."""
+    """A batch of 256 rows drawn by quota from three parts of the documents."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    parts = {"current": d.where("lang = 'en'"), "history": d.where("lang = 'de'"), "sft": d.where("lang = 'fr'")}
+    parts = {"current": d.where("lang = 'en'"), "history": d.where("lang = 'de'"), "sft": d.where("lang is null or lang not in ('en', 'de')")}
     batch = mixing.mixed_batch(spark, parts, 256, mixing.LATER_ROUNDS, ["doc_id"], 7)
     return mixing.replace_slots(batch, "source")
 
 
+@query(f"select doc_id, case when {sql_drawn('3', 'doc_id')} / 4294967296.0::double >= 0.1 then lang end as lang from documents")
 def cfg_dropout(spark, sf_dir):
     """Texts dropped with probability 0.1 by the row's key."""
     return mixing.dropout(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 0.1, ["doc_id"], 3)
 
 
+@query(f"select o_orderkey, row_number() over (order by {sql_drawn('11', 'o_orderkey')}, o_orderkey) - 1 as number from orders")
 def seeded_shuffle(spark, sf_dir):
     """A dense random order of orders."""
     return mixing.numbered(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 11)
 
 
+@query(f"select doc_id from documents order by {sql_drawn('5', 'doc_id')}, doc_id limit 100")
 def distinct_sample(spark, sf_dir):
     """100 distinct documents: the operator is a sample."""
     return mixing.sample_without_replacement(read(spark, sf_dir, "documents").select("doc_id"), 100, ["doc_id"], 5)
 
 
-QUERIES |= {f.__name__: f for f in (mixed_batch, cfg_dropout, seeded_shuffle, distinct_sample)}
-
-
 # Joins and augmentation
 
 

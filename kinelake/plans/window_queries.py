@@ -50,15 +50,13 @@ def clip_frames(spark, sf_dir):
     return c.select("episode", "clip_start", texts(F.col("image_frames")).alias("images"), F.element_at("action_frames", -1).alias("last_action"))
 
 
+@query(f"with {TRAJ}, n as (select episode, count(*) as n from traj group by 1) select episode, n, ('0x' || substr(md5('42:' || episode::varchar), 1, 8))::bigint % (n - 33 + 1) as clip_start from n where n >= 33")
 def random_start(spark, sf_dir):
     """One clip start of each episode by hash."""
     seg = trajectory(spark, sf_dir).groupBy("episode").agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.lit(0).cast("long"))
     return windows.random_start(seg, "s", "n", 33, ["episode"], 42).select("episode", "n", "clip_start")
 
 
-QUERIES["random_start"] = random_start
-
-
 @query(f"""with {TRAJ}, h as (select t.vec_id, t.frame_index, (select list(p.vec_id order by p.frame_index) from traj p where p.episode = t.episode and p.frame_index < t.frame_index
       and p.frame_index >= t.frame_index - 12 and (t.frame_index - p.frame_index) % 3 = 0) as h from traj t)
     select vec_id, array_to_string([-1 for i in range(0, 4 - coalesce(len(h), 0))] || coalesce(h, []), ',') as history, coalesce(len(h), 0)::int as valid from h""")

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAMES = "pair_id string, side string, frame_index int, ts double, source string, state array<float>, action array<float>, skeleton string"
@@ -68,6 +70,39 @@ def write_pair(spark: SparkSession, root: str, pair_id: str, round_id: int, lose
     spark.createDataFrame([(pair_id, round_id, rollback_index, own)], PAIRS).write.mode("append").parquet(f"{root}/pairs")
 
 
+def write_pairs(frames: DataFrame, pairs: DataFrame, root: str) -> None:
+    """Many recorded pairs at once: frames (pair_id, side, frame_index, ts, source, state, action, observation as arrays by
+    name) and pairs (pair_id, round_id). Executors take observations apart; each blob is kept once; pairs come last."""
+    held = frames.withColumn("_parts", F.transform(F.map_entries("observation"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    rows = held.mapInPandas(_taken_apart, f"{FRAMES}, blobs array<struct<digest:string,dtype:string,shape:array<int>,data:binary>>")
+    rows.write.mode("append").parquet(f"{root}/staged")
+    staged = frames.sparkSession.read.schema(rows.schema).parquet(f"{root}/staged")
+    staged.select(F.inline("blobs")).dropDuplicates(["digest"]).write.mode("append").parquet(f"{root}/blobs")
+    staged.drop("blobs").write.mode("append").parquet(f"{root}/pair_frames")
+    out = pairs.select("pair_id", "round_id", F.lit(0).alias("rollback_index"), F.create_map().cast("map<string,string>").alias("metadata"))
+    out.write.mode("append").parquet(f"{root}/pairs")
+
+
+def _taken_apart(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in parts:
+        skeletons, found = [], []
+        for entries in rows["_parts"]:
+            blobs: dict[str, tuple] = {}
+            skeletons.append(json.dumps(split_observation({e["key"]: np.asarray(e["value"], "<f8") for e in entries}, blobs), separators=(",", ":")))
+            found.append([dict(zip(("digest", "dtype", "shape", "data"), b)) for b in blobs.values()])
+        yield rows.drop(columns=["observation", "_parts"]).assign(skeleton=skeletons, blobs=found)
+
+
+def floats(data: Column) -> Column:
+    """The numbers of a blob of little-endian doubles."""
+
+    @F.pandas_udf("array<double>")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: np.frombuffer(bytes(b), "<f8"))
+
+    return run(data)
+
+
 def completed_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Pairs with frames on both sides, hidden ones (a leading dot) left out, in order."""
     frames = spark.read.schema(FRAMES).parquet(f"{root}/pair_frames").groupBy("pair_id").agg(F.countDistinct("side").alias("sides"))

@@ -140,6 +140,13 @@ class Tree:
         said = values[0] if len(values) else ""
         return (said.decode() if isinstance(said, bytes) else str(said)).strip()
 
+    def attribute(self, group: str, key: str) -> str:
+        """An attribute of a group, as text; in an archive it is an array below ``@``."""
+        if f"{group}@{key}" in self.names:
+            return self.text(f"{group}@{key}")
+        value = self._file[group].attrs[key]
+        return value.decode() if isinstance(value, bytes) else str(value)
+
     def groups(self, below: str) -> list[str]:
         return sorted({n[len(below) :].split("/", 1)[0] for n in self.names if n.startswith(below) and "/" in n[len(below) :]})
 

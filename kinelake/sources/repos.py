@@ -47,7 +47,10 @@ def episode_stats(frames: DataFrame) -> DataFrame:
 
 def write_repo(frames: DataFrame, path: str, fps: float) -> None:
     """Writes frames (episode, frame_index, task, timestamp, state, action) as a repository."""
-    rows = index_frames(frames)
+    spark, staged = frames.sparkSession, f"{path}/.staged"  # numbered once; a hidden folder is no table
+    numbered = index_frames(frames)
+    numbered.write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(numbered.schema).parquet(staged)
     wide = rows.select("episode_index", "frame_index", "index", "task_index", F.col("timestamp").cast("float").alias("timestamp"), F.col("state").cast("array<float>").alias("state"), F.col("action").cast("array<float>").alias("action"))
     by_chunk = wide.withColumn("chunk", F.floor(F.col("episode_index") / CHUNK))
     by_chunk.repartition("chunk", "episode_index").sortWithinPartitions("episode_index", "frame_index").write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/data")
@@ -59,6 +62,8 @@ def write_repo(frames: DataFrame, path: str, fps: float) -> None:
     totals = rows.agg(F.countDistinct("episode_index").alias("total_episodes"), F.count(F.lit(1)).alias("total_frames"), F.countDistinct(F.size("action")).alias("widths"))
     checked = totals.withColumn("ok", F.assert_true(F.col("widths") <= 1, F.lit("all actions of a repository have one width")))
     write_json_lines(checked.select("total_episodes", "total_frames", F.lit(float(fps)).alias("fps"), F.lit("1").alias("version")), f"{path}/meta/info")
+    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def find_repos(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -127,10 +132,15 @@ def read_through(jobs: DataFrame, cached: DataFrame, compute) -> tuple[DataFrame
     return keyed.select("path").join(cached, "path").unionByName(fresh.select(*cached.columns)), fresh
 
 
+def append_stages(stages: DataFrame, path: str) -> None:
+    """Audit rows of finished stages (stage, round, command, outputs, status)."""
+    stages.select("stage", "round", F.current_timestamp().alias("time"), "command", F.col("outputs").cast("array<string>").alias("outputs"), "status").write.mode("append").parquet(path)
+
+
 def append_manifest(spark: SparkSession, path: str, stage: str, round_id: int, command: str, outputs: Sequence[str], status: str = "ok") -> None:
     """One audit row of a finished stage."""
-    row = spark.range(1).select(F.lit(stage).alias("stage"), F.lit(round_id).alias("round"), F.current_timestamp().alias("time"), F.lit(command).alias("command"), F.array(*map(F.lit, outputs)).cast("array<string>").alias("outputs"), F.lit(status).alias("status"))
-    row.write.mode("append").parquet(path)
+    row = spark.range(1).select(F.lit(stage).alias("stage"), F.lit(round_id).alias("round"), F.lit(command).alias("command"), F.array(*map(F.lit, outputs)).alias("outputs"), F.lit(status).alias("status"))
+    append_stages(row, path)
 
 
 def stale_checkpoints(listing: DataFrame, keep: int = 2) -> DataFrame:
