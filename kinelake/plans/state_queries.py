@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import align, limits
 from kinelake.streaming import machines, replay
 
-from .bindings import read, rounded, trajectory
+from .bindings import TRAJ, read, rounded, sql_unit, trajectory
 
 
 def controls(spark, sf_dir):
@@ -38,7 +38,20 @@ def rate_limit(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (fsm_replay, ring_buffer, rate_limit)}
+_MOVE = lambda p, t: f"(case when list_distance({p}, {t}) > 0.05 then [{p}[i] + ({t}[i] - {p}[i]) * (0.05::double / list_distance({p}, {t})) for i in range(1, 4)] else {t} end)"
 ORACLE = {
+    "rate_limit": f"""with recursive {TRAJ}, f as (
+        select distinct episode, -1::bigint as frame_index, 0::bigint as vec_id, [0.0, 0.0, 0.0]::double[] as lp, [1.0, 0.0, 0.0, 0.0]::double[] as lq, 0.0::double as lg, [0.0, 0.0, 0.0]::double[] as rp from traj
+        union all
+        select episode, frame_index, vec_id, {_MOVE('lp', 'a[1:3]')},
+            case when turn <= 10 then a[4:7] when c > 0.9995 then {sql_unit('line', False)} else [(sin((1 - t) * th) * q[i] + sin(t * th) * r[i]) / sin(th) for i in range(1, 5)] end,
+            least(greatest(lg + least(greatest(a[8] - lg, -0.1::double), 0.1::double), 0.0), 1.0), [move[1], move[2], greatest(move[3], 0.0)]
+        from (select *, [q[i] + t * (r[i] - q[i]) for i in range(1, 5)] as line, {_MOVE('rp', 'a[9:11]')} as move
+            from (select *, case when turn > 10 then 10.0::double / turn else 1.0 end as t, acos(least(c, 1.0)) as th, case when d < 0 then [-e for e in r0] else r0 end as r
+                from (select *, abs(d) as c, degrees(2 * acos(least(abs(d), 1.0))) as turn
+                    from (select *, list_dot_product(q, r0) as d from (select t.episode, t.frame_index, t.vec_id, t.action as a, f.lp, f.lg, f.rp, {sql_unit('f.lq', False)} as q, {sql_unit('t.action[4:7]', False)} as r0
+                        from f join traj t on t.episode = f.episode and t.frame_index = f.frame_index + 1)))))
+        ) select vec_id, round(lp[1], 5) + 0.0 as lx, round(lq[1], 5) + 0.0 as lqw, round(lg, 5) + 0.0 as lgrip, round(rp[3], 5) + 0.0 as rz from f where frame_index >= 0""",
     "ring_buffer": """with n as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k, list(event_id) over (partition by user_id order by ts, event_id rows between 71 preceding and current row) as l from events)
         select user_id, event_id, least(k, 72)::bigint as held, l[1] as oldest from n""",
 }
