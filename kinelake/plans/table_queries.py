@@ -395,6 +395,26 @@ def augment_pairs(spark, sf_dir):
     return s.select("pair_id", "kind", "frame_index", F.size("winner").alias("steps"), x("winner", 0).alias("w0"), x("winner", 15).alias("w15"), x("loser", 0).alias("l0"))
 
 
+def _curve(u: float) -> str:
+    """DuckDB: the cubic curve's place at ``u`` from state s into command e, with the command after it arr."""
+    v = 1 - u
+    return f"[{v**3!r}::double * s[j] + {3 * v * v * u!r}::double * ((s[j] + e[j]) * 0.5) + {3 * v * u * u!r}::double * (e[j] - (arr[j] - e[j]) * (4.0::double / 3)) + {u**3!r}::double * e[j] for j in range(1, 4)]"
+
+
+def _bridge_sql() -> str:
+    """DuckDB: four capped steps along the curve, then the chunk itself."""
+    capped = lambda c, last: f"(case when list_distance({c}, {last}) > 0.04 then [{last}[i] + ({c}[i] - {last}[i]) * (0.04::double / list_distance({c}, {last})) for i in range(1, 4)] else {c} end)"
+    steps = "".join(f", w{k} as (select *, {_curve((k + 1) / 4)} as k{k} from p{k}), p{k + 1} as (select *, {capped(f'k{k}', f'at{k}')} as at{k + 1} from w{k})" for k in range(4))
+    turned = lambda u: f"(case when c > 0.9995 then {sql_unit(f'[qa[i] + {u}::double * (qb[i] - qa[i]) for i in range(1, 5)]', False)} else [(sin({1 - u}::double * th) * qa[i] + sin({u}::double * th) * qb[i]) / sin(th) for i in range(1, 5)] end)"
+    made = " union all ".join(f"select vec_id, {k} as step, at{k + 1}[1] as x, {turned((k + 1) / 4)}[1] as qw, {1 - (k + 1) / 4}::double * s[8] + {(k + 1) / 4}::double * e[8] as grip from p4" for k in range(4))
+    rest = " union all ".join(f"select vec_id, {k}, l[least({k + 1}, len(l))][1], l[least({k + 1}, len(l))][4], l[least({k + 1}, len(l))][8] from p4" for k in range(4, 8))
+    return f"""with {TRAJ}, k as (select vec_id, state as s, list(action) over (partition by episode order by frame_index rows between current row and 7 following) as l from traj),
+        q as (select *, l[least(4, len(l))] as e, l[len(l)] as arr, {sql_unit('s[4:7]', False)} as qa, {sql_unit('l[least(4, len(l))][4:7]', False)} as q0 from k),
+        p0 as (select *, abs(list_dot_product(qa, q0)) as c, acos(least(abs(list_dot_product(qa, q0)), 1.0)) as th, case when list_dot_product(qa, q0) < 0 then [-x for x in q0] else q0 end as qb, s[1:3] as at0 from q){steps},
+        o as ({made} union all {rest}) select vec_id, step::int as step, round(x, 5) + 0.0 as x, round(qw, 5) + 0.0 as qw, round(grip, 5) + 0.0 as grip from o"""
+
+
+@query(_bridge_sql())
 def bezier_bridge(spark, sf_dir):
     """The bridge from each row into the next 8 commands of its episode."""
     t = windows.lookahead(trajectory(spark, sf_dir), "action", 8, ["episode"], ["frame_index"])
@@ -403,7 +423,7 @@ def bezier_bridge(spark, sf_dir):
     return p.select("vec_id", "step", rounded(F.get("v", F.lit(0)), 5).alias("x"), rounded(F.get("v", F.lit(3)), 5).alias("qw"), rounded(F.get("v", F.lit(7)), 5).alias("grip"))
 
 
-QUERIES |= {f.__name__: f for f in (augment_pairs, bezier_bridge)}
+QUERIES["augment_pairs"] = augment_pairs
 
 
 @query(f"with {TRAJ} select episode // 4 as batch_id, array_to_string(list(vec_id order by episode, frame_index), ',') as ids, count(*) as n from traj group by 1")
