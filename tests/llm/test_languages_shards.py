@@ -44,6 +44,38 @@ def test_mixtures_and_penalty():
     assert share[0] == pytest.approx(0.75, abs=0.01) and share[1] == pytest.approx(0.25, abs=0.01) and share[2] == 0
 
 
+def test_of_equal_languages_the_first_wins():
+    p = np.full((langid.BUCKETS, 1), 1 / langid.BUCKETS)
+    contest = langid.Contest(np.ones(langid.BUCKETS, np.int64))
+    for names in (["m", "z"], ["c"], ["d", "x"]):
+        contest.meet(langid.LanguageModel(names, np.hstack([p] * len(names))))
+        assert contest.languages == [min(names[0], contest.languages[0])]
+    assert contest.winner() == ("c", 1.0)
+
+
+def test_blocks_agree_with_one_model(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    whole = {r.doc_id: r.lang_pred for r in langid.languages(docs).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    monkeypatch.setattr(langid, "HELD", 2)
+    parts = {r.doc_id: r.lang_pred for r in langid.languages(docs).collect()}
+    assert parts == whole
+
+
+def test_five_thousand_languages(spark):
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    alphabets = [rng.choice(letters, 12) for _ in range(5000)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k], 5)) for _ in range(60))
+    learned = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 4 != 2][:5000]
+    held = [i for i in range(8000, 9000) if zlib.crc32(str(i).encode()) % 4 == 2][:8]
+    rows = [(i, text(k), f"l{k}") for k, i in enumerate(learned)] + [(i, text(600 * k), None) for k, i in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in langid.languages(docs).where(F.col("doc_id") >= 8000).collect()}
+    assert [got[i].lang_pred for i in held] == [f"l{600 * k}" for k in range(8)]
+    assert all(r.held_out and 0.5 < r.score <= 1 for r in got.values())
+
+
 def test_long_texts_count_like_their_parts(monkeypatch):
     text = "Ein kurzer Satz, der sich wiederholt; " * 500
     whole = langid.gram_counts(text)
@@ -131,13 +163,6 @@ def test_warm_starts_find_the_same_maximum():
     assert warm[1] == pytest.approx(cold[1], abs=0.05)
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
-    rows = [(i, "some words here", f"l{i % 3}") for i in range(30)]
-    with pytest.raises(ValueError):
-        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-
-
 def test_many_rows_of_one_id_fill_pages(spark):
     rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
     shards = sharding.directory(sharding.assign(rows, limit=5000)).collect()
