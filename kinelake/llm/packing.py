@@ -6,10 +6,13 @@ by its rank within its length.
 
 Greedy dives give the incumbent: each fills a sequence around the largest remaining piece, enumerates fillings of the
 rest largest piece first, and uses the one chosen as often as its pieces allow. If the incumbent is above the lower bound
-(all tokens / capacity, and dual feasible functions of the lengths), a depth-first search follows. It branches over the
-fillings of the largest piece and over how often each is used, leaves out fillings that an exchange of pieces dominates,
-takes the fillings of one largest piece in descending order only, and cuts a partial plan whose sequences and lower bound
-for the rest reach the incumbent. It ends with an optimal plan, or after ``EFFORT`` steps with the best plan found.
+(all tokens / capacity, and dual feasible functions of the lengths), and there are at most ``RELAXED`` lengths, the
+linear relaxation over fillings is solved by column generation: its prices are one more dual feasible function, and its
+fillings, each used a whole number of times, with a plan of the few pieces left, one more incumbent. Where a gap stays, a
+depth-first search follows. It branches over the fillings of the largest piece and over how often each is used, leaves
+out fillings that an exchange of pieces dominates, takes the fillings of one largest piece in descending order only, and
+cuts a partial plan whose sequences and lower bound for the rest reach the incumbent. It ends with an optimal plan, or
+after ``EFFORT`` steps with the best plan found; the log says which, with the gap to the bound.
 
 Defined results: a null text counts as empty, and a document is its ids and one end id, so every row has a piece; only
 documents above the capacity are cut, at multiples of it; repeated rows each get their own pieces; an empty table gives
@@ -18,6 +21,7 @@ an empty result; columns other than id and text are ignored and may have any nam
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -35,6 +39,9 @@ from .common import Scratch
 FILLINGS, DIVES = 400, 3
 #: Steps of the search, and fillings that it sorts by waste at a time.
 EFFORT, SORTED = 1_000_000, 64
+#: Most lengths whose relaxation is solved (its matrix has a row and a column for each), and most columns that it takes in
+#: (prices that are not final give a bound too); prices are rounded to this unit.
+RELAXED, COLUMNS, UNIT = 200, 2_000, 10**9
 #: Pieces of one length in one ranking task, about.
 RANKED = 50_000
 
@@ -130,6 +137,66 @@ def lower_bound(counts: dict[int, int], functions: list[tuple[dict[int, int], in
     return max(-(-sum(w[x] * n for x, n in counts.items()) // unit) for w, unit in functions)
 
 
+def heaviest(worth: np.ndarray, lengths: list[int], most: list[int], capacity: int) -> tuple[float | int, np.ndarray]:
+    """The filling of most worth with at most so many pieces of each length: a knapsack over doubled pieces."""
+    best = np.zeros(capacity + 1, worth.dtype)
+    steps: list[tuple[int, int, np.ndarray]] = []
+    for i, (length, n) in enumerate(zip(lengths, most)):
+        k = 1
+        while n > 0 and worth[i] > 0:
+            k = min(k, n)
+            with_it = best[: capacity + 1 - k * length] + k * worth[i]
+            better = with_it > best[k * length :]
+            best[k * length :] = np.where(better, with_it, best[k * length :])
+            steps.append((i, k, better))
+            n, k = n - k, 2 * k
+    pieces, room = np.zeros(len(lengths), np.int64), capacity
+    for i, k, better in reversed(steps):
+        if room >= k * lengths[i] and better[room - k * lengths[i]]:
+            pieces[i] += k
+            room -= k * lengths[i]
+    return best[capacity].item(), pieces
+
+
+def relaxation(counts: dict[int, int], capacity: int, columns: int = COLUMNS) -> tuple[list[tuple[Pattern, int]], tuple[dict[int, int], int]]:
+    """(fillings with whole numbers of uses that leave pieces over, the prices as a dual feasible function).
+
+    Column generation (Gilmore and Gomory): the simplex method over fillings, whose next column is a knapsack by the
+    prices of the present basis. The prices, divided by the worth of that column, are feasible at any time.
+    """
+    lengths = sorted(counts, reverse=True)
+    wanted = np.array([counts[x] for x in lengths], np.float64)
+    most = [min(counts[x], capacity // x) for x in lengths]
+    basis = np.diag(np.array(most, np.float64))
+    uses = wanted / np.array(most)
+    best, prices = -1.0, np.zeros(len(lengths))
+    for _ in range(columns):
+        price = np.maximum(np.linalg.solve(basis.T, np.ones(len(lengths))), 0)
+        worth, pieces = heaviest(price, lengths, most, capacity)
+        if price @ wanted / worth > best:
+            best, prices = price @ wanted / worth, price / worth
+        if worth <= 1 + 1e-9:
+            break
+        change = np.linalg.solve(basis, pieces.astype(np.float64))
+        able = np.flatnonzero(change > 1e-9)
+        leaving = able[np.argmin(uses[able] / change[able])]
+        step = uses[leaving] / change[leaving]
+        uses = np.maximum(uses - step * change, 0)
+        uses[leaving], basis[:, leaving] = step, pieces
+    # Rounded prices and the exact worth of their heaviest filling are a dual feasible function without rounding errors.
+    rounded = np.floor(prices * UNIT).astype(np.int64)
+    unit, _ = heaviest(rounded, lengths, most, capacity)
+    plan, left = [], dict(counts)
+    for k in np.argsort(-uses, kind="stable").tolist():
+        pattern = tuple((x, int(n)) for x, n in zip(lengths, basis[:, k].round().astype(int)) if n)
+        times = min(int(uses[k] + 1e-6), *(left[x] // n for x, n in pattern))
+        if times > 0:
+            plan.append((pattern, times))
+            for x, n in pattern:
+                left[x] -= n * times
+    return plan, (dict(zip(lengths, rounded.tolist())), max(1, unit))
+
+
 class Search:
     """Depth-first branch and bound from an incumbent. ``proven`` says whether it ended with an optimal plan."""
 
@@ -225,22 +292,45 @@ class Search:
         return self.best
 
 
+def size_of(plan: list[tuple[Pattern, int]]) -> int:
+    return sum(n for _, n in plan)
+
+
 def plan_sequences(counts: dict[int, int], capacity: int, dives: int = DIVES, effort: int = EFFORT) -> list[tuple[Pattern, int]]:
-    """An optimal plan if the search ends within its effort, else the best plan found."""
+    """An optimal plan if the bounds or the search prove one within its effort, else the best plan found."""
     if any(not 0 < length <= capacity for length in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    counts = {k: n for k, n in counts.items() if n > 0}
+    plan, bound = _planned({k: n for k, n in counts.items() if n > 0}, capacity, dives, effort)
+    size = size_of(plan)
+    logging.getLogger(__name__).info("%d sequences, %s", size, "proven optimal" if size <= bound else f"at most {size - bound} too many")
+    return plan
+
+
+def _planned(counts: dict[int, int], capacity: int, dives: int, effort: int) -> tuple[list[tuple[Pattern, int]], int]:
+    """(plan, a number of sequences that no plan can go below)."""
     bound = -(-sum(k * n for k, n in counts.items()) // capacity)
     best: list[tuple[Pattern, int]] | None = None
-    size = lambda plan: sum(n for _, n in plan)
     for d in range(dives):
         pick = lambda found, d=d: found[-1 - (d > 0) * ((d + len(found)) % min(len(found), 2))] if found else []
         plan = dive(counts, capacity, pick)
-        if best is None or size(plan) < size(best):
+        if best is None or size_of(plan) < size_of(best):
             best = plan
-        if size(best) <= bound:
-            return best
-    return Search(counts, capacity, best or [], bounds(counts, capacity), effort).run()
+        if size_of(best) <= bound:
+            return best, bound
+    best = best or []
+    functions = bounds(counts, capacity)
+    if size_of(best) > lower_bound(counts, functions) and len(counts) <= RELAXED:
+        whole, prices = relaxation(counts, capacity)
+        functions.append(prices)
+        if whole and size_of(best) > lower_bound(counts, functions):
+            left = Lengths(counts)
+            for pattern, times in whole:
+                left.take(pattern, times)
+            rest, _ = _planned(left.count, capacity, dives, effort)
+            best = min(best, whole + rest, key=size_of)
+    search = Search(counts, capacity, best, functions, effort)
+    plan = search.run()
+    return plan, search.size if search.proven else search.bound
 
 
 def _places(plan: list[tuple[Pattern, int]]) -> np.ndarray:
