@@ -19,14 +19,48 @@ def pose_distance(a: Column, b: Column, position: float = 1.0, rotation: float =
     return total
 
 
+def _box_distance(state: Column, low: Column, high: Column, off: int) -> Column:
+    """Of a position and the nearest point of a box of positions."""
+    out = [F.greatest(pose.at(low, k) - pose.at(state, k), pose.at(state, k) - pose.at(high, k), F.lit(0.0)) for k in range(off, off + 3)]
+    return F.sqrt(out[0] * out[0] + out[1] * out[1] + out[2] * out[2])
+
+
+def nearest_candidates(losers: DataFrame, winners: DataFrame, pair: str, index: str, state: str, **weights: float) -> DataFrame:
+    """(pair, index, state, winner index ``_j``, winner state ``_s``): the rows of :func:`nearest_state` that are compared.
+
+    A pair's winner rows, in order, form about as many blocks as a block has rows; neighbours in time are near in space.
+    Each loser row meets the blocks only: the box of a block's positions gives a lower bound of the distance to all of its
+    rows, its first state an upper bound of the least distance. Rows of blocks that start above the least upper bound are
+    not compared.
+    """
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("weights must not be negative")
+    w = winners.select(F.col(pair).alias("_p"), F.col(index).alias("_j"), F.col(state).alias("_s"))
+    inside = Window.partitionBy("_p")
+    size = F.ceil(F.sqrt(F.count(F.lit(1)).over(inside)))
+    w = w.withColumn("_block", F.floor((F.row_number().over(inside.orderBy("_j")) - 1) / size))
+    corner = lambda pick: F.array(*[pick(pose.at(F.col("_s"), k)) if k % 8 < 3 else F.lit(0.0) for k in range(11)])
+    boxes = w.groupBy("_p", "_block").agg(corner(F.min).alias("_low"), corner(F.max).alias("_high"), F.min_by("_s", "_j").alias("_first"))
+    own = F.col(state)
+    met = losers.select(pair, index, state).join(boxes, F.col(pair) == F.col("_p")).drop("_p")
+    near = weights.get("position", 1.0) * sum(_box_distance(own, F.col("_low"), F.col("_high"), off) for off in (pose.LEFT, pose.RIGHT))
+    met = met.select(pair, index, state, "_block", near.alias("_near"), pose_distance(own, F.col("_first"), **weights).alias("_far"))
+    limit = F.min("_far").over(Window.partitionBy(pair, index))
+    # Rounding, missing and undefined numbers never leave a block out.
+    kept = F.coalesce(F.col("_near") <= F.col("_limit") * (1 + 1e-9) + 1e-9, F.lit(True)) | F.isnan("_near")
+    blocks = met.withColumn("_limit", limit).where(kept).select(pair, index, state, "_block").withColumnRenamed("_block", "_b")
+    return blocks.join(w, (F.col(pair) == F.col("_p")) & (F.col("_b") == F.col("_block"))).select(pair, index, state, "_j", "_s")
+
+
 def nearest_state(losers: DataFrame, winners: DataFrame, pair: str, index: str, state: str, **weights: float) -> DataFrame:
     """Each loser row with the index of its pair's nearest winner row; the first wins a tie.
 
-    Rows are compared inside a pair only. A pair is two short recordings, so its product is bounded by their lengths.
+    Rows meet inside a pair only, by :func:`nearest_candidates`. A winner row without a distance (a null state) is taken
+    only where the pair has no other.
     """
-    w = winners.select(F.col(pair).alias("_p"), F.col(index).alias("_j"), F.col(state).alias("_s"))
-    d = losers.join(w, F.col(pair) == F.col("_p")).withColumn("_d", pose_distance(F.col(state), F.col("_s"), **weights))
-    best = F.min(F.struct(F.col("_d").alias("d"), F.col("_j").alias("j")))
+    d = nearest_candidates(losers, winners, pair, index, state, **weights)
+    d = d.withColumn("_d", pose_distance(F.col(state), F.col("_s"), **weights))
+    best = F.min(F.struct(F.col("_d").isNull().alias("none"), F.col("_d").alias("d"), F.col("_j").alias("j")))
     return d.groupBy(pair, index).agg(best.alias("m")).select(pair, index, F.col("m.j").alias("winner_index"), F.col("m.d").alias("distance"))
 
 

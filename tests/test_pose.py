@@ -212,3 +212,34 @@ def test_nearest_state_takes_the_first_of_equals(spark):
     losers = spark.createDataFrame([(1, 0, identity16(c0=0.1)), (1, 1, identity16(c0=0.32))], "pair int, i int, s array<double>")
     got = {r.i: r.winner_index for r in joins.nearest_state(losers, winners, "pair", "i", "s").collect()}
     assert got == {0: 1, 1: 3}
+
+
+def test_nearest_state_compares_few_rows_and_finds_the_nearest(spark):
+    rng = np.random.default_rng(8)
+
+    def walk(pair, n):
+        at = np.cumsum(rng.normal(size=(n, 16)) * 0.05, axis=0)
+        at[:, [3, 11]] += 2
+        return [(pair, i, row.tolist()) for i, row in enumerate(at)]
+
+    schema = "pair int, i int, s array<double>"
+    won, lost = walk(1, 900) + walk(2, 7) + walk(3, 1), walk(1, 60) + walk(2, 5) + walk(3, 2) + walk(4, 2)
+    winners, losers = spark.createDataFrame(won, schema), spark.createDataFrame(lost, schema)
+    w = winners.select(F.col("pair").alias("p"), F.col("i").alias("j"), F.col("s").alias("t"))
+    every = losers.join(w, F.col("pair") == F.col("p")).withColumn("d", joins.pose_distance(F.col("s"), F.col("t")))
+    want = sorted(map(tuple, every.groupBy("pair", "i").agg(F.min(F.struct("d", "j")).alias("m")).select("pair", "i", "m.j", F.round("m.d", 9)).collect()))
+    got = sorted(map(tuple, joins.nearest_state(losers, winners, "pair", "i", "s").select("pair", "i", "winner_index", F.round("distance", 9)).collect()))
+    assert got == want and len(got) == 67
+    assert joins.nearest_candidates(losers, winners, "pair", "i", "s").count() < every.count() / 2
+
+
+def test_nearest_state_of_missing_states(spark):
+    schema = "pair int, i int, s array<double>"
+    winners = spark.createDataFrame([(1, 0, None), (1, 1, identity16(c0=0.4)), (2, 5, None), (2, 4, None)], schema)
+    losers = spark.createDataFrame([(1, 0, identity16(c0=0.1)), (1, 1, None), (2, 0, identity16())], schema)
+    got = {(r.pair, r.i): (r.winner_index, r.distance is None) for r in joins.nearest_state(losers, winners, "pair", "i", "s").collect()}
+    assert got == {(1, 0): (1, False), (1, 1): (0, True), (2, 0): (4, True)}
+    assert joins.nearest_state(losers.limit(0), winners, "pair", "i", "s").count() == 0
+    assert joins.nearest_state(losers, winners.limit(0), "pair", "i", "s").count() == 0
+    with pytest.raises(ValueError):
+        joins.nearest_state(losers, winners, "pair", "i", "s", rotation=-1.0)
