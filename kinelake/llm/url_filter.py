@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,24 @@ from .common import ascii_lower
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Verdict of URLs without a rule: sites and files that no training corpus wants.
 BLOCKED = ("*casino*/*", "*porn*/*", "*viagra*/*", "*poker*/*", "*.exe", "*.zip", "*/wp-login*", "*/cart/*")
-BLOCK = 2048
+#: URLs and characters that the automaton takes at a time; a longer URL is a block of its own.
+BLOCK, CHARACTERS = 2048, 1 << 22
 #: Between host and path of a canonical URL: half of a surrogate pair, which no text has.
 MARK = "\udfff"
 
 
+def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of (id, host, path) rows that ``BLOCK`` and ``CHARACTERS`` bound; a slice has one row at least."""
+    sizes = sum(pc.fill_null(pc.utf8_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, ends[at] - sizes[at] + CHARACTERS, "right"))
+        upto = min(max(fit, at + 1), at + BLOCK, batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 @dataclass
 class Automaton:
     """Multiword masks of a list of globs."""
@@ -83,7 +97,7 @@ class Automaton:
         n = len(texts)
         sizes = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        flat = np.array([self.code.get(c, 0) for t in texts for c in t], np.int32)
+        flat = np.fromiter((self.code.get(c, 0) for t in texts for c in t), np.int32, int(sizes.sum()))
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
         state = np.zeros((n, self.words), np.uint64)
         top, one = np.uint64(63), np.uint64(1)
@@ -131,8 +145,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, blocked: S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(globs)
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for part in blocks_of(batch):
                 hosts, paths = part.column(1).to_pylist(), part.column(2).to_pylist()
                 hit = automaton.match([f".{h}{MARK}{p}" for h, p in zip(hosts, paths)])
                 rule: list[str | None] = []

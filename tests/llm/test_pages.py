@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import pytest
 
+import pyarrow as pa
+
 from kinelake.llm import common, url_filter, warc
 
 PAGES = "page_id long, url string, html string, id long, host string, sha1 string, payload string, value string"
@@ -121,3 +123,14 @@ def test_marks_in_a_url_do_not_change_its_host(spark):
     urls = ["http://ex\x01ample.org/es/a", "http://x.exe", "http://a.b/\x01.zip", "http://a.b\x01/cart/"]
     rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
     assert [(r.rule, r.verdict) for r in rows] == [("org/", "allow"), (None, "allow"), (None, "block"), (None, "block")]
+
+
+def test_url_blocks_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(url_filter, "CHARACTERS", 10)
+    monkeypatch.setattr(url_filter, "BLOCK", 3)
+    paths = ["/abc", "", "/" * 40, "/a", "/b", "", "", "", "/123456", "/12"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(["h"] * 10), pa.array(paths)], names=["id", "host", "path"])
+    got = [b.column(0).to_pylist() for b in url_filter.blocks_of(batch)]
+    assert [x for b in got for x in b] == list(range(10)) and [2] in got
+    assert all(len(b) <= 3 and (len(b) == 1 or sum(1 + len(paths[k]) for k in b) <= 10) for b in got)
+    assert list(url_filter.blocks_of(batch.slice(0, 0))) == []
