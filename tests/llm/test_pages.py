@@ -4,9 +4,8 @@ import random
 import re
 from collections import defaultdict
 
-import pytest
-
 import pyarrow as pa
+import pytest
 
 from kinelake.llm import common, url_filter, warc
 
