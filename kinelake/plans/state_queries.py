@@ -26,6 +26,17 @@ def fsm_replay(spark, sf_dir):
     return replay.over_table(controls(spark, sf_dir), machines.Collector, "user_id", ["t", "event_id"])
 
 
+class ShortPairs(machines.PairRecorder):
+    """Events are sparser than control steps: a loser is two rows of the last six."""
+
+    capacity, horizon = 6, 2
+
+
+def collected_pairs(spark, sf_dir):
+    """The pairs that the collection saves: each step of the loser and of the winner."""
+    return replay.over_table(controls(spark, sf_dir), ShortPairs, "user_id", ["t", "event_id"])
+
+
 def ring_buffer(spark, sf_dir):
     return replay.over_table(controls(spark, sf_dir), machines.RingBuffer, "user_id", ["t", "event_id"])
 
@@ -37,9 +48,40 @@ def rate_limit(spark, sf_dir):
     return t.select("vec_id", pick(0, "lx"), pick(3, "lqw"), pick(7, "lgrip"), pick(10, "rz"))
 
 
-QUERIES = {f.__name__: f for f in (fsm_replay, ring_buffer, rate_limit)}
+QUERIES = {f.__name__: f for f in (fsm_replay, collected_pairs, ring_buffer, rate_limit)}
+#: The collection machine step by step: all users advance by one row in each round of the recursion.
+_fsm = lambda capacity, horizon: f"""with recursive e as (
+    select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k, coalesce(event_type = 'error' and value > 8, false) as failure,
+        event_type = 'purchase' as c, event_type = 'click' as active, event_type = 'signup' as pending from events
+    ), f as (
+    select distinct user_id, 0::bigint as k, 0::bigint as event_id, 'policy' as phase, []::bigint[] as buffer, []::bigint[] as loser, []::bigint[] as winner,
+        false as held, false as pressed, null::bigint as armed_at, '' as outcome, []::bigint[] as shown_loser, []::bigint[] as shown_winner from e
+    union all
+    select user_id, k, event_id,
+        case act when 'arm' then 'armed' when 'roll' then 'rolled_back' when 'none' then 'policy' when 'push' then phase
+            when 'take' then case when ends then 'policy' when active then 'takeover' else phase end else 'policy' end,
+        case when act = 'push' then (buffer || [event_id])[-{capacity}:] when act = 'discard' or ends then [] else buffer end,
+        case when act = 'roll' then rolled when act = 'discard' or ends then [] else loser end,
+        case when act = 'discard' or ends then [] else taken end,
+        failure, c, case act when 'arm' then event_id when 'push' then armed_at end,
+        case act when 'arm' then 'rollback_deferred' when 'roll' then 'rolled_back' when 'none' then 'nothing_to_roll_back' when 'discard' then 'discarded'
+            else case when ends then case when len(taken) > 0 and len(loser) > 0 then 'saved' else 'incomplete' end else '' end end,
+        case when act = 'roll' then rolled when act = 'discard' then [] else loser end, case when act = 'discard' then [] else taken end
+    from (select *, act = 'take' and c and not pressed as ends, case when act = 'take' and phase = 'takeover' then winner || [event_id] else winner end as taken,
+            case when len(choice) >= {horizon} then choice[-{horizon}:] else [] end as rolled
+        from (select *, case when try_roll then case when len(choice) > 0 then 'roll' else 'none' end when phase in ('armed', 'policy') and not (phase = 'policy' and fails) then 'push'
+                when phase = 'policy' then 'arm' when fails then 'discard' else 'take' end as act
+            from (select *, (phase = 'armed' and not pending) or (phase = 'policy' and fails and not pending) as try_roll,
+                    case when phase = 'armed' then list_filter(buffer, lambda x: x <= armed_at) else buffer end as choice
+                from (select e.*, f.phase, f.buffer, f.loser, f.winner, f.pressed, f.armed_at, e.failure and not f.held as fails
+                    from f join e on e.user_id is not distinct from f.user_id and e.k = f.k + 1))))
+    )"""
 _MOVE = lambda p, t: f"(case when list_distance({p}, {t}) > 0.05 then [{p}[i] + ({t}[i] - {p}[i]) * (0.05::double / list_distance({p}, {t})) for i in range(1, 4)] else {t} end)"
 ORACLE = {
+    "fsm_replay": f"{_fsm(72, 64)} select user_id, event_id, phase, outcome, len(shown_loser)::int as n_loser, len(shown_winner)::int as n_winner from f where k > 0",
+    "collected_pairs": f"""{_fsm(6, 2)}, s as (select * from f where outcome = 'saved')
+        select user_id, event_id as pair_id, 'loser' as role, i::int as position, shown_loser[i + 1] as event_id from s, unnest(range(len(shown_loser))) as u(i)
+        union all select user_id, event_id, 'winner', i::int, shown_winner[i + 1] from s, unnest(range(len(shown_winner))) as u(i)""",
     "rate_limit": f"""with recursive {TRAJ}, f as (
         select distinct episode, -1::bigint as frame_index, 0::bigint as vec_id, [0.0, 0.0, 0.0]::double[] as lp, [1.0, 0.0, 0.0, 0.0]::double[] as lq, 0.0::double as lg, [0.0, 0.0, 0.0]::double[] as rp from traj
         union all

@@ -1,18 +1,74 @@
 """Record-at-a-time state machines. One class serves a stream (keyed state) and a batch (grouped rows in order).
 
-A machine holds JSON-able state in ``state`` and turns one input row into one output row or none. Ring buffers have a fixed
-length, other state is scalar; only a takeover that is being recorded holds the ids of its rows until it ends.
+A machine turns one input row into output rows: one, several or none. Its ``state`` holds scalars, :class:`Ring` and
+:class:`Log`. On a stream a ring lives in map state and a log in list state: a row touches one slot, appending reads nothing
+back, and a log is read only where its values are wanted. A ring is bounded by its capacity, a log by one recording.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, MutableMapping
 from typing import Any
 
 POLICY, ARMED, ROLLED_BACK, TAKEOVER = "policy", "armed", "rolled_back", "takeover"
 
 
+class Ring:
+    """The last ``capacity`` values. The k-th that was appended is in slot k modulo ``capacity`` of ``slots``."""
+
+    def __init__(self, capacity: int, start: int = 0, end: int = 0, slots: MutableMapping[int, int] | None = None):
+        self.capacity, self.start, self.end = capacity, start, end
+        self.slots = {} if slots is None else slots
+
+    def append(self, value: int) -> None:
+        self.slots[self.end % self.capacity] = value
+        self.end += 1
+        self.start = max(self.start, self.end - self.capacity)
+
+    def clear(self) -> None:
+        self.start = self.end
+
+    @property
+    def first(self) -> int:
+        return self.slots[self.start % self.capacity]
+
+    def __len__(self) -> int:
+        return self.end - self.start
+
+    def __iter__(self) -> Iterator[int]:
+        return (self.slots[k % self.capacity] for k in range(self.start, self.end))
+
+    def __eq__(self, other: Iterable) -> bool:
+        return list(self) == list(other)
+
+
+class Log:
+    """Values in order, only ever appended or all cleared. ``stored`` gives those of before, ``added`` has the new ones."""
+
+    def __init__(self, size: int = 0, stored: Callable[[], Iterable[int]] = tuple):
+        self.size, self.stored, self.added, self.cleared = size, stored, [], False
+
+    def append(self, value: int) -> None:
+        self.added.append(value)
+        self.size += 1
+
+    def clear(self) -> None:
+        self.size, self.added, self.cleared = 0, [], True
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[int]:
+        if not self.cleared:
+            yield from self.stored()
+        yield from self.added
+
+    def __eq__(self, other: Iterable) -> bool:
+        return list(self) == list(other)
+
+
 class Machine:
-    """``output`` is the DDL of what :meth:`tick` gives."""
+    """``output`` is the DDL of the rows that :meth:`tick` gives."""
 
     output = ""
 
@@ -22,7 +78,7 @@ class Machine:
     def initial(self) -> dict[str, Any]:
         return {}
 
-    def tick(self, row: dict[str, Any]) -> dict[str, Any] | None:
+    def tick(self, row: dict[str, Any]) -> dict[str, Any] | list[dict[str, Any]] | None:
         raise NotImplementedError
 
 
@@ -38,19 +94,27 @@ class Collector(Machine):
     capacity, horizon, threshold = 72, 64, 0.5
 
     def initial(self) -> dict[str, Any]:
-        return {"phase": POLICY, "buffer": [], "loser": [], "winner": [], "failure": False, "commit": False, "armed_at": None}
+        return {"phase": POLICY, "buffer": Ring(self.capacity), "loser": Log(), "winner": Log(), "failure": False, "commit": False, "armed_at": None}
 
     def _roll_back(self, candidates: list[int]) -> str:
         s = self.state
         if not candidates:
             s["phase"] = POLICY
             return "nothing_to_roll_back"
-        s["loser"] = candidates[-self.horizon :] if len(candidates) >= self.horizon else []
+        s["loser"].clear()
+        if len(candidates) >= self.horizon:
+            for x in candidates[-self.horizon :]:
+                s["loser"].append(x)
         s["phase"] = ROLLED_BACK
         return "rolled_back"
 
     def _clear(self) -> None:
-        self.state |= {"phase": POLICY, "buffer": [], "loser": [], "winner": [], "armed_at": None}
+        for held in ("buffer", "loser", "winner"):
+            self.state[held].clear()
+        self.state |= {"phase": POLICY, "armed_at": None}
+
+    def _saved(self, pair: int) -> None:
+        """Called with the id of the press that saves, while both recordings are still there."""
 
     def tick(self, row: dict[str, Any]) -> dict[str, Any]:
         s = self.state
@@ -64,14 +128,14 @@ class Collector(Machine):
                 s["armed_at"] = None
                 outcome = self._roll_back([x for x in s["buffer"] if x <= cut])
             else:
-                s["buffer"] = [*s["buffer"], row["event_id"]][-self.capacity :]
+                s["buffer"].append(row["event_id"])
         elif s["phase"] == POLICY:
             if failure and row["pending"]:
                 s["phase"], s["armed_at"], outcome = ARMED, row["event_id"], "rollback_deferred"
             elif failure:
                 outcome = self._roll_back(list(s["buffer"]))
             else:
-                s["buffer"] = [*s["buffer"], row["event_id"]][-self.capacity :]
+                s["buffer"].append(row["event_id"])
         elif failure:
             outcome = "discarded"
             self._clear()
@@ -81,13 +145,30 @@ class Collector(Machine):
             if active:
                 s["phase"] = TAKEOVER
             if commit:
-                outcome = "saved" if s["winner"] and s["loser"] else "incomplete"
                 counts = len(s["loser"]), len(s["winner"])
+                outcome = "saved" if all(counts) else "incomplete"
+                if outcome == "saved":
+                    self._saved(row["event_id"])
                 self._clear()
         n_loser, n_winner = counts or (len(s["loser"]), len(s["winner"]))
         return {"event_id": row["event_id"], "phase": s["phase"], "outcome": outcome, "n_loser": n_loser, "n_winner": n_winner}
 
 
+class PairRecorder(Collector):
+    """The same collection, of which only the saved pairs come out: one row for each step of the loser and of the winner."""
+
+    output = "pair_id long, role string, position int, event_id long"
+
+    def _saved(self, pair: int) -> None:
+        for role in ("loser", "winner"):
+            self.rows += [{"pair_id": pair, "role": role, "position": i, "event_id": x} for i, x in enumerate(self.state[role])]
+
+    def tick(self, row: dict[str, Any]) -> list[dict[str, Any]]:
+        self.rows: list[dict[str, Any]] = []
+        super().tick(row)
+        return self.rows
+
+
 class RateGate(Machine):
     """Passes a row if it comes at least ``interval`` seconds after the last one that passed."""
 
@@ -156,8 +237,9 @@ class RingBuffer(Machine):
     capacity = 72
 
     def initial(self) -> dict[str, Any]:
-        return {"ids": []}
+        return {"ids": Ring(self.capacity)}
 
     def tick(self, row: dict[str, Any]) -> dict[str, Any]:
-        self.state["ids"] = [*self.state["ids"], row["event_id"]][-self.capacity :]
-        return {"event_id": row["event_id"], "held": len(self.state["ids"]), "oldest": self.state["ids"][0]}
+        ids = self.state["ids"]
+        ids.append(row["event_id"])
+        return {"event_id": row["event_id"], "held": len(ids), "oldest": ids.first}

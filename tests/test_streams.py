@@ -2,13 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.plans.state_queries import controls
+from kinelake.plans.state_queries import ShortPairs, controls
 from kinelake.streaming import machines, replay
 
 from .conftest import SMALL
 
 
-@pytest.mark.parametrize("machine", [machines.Collector, machines.RateGate, machines.ErrorTrip, machines.DeadMan, machines.RingBuffer])
+@pytest.mark.parametrize("machine", [machines.Collector, machines.RateGate, machines.ErrorTrip, machines.DeadMan, machines.RingBuffer, ShortPairs])
 def test_streams_give_what_tables_give(spark, machine, tmp_path):
     """Micro-batches in time order, state kept between them."""
     table = controls(spark, SMALL).cache()
@@ -98,3 +98,57 @@ def test_silence_zeroes_a_command():
     m.silence = 0.5
     assert [m.tick({"event_id": 0, "t": t, "value": 1.0})["held"] for t in (0.0, 0.4, 1.0, 1.2)] == [1.0, 1.0, 0.0, 1.0]
     assert np.isclose(machines.DeadMan.silence, 21600.0)
+
+
+def test_a_ring_writes_the_slots_it_changed_and_a_log_what_was_added():
+    class Held:
+        def __init__(self):
+            self.rows, self.reads, self.writes = {}, 0, 0
+
+        def getValue(self, slot):
+            self.reads += 1
+            return self.rows[slot]
+
+        def updateValue(self, slot, value):
+            self.writes += 1
+            self.rows[slot] = value
+
+    held, bounds, seen = Held(), (0, 0), []
+    for batch in (range(100), range(100, 103), []):
+        slots = replay._Slots(held)
+        ring = machines.Ring(72, *bounds, slots)
+        for x in batch:
+            ring.append(x)
+            seen.append(x)
+            assert ring.first == seen[-72:][0]
+        slots.flush()
+        bounds = ring.start, ring.end
+    assert held.writes == 72 + 3 and held.reads == 3  # `first` reads one slot a row
+    assert machines.Ring(72, *bounds, replay._Slots(held)) == seen[-72:]
+    log = machines.Log(2, lambda: [7, 8])
+    log.append(9)
+    assert log == [7, 8, 9] and log.added == [9] and len(log) == 3
+    log.clear()
+    log.append(1)
+    assert log == [1] and log.cleared and len(log) == 1
+
+
+def test_a_long_log_and_null_keys_pass_in_batches(spark):
+    """One key has nearly all rows; batches are far smaller than its log, and a machine lasts across them."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        rows = spark.range(5000).select(F.when(F.col("id") % 50 > 1, F.lit(1)).when(F.col("id") % 50 == 1, F.lit(2)).alias("user_id"), F.col("id").alias("event_id"))
+        got = replay.over_table(rows, machines.RingBuffer, "user_id", ["event_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    own = {}
+    for r in sorted(rows.collect(), key=lambda r: r.event_id):
+        own.setdefault(r.user_id, []).append(r.event_id)
+    want = [(k, x, min(i + 1, 72), ids[max(0, i - 71)]) for k, ids in own.items() for i, x in enumerate(ids)]
+    assert set(own) == {None, 1, 2} and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_an_empty_table_gives_no_rows(spark):
+    none = controls(spark, SMALL).where("false")
+    assert replay.over_table(none, machines.Collector, "user_id", ["t", "event_id"]).count() == 0
