@@ -5,7 +5,7 @@ splits on its next bit, and only such buckets do, until every one fits. The sums
 aggregation of the cells below them (at most 2 ** STEP cells in the first round, which may be broadcast); cells that are
 still too large go on to the next levels, alone.
 
-Where all bits are used up (rows with one id), a bucket fills pages one after another instead. A document above the limit
+Where all bits are used up (rows with one id), a bucket fills pages by running bytes instead. A document above the limit
 has a page to itself.
 
 Defined results: a null text has 0 bytes; a null id hashes like an empty one; repeated rows each get their own row; an
@@ -23,6 +23,8 @@ BITS, STEP = 60, 12
 LIMIT = 1 << 20
 #: Copies of one row that one task deals to pages.
 STRETCH = 1000
+#: Pages of alike rows, and of the classes of sizes; those of the last hold at most 1/32 of the limit in a row.
+CLASSES = 6
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,14 +72,27 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Pages of buckets whose rows share all bits. Rows of one id and size are alike: they are counted, not gathered."""
-    alike = rows.groupBy("h", "id", "n_bytes").agg(F.count(F.lit(1)).alias("copies"))
-    each = alike.withColumn("fit", F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))).withColumn("need", F.ceil(F.col("copies") / F.col("fit")))
-    before = F.sum("need").over(Window.partitionBy("h").orderBy("id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1))
+    """Pages of buckets whose rows share all bits.
+
+    Rows of one id and size are alike: they are counted, not gathered, and fill pages of their own as long as they fill
+    them. The rest, at most a page of each, is placed by running bytes over one order, in classes by size: above 1/4 of
+    the limit, above 1/8, and so on. A page takes the rows that begin in one window of the running bytes; a window is the
+    limit less the class's largest size, so that a page fits. Page numbers name class and place: they have gaps.
+    """
+    ratio = F.lit(limit) / F.greatest("n_bytes", F.lit(1))
+    alike = rows.groupBy("h", "id", "n_bytes").agg(F.count(F.lit(1)).alias("copies")).withColumn("fit", F.greatest(F.lit(1), F.floor(ratio)))
+    doubled = F.filter(F.array(*[F.lit(float(2**c)) for c in range(2, CLASSES)]), lambda two: ratio >= two)
+    each = alike.withColumn("c", 1 + F.size(doubled)).withColumn("full", F.expr("copies div fit"))
+    order = lambda *by: Window.partitionBy(*by).orderBy("id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("pages", F.coalesce(F.sum("full").over(order("h")), F.lit(0)))
+    each = each.withColumn("bytes", F.coalesce(F.sum(F.expr("n_bytes * (copies % fit)")).over(order("h", "c")), F.lit(0)))
     # A row with many copies is dealt out in stretches before it becomes rows again.
-    dealt = each.withColumn("first", F.coalesce(before, F.lit(0))).withColumn("from", F.explode(F.expr(f"sequence(0L, copies - 1, {STRETCH}L)")))
+    dealt = each.withColumn("from", F.explode(F.expr(f"sequence(0L, copies - 1, {STRETCH}L)")))
     dealt = dealt.repartition("h", "id", "n_bytes", "from").withColumn("i", F.explode(F.expr(f"sequence(from, least(from + {STRETCH} - 1, copies - 1))")))
-    return dealt.select("id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), (F.col("first") + F.floor(F.col("i") / F.col("fit"))).cast("long").alias("page"))
+    own = F.expr(f"(pages + i div fit) * {CLASSES}")
+    shared = F.expr(f"((bytes + (i - full * fit) * n_bytes) div ({limit}L - ({limit}L div shiftleft(1L, c)))) * {CLASSES} + c")
+    page = F.when(F.expr("i < full * fit"), own).otherwise(shared).cast("long")
+    return dealt.select("id", "n_bytes", F.lit(BITS).alias("depth"), F.col("h").alias("prefix"), page.alias("page"))
 
 
 def directory(assigned: DataFrame) -> DataFrame:

@@ -167,3 +167,23 @@ def test_many_rows_of_one_id_fill_pages(spark):
     rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 100).alias("text"))
     shards = sharding.directory(sharding.assign(rows, limit=5000)).collect()
     assert sum(r.documents for r in shards) == 20_000 and len(shards) == 400 and all(r.n_bytes == 5000 for r in shards)
+
+
+def test_rows_of_one_id_and_many_sizes_share_pages(spark):
+    rows = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.expr("repeat('x', cast(8000 + id as int))").alias("text"))
+    shards = sharding.directory(sharding.assign(rows)).collect()
+    assert sum(r.documents for r in shards) == 300 and len(shards) == 3 and all(r.n_bytes <= sharding.LIMIT for r in shards)
+
+
+def test_pages_of_any_sizes_fit(spark):
+    """Sizes from none to above the limit, most of them repeated, of two ids; every row once, no page above the limit."""
+    size = F.when(F.col("id") % 3 == 0, F.lit(100)).otherwise(F.pmod(F.xxhash64("id"), F.lit(2500))).cast("int")
+    rows = spark.range(4000).select((F.col("id") % 2).alias("doc_id"), F.repeat(F.lit("x"), size).alias("text"))
+    assigned = sharding.assign(rows, limit=2000)
+    shards = sharding.directory(assigned).collect()
+    want = sorted((r.doc_id, r.n) for r in rows.select("doc_id", F.length("text").alias("n")).collect())
+    assert sorted((r.doc_id, r.n_bytes) for r in assigned.collect()) == want
+    assert all(r.n_bytes <= 2000 or r.documents == 1 for r in shards)
+    small = [n for _, n in want if n <= 1000]
+    shared = [r for r in shards if r.n_bytes <= 2000 and r.documents > 1]
+    assert sum(r.n_bytes for r in shared) > 0.6 * 2000 * (len(shared) - 2 * sharding.CLASSES) and sum(r.documents for r in shared) > 0.9 * len(small)
