@@ -94,6 +94,13 @@ def normal_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def text_variants(df: DataFrame, text: str) -> DataFrame:
+    """(text_key, normal_text, raw_text, num_links): the raw texts of each key, a row each, so that a key may have any number."""
+    raw = df.groupBy(F.col(text).alias("raw_text")).agg(F.count(F.lit(1)).alias("num_links"))  # counted before they move
+    normal = normal_text(F.col("raw_text"))
+    return raw.select(F.sha1(normal.cast("binary")).alias("text_key"), normal.alias("normal_text"), "raw_text", "num_links")
+
+
 def text_keys(df: DataFrame, text: str) -> DataFrame:
     """(text_key, raw_texts, num_links): one row for each normalised text."""
     rows = df.select(F.sha1(normal_text(F.col(text)).cast("binary")).alias("_key"), F.sha1(F.col(text).cast("binary")).alias("_raw"))

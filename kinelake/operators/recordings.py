@@ -148,3 +148,17 @@ ALIGNED = {
     "split_h5": split_frames, "demo_h5": demo_frames, "merged_h5": merged_frames, "annotated_json": annotated_frames,
     "prompted_h5": prompted_frames, "dual_arm_h5": dual_arm_frames, "image_folders": folder_frames,
 }
+
+
+def conversion_summary(frames: DataFrame, dataset: Column, strict: bool = False) -> DataFrame:
+    """(dataset, status, episodes, frames, faults, error): one row for each dataset of frames that were read with
+    ``errors`` = "report". A dataset with a fault has status "error" and its first fault by container and episode; ``strict``
+    makes that an error of the job instead. Frames are counted by episode before they meet."""
+    each = frames.withColumn("dataset", dataset).groupBy("dataset", "container", "episode", "error").agg(F.count(F.lit(1)).alias("_n"))
+    fine = F.col("error").isNull()
+    out = each.groupBy("dataset").agg(
+        F.count(F.when(fine, True)).alias("episodes"), F.coalesce(F.sum(F.when(fine, F.col("_n"))), F.lit(0)).alias("frames"), F.count("error").alias("faults"),
+        F.min(F.when(~fine, F.struct("container", "episode", "error")))["error"].alias("error"),
+    )
+    status = F.when(F.col("faults") == 0, "ok").otherwise(F.raise_error(F.concat_ws(": ", "dataset", "error")).cast("string") if strict else F.lit("error"))
+    return out.select("dataset", status.alias("status"), "episodes", "frames", "faults", "error")

@@ -7,8 +7,9 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from kinelake.operators import joins
-from kinelake.sources import frames, legacy, pairs, recordings, repos
+from kinelake.operators import joins, windows
+from kinelake.operators import recordings as windowed
+from kinelake.sources import frames, legacy, pairs, recordings, repos, samples
 
 from .bindings import TRAJ, read, rounded, trajectory
 from .recording_queries import written
@@ -177,3 +178,33 @@ def pair_store(spark, sf_dir):
     seen = F.get_json_object("skeleton", "$.seen.__array__")
     done = done.withColumn("digest", seen).join(pairs.read_blobs(spark, path).select("digest", pairs.floats(F.col("data")).alias("v")), "digest")
     return done.select("pair_id", "round_id", "side", "frame_index", rounded(F.get("state", F.lit(0)).cast("double"), 5).alias("x"), rounded(F.get("v", F.lit(1)), 5).alias("seen"))
+
+
+@query(f"""with {TRAJ}, c as (select *, (episode % 3)::int as round, max(frame_index) over (partition by episode) as final from traj)
+    select c.round, c.episode, count(*) as samples, 'delta' as action_representation, round(sum(c.action[1]), 4) + 0.0 as first_sum, round(sum(l.action[1]), 4) + 0.0 as last_sum
+    from c join traj l on l.episode = c.episode and l.frame_index = least(c.frame_index + 3, c.final) where c.round <> 1 or c.frame_index % 2 = 0 group by 1, 2""")
+def sample_rounds(spark, sf_dir):
+    """Chunks of four actions as samples of three rounds; the second is written twice, and its first version does not count."""
+    path = workspace(spark)
+    t = windows.lookahead(trajectory(spark, sf_dir), "action", 4, ["episode"], ["frame_index"], "winner").withColumn("loser", F.col("winner"))
+    t = t.select("episode", "frame_index", "winner", "loser")
+    for k in (0, 1, 2):
+        samples.write_samples(t.where(F.col("episode") % 3 == k), path, k, "four.json")
+    samples.write_samples(t.where("episode % 3 = 1 and frame_index % 2 = 0"), path, 1, "four.json")
+    at = lambda i: F.round(F.sum(F.get(F.get("winner", F.lit(i)), F.lit(0)).cast("double")), 4) + F.lit(0.0)
+    return samples.read_samples(spark, path).groupBy("round", "episode", "action_representation").agg(F.count(F.lit(1)).alias("samples"), at(0).alias("first_sum"), at(3).alias("last_sum"))
+
+
+@query(f"""with {TRAJ} select 'set_' || episode % 6 as dataset, case when count(*) filter (where episode % 6 = 5 and episode % 4 = 1) > 0 then 'error' else 'ok' end as status,
+    count(distinct episode) filter (where not (episode % 6 = 5 and episode % 4 = 1)) as episodes, count(*) filter (where not (episode % 6 = 5 and episode % 4 = 1)) as frames,
+    count(distinct episode) filter (where episode % 6 = 5 and episode % 4 = 1) as faults from traj group by 1""")
+def conversion_summary(spark, sf_dir):
+    """Six datasets are converted; one has containers that end too early, which are reported while all others are read."""
+
+    def each(k, state, action):
+        whole = recordings.archive({"endpose/left_endpose": action[:, :7], "observations/qpos": state})
+        return {f"set_{k % 6}/episode_{k}.hdf5": whole[: len(whole) // 2] if k % 6 == 5 and k % 4 == 1 else whole}
+
+    recordings.register(spark)
+    df = spark.read.format("recording").option("layout", "merged_h5").option("errors", "report").load(written(spark, sf_dir, each))
+    return windowed.conversion_summary(df, F.regexp_extract("container", r"(set_\d+)/[^/]*$", 1)).drop("error")

@@ -66,6 +66,11 @@ def text_keys(spark, sf_dir):
     return indexing.text_keys(read(spark, sf_dir, "documents").where("text is not null"), "text")
 
 
+@query(r"select sha1(trim(regexp_replace(text, '\s+', ' ', 'g'))) as text_key, trim(regexp_replace(text, '\s+', ' ', 'g')) as normal_text, text as raw_text, count(*) as num_links from documents where text is not null group by text")
+def text_variants(spark, sf_dir):
+    return indexing.text_variants(read(spark, sf_dir, "documents").where("text is not null"), "text")
+
+
 @query(r"""select c_name as name, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '-', 'g')) as slug, trim(translate(c_name, '_-', '  ')) as phrase,
     'customer#' || lpad(regexp_replace(split_part(c_name, '#', 2), '^0+(.)', '\1'), 20, '0') as natural_key from customer""")
 def name_derivation(spark, sf_dir):

@@ -10,6 +10,8 @@ loads only the arrays of its layout. Equality and membership of ``split``, ``epi
 
 Containers are recognised by their first bytes: HDF5 (where ``h5py`` is installed on the executors) or a NumPy archive with
 the same inner paths and attributes below ``@``. Pickled step lists are read by an unpickler that knows arrays only.
+``option("errors", "report")`` adds a column ``error``: a container or episode that cannot be read gives one row with the
+fault and no frame, and the others go on; by default the fault ends the job. An episode is whole or a fault.
 Files are opened through pyarrow's file systems, so paths are local, hdfs, s3 or gs addresses that the executors share.
 """
 
@@ -31,6 +33,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains
 
 SCHEMA = "container string, split string, episode string, instruction string, frame_index long, arrays map<string,array<double>>, cameras map<string,string>"
+#: The column of ``option("errors", "report")``.
+ERROR = "error"
 ARROW = pa.schema([("container", pa.string()), ("split", pa.string()), ("episode", pa.string()), ("instruction", pa.string()), ("frame_index", pa.int64()), ("arrays", pa.map_(pa.string(), pa.list_(pa.float64()))), ("cameras", pa.map_(pa.string(), pa.string()))])
 #: Bytes of containers that share a partition, and frames of a record batch.
 PARTITION_BYTES, FRAMES_OUT = 64 << 20, 512
@@ -175,12 +179,19 @@ class RecordingSource(DataSource):
         return "recording"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, {ERROR} string" if reports(dict(self.options)) else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return RecordingReader(dict(self.options))
 
 
+def reports(options: dict[str, str]) -> bool:
+    kind = next((v for k, v in options.items() if k.lower() == "errors"), "raise")
+    if kind not in ("raise", "report"):
+        raise ValueError("errors must be 'raise' or 'report'")
+    return kind == "report"
+
+
 class RecordingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         lower = {k.lower(): v for k, v in options.items()}
@@ -190,6 +201,7 @@ class RecordingReader(DataSourceReader):
         self.path, self.device = lower["path"], lower.get("device", "robot")
         self.splits = {s.strip() for s in lower.get("split", "").split(",") if s.strip()} or ({self.layout.split} if self.layout.split else set())
         self.tasks = [t.strip().lower() for t in lower.get("tasks", "").split(",") if t.strip()]
+        self.reports = reports(options)
         self.bytes = int(lower.get("partitionbytes", PARTITION_BYTES))
         self.equal: dict[str, set] = {}
         self.contains: list[str] = []
@@ -263,24 +275,46 @@ class RecordingReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(self.path)
         for path, split, named, images in partition.containers:
-            folder = posixpath.dirname(path)
-            load = lambda p: files.open_input_stream(p).read()
-            if self.layout.fan == "images":
-                tree: Tree = StepTree({"obs": load(f"{folder}/obs_dict.pkl"), "policy": load(path)})
-            else:
-                tree = Tree(load(path))
-            said = self._said(tree, files, folder, load) or named
-            relative = posixpath.relpath(path if self.layout.fan == "file" and not self.layout.sidecar[0] else folder, root)
-            if self.layout.fan == "demos":
-                episodes = [(f"{posixpath.basename(path)}::{g}", f"data/{g}/", {}) for g in tree.groups("data/")]
-            elif self.layout.fan == "images":
-                episodes = [(f"{relative}::{i}", "", {"main": f"{folder}/{i}"}) for i in images]
-            else:
-                episodes = [(relative, "", {})]
-            for episode, below, cameras in episodes:
-                if self._may("episode", episode) and self._wanted(said, episode, posixpath.basename(path), folder):
-                    cameras = cameras or {k: f"{path}::{below}{inner}" for k, inner in self.layout.cameras.items() if below + inner in tree.names}
-                    yield from self._frames(tree, path, split, episode, said, below, cameras)
+            if not self.reports:
+                for _, batches in self._episodes(files, root, path, split, named, images):
+                    yield from batches
+                continue
+            at = None
+            try:
+                for at, batches in self._episodes(files, root, path, split, named, images):
+                    try:
+                        whole = [b.append_column(ERROR, pa.nulls(len(b), pa.string())) for b in batches]
+                    except Exception as e:  # whatever a broken episode raises
+                        whole = [self._fault(path, split, at, e)]
+                    yield from whole
+            except Exception as e:  # or a broken container
+                if self._may("episode", ""):
+                    yield self._fault(path, split, None, e)
+
+    def _fault(self, path: str, split: str, episode: str | None, fault: Exception) -> pa.RecordBatch:
+        row = {"container": path, "split": split, "episode": episode, ERROR: f"{type(fault).__name__}: {fault}"}
+        return pa.RecordBatch.from_pylist([row], schema=ARROW.append(pa.field(ERROR, pa.string())))
+
+    def _episodes(self, files, root: str, path: str, split: str, named: str, images: list[str]) -> Iterator[tuple[str, Iterator[pa.RecordBatch]]]:
+        """The wanted episodes of a container, each with its frames."""
+        folder = posixpath.dirname(path)
+        load = lambda p: files.open_input_stream(p).read()
+        if self.layout.fan == "images":
+            tree: Tree = StepTree({"obs": load(f"{folder}/obs_dict.pkl"), "policy": load(path)})
+        else:
+            tree = Tree(load(path))
+        said = self._said(tree, files, folder, load) or named
+        relative = posixpath.relpath(path if self.layout.fan == "file" and not self.layout.sidecar[0] else folder, root)
+        if self.layout.fan == "demos":
+            episodes = [(f"{posixpath.basename(path)}::{g}", f"data/{g}/", {}) for g in tree.groups("data/")]
+        elif self.layout.fan == "images":
+            episodes = [(f"{relative}::{i}", "", {"main": f"{folder}/{i}"}) for i in images]
+        else:
+            episodes = [(relative, "", {})]
+        for episode, below, cameras in episodes:
+            if self._may("episode", episode) and self._wanted(said, episode, posixpath.basename(path), folder):
+                cameras = cameras or {k: f"{path}::{below}{inner}" for k, inner in self.layout.cameras.items() if below + inner in tree.names}
+                yield episode, self._frames(tree, path, split, episode, said, below, cameras)
 
     def _said(self, tree: Tree, files, folder: str, load) -> str:
         pattern, key = self.layout.sidecar

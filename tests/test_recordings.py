@@ -138,3 +138,29 @@ def test_dual_arm_constant_gripper(spark, tmp_path):
     source.write_file(str(tmp_path / "pour_water" / "1.hdf5"), source.archive(arrays))
     rows = recordings.dual_arm_frames(read(spark, tmp_path / "pour_water", "dual_arm_h5")).collect()
     assert len(rows) == 3 and {r.instruction for r in rows} == {"pour water"} and all(r.action[7] == 1.0 == r.action[15] for r in rows)
+
+
+def test_faults_are_rows_where_asked_and_end_the_job_by_default(spark, tmp_path):
+    demo(tmp_path / "good" / "a_demo.hdf5", 2)
+    demo(tmp_path / "bad" / "b_demo.hdf5", 1)
+    whole = (tmp_path / "bad" / "b_demo.hdf5").read_bytes()
+    source.write_file(str(tmp_path / "bad" / "c_demo.hdf5"), whole[: len(whole) // 2])
+    broken = {"data/demo_0/obs/ee_pos": np.zeros((4, 3)), "data/demo_1/obs/ee_pos": np.array(["x"] * 4), "data/demo_2/obs/ee_pos": np.ones((4, 3))}
+    source.write_file(str(tmp_path / "half" / "d_demo.hdf5"), source.archive(broken))
+    source.write_file(str(tmp_path / "empty" / "e_demo.hdf5"), b"")
+    with pytest.raises(Exception, match="could not convert|zip"):
+        read(spark, tmp_path, "demo_h5").collect()
+    df = read(spark, tmp_path, "demo_h5", errors="report")
+    folder = F.regexp_extract("container", r"(\w+)/[^/]*$", 1)
+    rows = {r.dataset: r for r in recordings.conversion_summary(df, folder).collect()}
+    assert {k: (r.status, r.episodes, r.frames, r.faults) for k, r in rows.items()} == {"good": ("ok", 2, 8, 0), "bad": ("error", 1, 4, 1), "half": ("error", 2, 8, 1), "empty": ("error", 0, 0, 1)}
+    assert rows["good"].error is None and "ValueError" in rows["half"].error
+    assert [r.episode for r in df.where("error is not null and episode is not null").collect()] == ["d_demo.hdf5::demo_1"]
+    assert df.where("episode = 'a_demo.hdf5::demo_1'").count() == 4  # a fault of other containers is not this episode's
+    fine = recordings.conversion_summary(df.where(folder == "good"), folder, strict=True).collect()
+    assert [r.status for r in fine] == ["ok"]
+    with pytest.raises(Exception, match="half: ValueError"):
+        recordings.conversion_summary(df.where(folder == "half"), folder, strict=True).collect()
+    assert recordings.conversion_summary(df.where("false"), folder).collect() == []
+    with pytest.raises(ValueError):
+        source.reports({"errors": "ignore"})

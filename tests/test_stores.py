@@ -114,3 +114,38 @@ def test_samples_of_different_shape_are_an_error(spark):
     bad = spark.createDataFrame([([[1.0, 2.0]], [[3.0]])], "winner array<array<double>>, loser array<array<double>>")
     with pytest.raises(Exception, match="shape"):
         pairs.validate_samples(bad).collect()
+
+
+def test_a_round_of_samples_counts_once_its_manifest_names_it(spark, tmp_path):
+    from kinelake.sources import samples
+
+    root = str(tmp_path / "samples")
+    chunk = lambda v, n=2: F.array_repeat(F.array(F.lit(float(v)), F.lit(0.0)), n)
+    some = lambda n, v: spark.range(n).select(F.col("id").alias("sample"), chunk(v).alias("winner"), chunk(-v).alias("loser"))
+    assert samples.write_samples(some(5, 1), root, 1, "a.json") == 5
+    assert samples.write_samples(some(3, 2), root, 2, "a.json") == 3
+    some(7, 9).write.parquet(f"{root}/samples/folder=left-by-a-lost-writer")
+    held = lambda: sorted((r["round"], r.winner[0][0]) for r in samples.read_samples(spark, root).collect())
+    assert held() == [(1, 1.0)] * 5 + [(2, 2.0)] * 3
+    assert samples.write_samples(some(2, 4), root, 1, "b.json") == 2  # the round is replaced as a whole
+    assert held() == [(1, 4.0)] * 2 + [(2, 2.0)] * 3
+    assert {(r["round"], r.serial, r.samples, r.config, r.history_action_representation) for r in samples.rounds(spark, root).collect()} == {(1, 2, 2, "b.json", "absolute"), (2, 1, 3, "a.json", "absolute")}
+    with pytest.raises(Exception, match="differ in shape"):
+        samples.write_samples(some(1, 1).withColumn("loser", chunk(0, 3)), root, 3, "a.json")
+    assert {r["round"] for r in samples.rounds(spark, root).collect()} == {1, 2}
+    assert samples.write_samples(some(0, 1), root, 4, "a.json") == 0 and len(held()) == 5
+    with pytest.raises(ValueError):
+        samples.write_samples(some(1, 1), root, 5, "a.json", "relative")
+    samples.write_samples(some(1, 7), root, 5, "a.json", "absolute")
+    with pytest.raises(Exception, match="representations differ"):
+        held()
+
+
+def test_text_variants_keep_every_raw_text(spark):
+    from kinelake.operators import indexing
+
+    rows = spark.createDataFrame([("a  b",), ("a b",), (" a b",), ("a b",), ("",), ("  ",)], "t string")
+    got = {(r.normal_text, r.raw_text, r.num_links) for r in indexing.text_variants(rows, "t").collect()}
+    assert got == {("a b", "a  b", 1), ("a b", "a b", 2), ("a b", " a b", 1), ("", "", 1), ("", "  ", 1)}
+    keys = indexing.text_keys(rows, "t").collect()
+    assert sorted((r.raw_texts, r.num_links) for r in keys) == [(2, 2), (3, 4)]
