@@ -24,8 +24,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below 0.3 go. Learns from the labelled rows of the whole documents table."""
-    return drop_rejected(docs, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    """Documents with a score below 0.3 go. Learns from the labelled rows of ``docs``: the documents table itself may be gone."""
+    return drop_rejected(docs, docs, common.table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,3 +113,19 @@ def test_packed_checksums(spark):
     for r in entry_queries.op4_packing(spark, SMALL).where(F.col("piece") == 0).collect():
         own = [*lib.encode(text[r.doc_id], add_special_tokens=False).ids, 1][:4096]
         assert r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+
+
+def test_later_stages_do_not_read_the_documents_table(spark, tmp_path, stages):
+    import shutil
+
+    tables = tmp_path / "tables"
+    tables.mkdir()
+    for name in ("documents", "labels"):
+        shutil.copy(f"{MEDIUM}/{name}.parquet", tables / f"{name}.parquet")
+    docs = spark.read.parquet(str(tables / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tables)).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if not k:
+            (tables / "documents.parquet").unlink()
+    assert docs.count() == stages[-1].count()
