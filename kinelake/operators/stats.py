@@ -174,6 +174,26 @@ def noise_schedule(spark, steps: int = 1000, shift: float = 1.0, sigma_min: floa
     return s.withColumn("weight", F.col("_y") * (steps / F.sum("_y").over(whole))).drop("_y")
 
 
+def nearest_step(rows: DataFrame, schedule: DataFrame, want: str, into: str, block: int = 32) -> DataFrame:
+    """Adds ``into``: the (timestep, step, sigma) of the schedule nearest to the wanted time; the first step wins a tie.
+
+    The schedule, one row for each step, is broadcast as one row of blocks in the order of time. A row looks for its place
+    among the blocks' first times, then in one block, and compares its neighbours only; one below the schedule, or without
+    a time, meets all entries. Rows are neither moved nor grouped.
+    """
+    firsts = schedule.groupBy("timestep").agg(F.min(F.struct("step", "sigma")).alias("_f"))
+    table = firsts.agg(F.array_sort(F.collect_list(F.struct("timestep", "_f.step", "_f.sigma"))).alias("_all"))
+    starts = F.sequence(F.lit(1), F.size("_all"), F.lit(block))
+    table = table.select("_all", F.transform(starts, lambda k: F.element_at("_all", k)["timestep"]).alias("_heads"), F.transform(starts, lambda k: F.slice("_all", k, block)).alias("_blocks"))
+    wanted = F.col(want)
+    below = lambda entries, time: F.size(F.filter(entries, lambda x: time(x) <= wanted))
+    at = F.greatest(below(F.col("_heads"), lambda x: x) - 1, F.lit(0))
+    place = at * block + below(F.get("_blocks", at), lambda x: x["timestep"])
+    compared = F.when(wanted >= F.get("_heads", F.lit(0)), F.slice("_all", F.greatest(place, F.lit(1)), 2)).otherwise(F.col("_all"))
+    best = F.array_min(F.transform(compared, lambda x: F.struct(F.abs(x["timestep"] - wanted).alias("d"), x["step"].alias("step"), x["timestep"].alias("timestep"), x["sigma"].alias("sigma"))))
+    return rows.join(F.broadcast(table)).withColumn(into, best).drop("_all", "_heads", "_blocks")
+
+
 def learning_rate(step: Column, total: int, warmup: int, peak: float, low: float = 0.0) -> Column:
     """Linear warm-up, then a cosine down to ``low``."""
     down = F.least(F.lit(1.0), (step - warmup) / F.lit(float(max(1, total - warmup))))
