@@ -33,7 +33,7 @@ def archived(k: int, state: np.ndarray, action: np.ndarray) -> dict[str, bytes]:
     files["metadata.json"] = json.dumps({"pair_id": f"pair-{k}", "rollback_index": k, **({"round_id": k % 4 + 1} if k % 2 else {}), "note": f"n{k}"}).encode()
     tree: dict[str, np.ndarray] = {}
     for side, rows in (("loser", range(0, 2)), ("winner", range(2, len(state)))):
-        seen = [{"state16": state[i].astype(np.float32), "images": {"head": np.full((2, 2), i, np.uint8)}, "step": i} for i in rows]
+        seen = [{"state16": state[i].astype(np.float32), "images": {"head": np.full((2, 2), i % 256, np.uint8)}, "step": i} for i in rows]
         series = {"actions": action[list(rows)].astype(np.float32), "timestamps": np.array([i / 10 for i in rows]), "sources": np.array(["policy"] * len(rows))}
         whole = lambda o, ref: {"state16": ref(o["state16"], "state16"), "images": {"head": ref(o["images"]["head"], "head")}, "step": o["step"]}
         if version == "stream":

@@ -27,3 +27,15 @@ def test_nearest_step_moves_no_rows_and_takes_the_first_of_equals(spark):
 def test_add_noise_does_not_move_events(spark):
     plan = registry.queries()["add_noise"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(want" not in plan
+
+
+def test_recorded_pairs_of_more_frames_than_a_byte_counts(spark, tmp_path):
+    n = 300
+    state = np.zeros((n, 16))
+    for k in range(3):
+        for name, data in store_queries.archived(k, state, state).items():
+            recordings.write_file(str(tmp_path / name), data)
+    legacy.register(spark)
+    rows = spark.read.format("recorded_pairs").load(str(tmp_path)).where("side = 'winner'")
+    got = {(r.version, r.frame_index): r.v for r in rows.select("version", "frame_index", F.col("arrays")["images/head"]["values"].alias("v")).collect()}
+    assert len(got) == 3 * (n - 2) and all(v == [float((i + 2) % 256)] * 4 for (_, i), v in got.items())
