@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinelake.operators import indexing
 from kinelake.streaming import live, silence, steplog
 
 from .bindings import TRAJ, read, rounded, trajectory
@@ -22,34 +23,48 @@ def query(sql: str):
     return register
 
 
-#: Messages of a topic that one segment holds, and that one micro-batch takes.
-SEGMENT, BATCH = 400, 1000
+#: Messages of a topic that one segment holds, and that one micro-batch takes, at least; the most of a segment, which one
+#: task writes and reads; and about how many segments and micro-batches a topic has. Tasks share a micro-batch by segments.
+SEGMENT, BATCH, LONGEST, SEGMENTS, BATCHES = 400, 1000, 20_000, 64, 4
 
 
-def spooled(spark: SparkSession, rows: DataFrame, topics: list[str] | None = None) -> str:
-    """A spool of (topic, seq, stamp, payload) rows, written by executors: a segment for each ``SEGMENT`` numbers of a topic."""
+def sizes(most: int) -> tuple[int, int]:
+    """Messages of a segment and of a micro-batch where the largest topic has ``most``: the number of micro-batches, each of
+    which costs seconds whatever it takes, does not grow with the messages."""
+    return min(LONGEST, max(SEGMENT, -(-most // SEGMENTS))), max(BATCH, -(-most // BATCHES))
+
+
+def spooled(spark: SparkSession, rows: DataFrame, segment: int = SEGMENT) -> str:
+    """A spool of (topic, seq, stamp, payload) rows, written by executors: a segment for each ``segment`` numbers of a topic."""
     path = workspace(spark)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
-        n = live.publish(path, part["topic"].iloc[0], zip(part["seq"], part["stamp"], part["payload"]), SEGMENT)
+        n = live.publish(path, part["topic"].iloc[0], zip(part["seq"], part["stamp"], part["payload"]), segment)
         return pd.DataFrame({"n": [n]})
 
-    rows.groupBy("topic", F.expr(f"seq div {SEGMENT}").alias("s")).applyInPandas(run, "n long").agg(F.sum("n")).collect()
+    rows.groupBy("topic", F.expr(f"seq div {segment}").alias("s")).applyInPandas(run, "n long").agg(F.sum("n")).collect()
     return path
 
 
 def messages(spark: SparkSession, sf_dir: str, topic) -> DataFrame:
-    """Events as messages: numbered by time in each topic."""
-    e = read(spark, sf_dir, "events")
-    seq = F.row_number().over(Window.partitionBy("topic").orderBy("ts", "event_id")).cast("long") - 1
+    """Events as messages: numbered by time in each topic, by stretches of all topics' order, so that no task holds a topic."""
+    e = read(spark, sf_dir, "events").withColumn("topic", topic)
     payload = F.to_json(F.struct("event_id", "user_id", "event_type"))
-    return e.withColumn("topic", topic).select("topic", seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("stamp"), payload.alias("payload"))
+    numbered = indexing.running(e, ["topic", "ts", "event_id"], F.lit(1), "_n")
+    first = e.groupBy("topic").agg(F.count(F.lit(1)).alias("_c")).withColumn("_first", F.sum("_c").over(Window.orderBy("topic")) - F.col("_c"))  # a row for each topic
+    stamp = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return numbered.join(F.broadcast(first), "topic").select("topic", (F.col("_n") - F.col("_first")).alias("seq"), stamp.alias("stamp"), payload.alias("payload"))
+
+
+def largest(spark: SparkSession, sf_dir: str, topic) -> int:
+    """Messages of the largest topic."""
+    return read(spark, sf_dir, "events").groupBy(topic).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def streamed(spark: SparkSession, path: str) -> DataFrame:
+def streamed(spark: SparkSession, path: str, batch: int = BATCH) -> DataFrame:
     live.register(spark)
-    return spark.readStream.format("live").option("maxRows", BATCH).load(path)
+    return spark.readStream.format("live").option("maxRows", batch).load(path)
 
 
 def run(spark: SparkSession, writer) -> None:
@@ -70,11 +85,12 @@ def run(spark: SparkSession, writer) -> None:
     select topic, seq, us, event_id from n""")
 def live_messages(spark, sf_dir):
     """Topics read as a stream in two runs from one checkpoint: half of the messages come after the first run has stopped."""
+    segment, batch = sizes(largest(spark, sf_dir, F.col("event_type")))
     all_rows = messages(spark, sf_dir, F.col("event_type"))
-    path, out = spooled(spark, all_rows.where(f"seq div {SEGMENT} % 2 = 0 or seq < {2 * SEGMENT}")), workspace(spark)
-    writer = lambda: streamed(spark, path).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+    path, out = spooled(spark, all_rows.where(f"seq div {segment} % 2 = 0 or seq < {2 * segment}"), segment), workspace(spark)
+    writer = lambda: streamed(spark, path, batch).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
     run(spark, writer())
-    live_copy(spark, spooled(spark, all_rows.where(f"seq div {SEGMENT} % 2 = 1 and seq >= {2 * SEGMENT}")), path)
+    live_copy(spark, spooled(spark, all_rows.where(f"seq div {segment} % 2 = 1 and seq >= {2 * segment}"), segment), path)
     run(spark, writer())
     rows = spark.read.parquet(f"{out}/rows")
     return rows.select("topic", "seq", F.unix_micros("stamp").alias("us"), F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))
@@ -95,8 +111,9 @@ def live_copy(spark: SparkSession, source: str, into: str) -> None:
     select user_id, ms as last_ms, ms + 7200000 as due_ms from n, m where coalesce(after > ms + 7200000, ms + 7200000 <= clock)""")
 def silence_alarms(spark, sf_dir):
     """Users that say nothing for two hours, reported by timers as the watermark passes, also without a further row."""
-    path, out = spooled(spark, messages(spark, sf_dir, F.lit("all"))), workspace(spark)
-    rows = streamed(spark, path).select(F.get_json_object("payload", "$.user_id").cast("long").alias("user_id"), "stamp")
+    segment, batch = sizes(largest(spark, sf_dir, F.lit("all")))
+    path, out = spooled(spark, messages(spark, sf_dir, F.lit("all")), segment), workspace(spark)
+    rows = streamed(spark, path, batch).select(F.get_json_object("payload", "$.user_id").cast("long").alias("user_id"), "stamp")
     found = silence.over_stream(rows, "user_id", "stamp", 7200.0, "0 seconds")
     run(spark, found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append"))
     return spark.read.parquet(f"{out}/rows").select("user_id", F.unix_millis("last_seen").alias("last_ms"), F.unix_millis("due").alias("due_ms"))

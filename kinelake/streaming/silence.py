@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,35 +37,41 @@ def over_stream(df: DataFrame, key: str, time: str, limit: float, delay: str) ->
     names = [key, "last_seen", "due"]
     reach = round(limit * 1000)
 
-    def alarm(own: tuple, last: int) -> pd.DataFrame:
-        stamps = [pd.Timestamp(ms, unit="ms") for ms in (last, last + reach)]
-        return pd.DataFrame([(own[0], *stamps)], columns=names)
+    def alarms(own: tuple, lasts: list[int]) -> pd.DataFrame:
+        seen = np.array(lasts, "datetime64[ms]")
+        return pd.DataFrame({key: own[:1] * len(lasts), "last_seen": seen, "due": seen + np.timedelta64(reach, "ms")}, columns=names)
 
     class Silence(StatefulProcessor):
+        """The newest time of a key, and whether its timer is set: each call of the state costs a message to the executor."""
+
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.newest = handle.getValueState("newest", "ms long")
+            self.newest = handle.getValueState("newest", "ms long, waits boolean")
 
         def handleInputRows(self, own: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            last = self.newest.get()[0] if self.newest.exists() else None
-            waits = last is not None and last + reach in set(self.handle.listTimers())  # no timer: reported already
+            before = self.newest.get()
+            last, waits = before or (None, False)  # no timer: reported already
             heard = sorted({int(t.value // 1_000_000) for part in rows for t in part[time]})
+            silent = []
             for ms in heard:
                 if last is not None and ms <= last:
                     continue
                 if last is not None and waits and ms > last + reach:
-                    yield alarm(own, last)
+                    silent.append(last)
                 last, waits = ms, True
-            if last is not None and heard:
-                for ms in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(ms)
-                if waits:
-                    self.handle.registerTimer(last + reach)
-                self.newest.update((last,))
+            if silent:
+                yield alarms(own, silent)
+            if last is not None and (before is None or last != before[0]):
+                if before and before[1]:
+                    self.handle.deleteTimer(before[0] + reach)
+                self.handle.registerTimer(last + reach)
+                self.newest.update((last, True))
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.newest.exists() and self.newest.get()[0] + reach == expiredTimerInfo.getExpiryTimeInMs():
-                yield alarm(key, self.newest.get()[0])
+            last, waits = self.newest.get() or (None, False)
+            if waits and last + reach == expiredTimerInfo.getExpiryTimeInMs():
+                self.newest.update((last, False))
+                yield alarms(key, [last])
 
         def close(self) -> None:
             pass

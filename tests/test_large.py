@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.operators import stats
-from kinelake.plans import registry, store_queries
+from kinelake.plans import registry, store_queries, stream_queries
 from kinelake.sources import legacy, recordings
 
 from .conftest import SMALL
@@ -39,3 +39,15 @@ def test_recorded_pairs_of_more_frames_than_a_byte_counts(spark, tmp_path):
     rows = spark.read.format("recorded_pairs").load(str(tmp_path)).where("side = 'winner'")
     got = {(r.version, r.frame_index): r.v for r in rows.select("version", "frame_index", F.col("arrays")["images/head"]["values"].alias("v")).collect()}
     assert len(got) == 3 * (n - 2) and all(v == [float((i + 2) % 256)] * 4 for (_, i), v in got.items())
+
+
+def test_micro_batches_do_not_grow_with_the_messages():
+    for most in (0, 1, 5000, 10**6, 10**9):
+        segment, batch = stream_queries.sizes(most)
+        assert -(-most // batch) <= stream_queries.BATCHES and 1 <= segment <= stream_queries.LONGEST
+
+
+def test_messages_are_numbered_by_topic_and_time(spark):
+    got = stream_queries.messages(spark, SMALL, F.col("event_type")).select("topic", "seq", F.get_json_object("payload", "$.event_id").cast("long")).collect()
+    want = spark.read.parquet(f"{SMALL}/events.parquet").selectExpr("event_type", "row_number() over (partition by event_type order by ts, event_id) - 1", "event_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
