@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,37 +24,91 @@ def pose_distance(a: Column, b: Column, position: float = 1.0, rotation: float =
     return total
 
 
-def _box_distance(state: Column, low: Column, high: Column, off: int) -> Column:
-    """Of a position and the nearest point of a box of positions."""
-    out = [F.greatest(pose.at(low, k) - pose.at(state, k), pose.at(state, k) - pose.at(high, k), F.lit(0.0)) for k in range(off, off + 3)]
-    return F.sqrt(out[0] * out[0] + out[1] * out[1] + out[2] * out[2])
+#: Rows of a block of one side; pairs of rows that a task holds numbers of at a time.
+BLOCK, AT_ONCE = 4096, 1 << 17
+
+
+def _features(state: Column) -> Column:
+    """Positions, grippers and unit quaternions of both arms, 16 numbers; null where a distance would be null."""
+    places = [pose.at(state, off + k) for off in (pose.LEFT, pose.RIGHT) for k in (0, 1, 2, 7)]
+    turns = [pose.quat_normalize(pose.part(state, off + 3, 4)) for off in (pose.LEFT, pose.RIGHT)]
+    return F.when(reduce(and_, [p.isNotNull() for p in places]), F.concat(F.array(*places), *turns))
+
+
+def near_places(a: np.ndarray, b: np.ndarray, position: float = 1.0, rotation: float = 0.5, gripper: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of b): for each row of ``a`` the rows of ``b`` that may be nearest, few but for equals.
+
+    An angle is at least its chord, so a sum with chords is a lower bound of the distance; the distance to the row with the
+    least bound is an upper one of the least. Rows whose bound is above it, or then whose distance is above the least by
+    more than rounding explains, are left out. Numbers that are not finite never leave a row out.
+    """
+    found, step = [], max(1, AT_ONCE // max(1, len(b)))
+
+    def rest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = 0.0
+        for off in (0, 4):
+            moved = [x[..., off + k] - y[..., off + k] for k in range(4)]
+            out = out + position * np.sqrt(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2]) + gripper * np.abs(moved[3])
+        return out
+
+    def cosines(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        return [np.fmin(np.abs(sum(x[..., off + k] * y[..., off + k] for k in range(4))), 1.0) for off in (8, 12)]
+
+    with np.errstate(all="ignore"):
+        for at in range(0, len(a), step):
+            x = a[at : at + step]
+            bound = rest(x[:, None], b[None])
+            for c in cosines(x[:, None], b[None]):
+                bound += rotation * 2 * np.sqrt(2 - 2 * c)
+            exact = lambda i, j: rest(x[i], b[j]) + sum(rotation * 2 * np.arccos(c) for c in cosines(x[i], b[j]))
+            rows = np.arange(len(x))
+            most = exact(rows, np.argmin(bound, axis=1))
+            i, j = np.nonzero(~(bound > (most * (1 + 1e-6) + 1e-6)[:, None]))
+            d = exact(i, j)
+            least = np.full(len(x), np.inf)
+            np.fmin.at(least, i, d)
+            kept = ~(d > least[i] * (1 + 1e-6) + 1e-6)
+            found.append((i[kept] + at, j[kept]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
 
 
 def nearest_candidates(losers: DataFrame, winners: DataFrame, pair: str, index: str, state: str, **weights: float) -> DataFrame:
     """(pair, index, state, winner index ``_j``, winner state ``_s``): the rows of :func:`nearest_state` that are compared.
 
-    A pair's winner rows, in order, form about as many blocks as a block has rows; neighbours in time are near in space.
-    Each loser row meets the blocks only: the box of a block's positions gives a lower bound of the distance to all of its
-    rows, its first state an upper bound of the least distance. Rows of blocks that start above the least upper bound are
-    not compared.
+    Of equal states of a pair's winner the first stays. Blocks of ``BLOCK`` rows of both sides meet, each two in one task,
+    so memory is bounded and a long pair is shared by tasks; the number of comparisons is that of all pairs of rows.
+    :func:`near_places` keeps those that may be nearest in their block. Where a state is missing, or not 16 numbers, all
+    distances to it are null: of such winner rows a pair needs the first only.
     """
     if any(w < 0 for w in weights.values()):
         raise ValueError("weights must not be negative")
-    w = winners.select(F.col(pair).alias("_p"), F.col(index).alias("_j"), F.col(state).alias("_s"))
-    inside = Window.partitionBy("_p")
-    size = F.ceil(F.sqrt(F.count(F.lit(1)).over(inside)))
-    w = w.withColumn("_block", F.floor((F.row_number().over(inside.orderBy("_j")) - 1) / size))
-    corner = lambda pick: F.array(*[pick(pose.at(F.col("_s"), k)) if k % 8 < 3 else F.lit(0.0) for k in range(11)])
-    boxes = w.groupBy("_p", "_block").agg(corner(F.min).alias("_low"), corner(F.max).alias("_high"), F.min_by("_s", "_j").alias("_first"))
-    own = F.col(state)
-    met = losers.select(pair, index, state).join(boxes, F.col(pair) == F.col("_p")).drop("_p")
-    near = weights.get("position", 1.0) * sum(_box_distance(own, F.col("_low"), F.col("_high"), off) for off in (pose.LEFT, pose.RIGHT))
-    met = met.select(pair, index, state, "_block", near.alias("_near"), pose_distance(own, F.col("_first"), **weights).alias("_far"))
-    limit = F.min("_far").over(Window.partitionBy(pair, index))
-    # Rounding, missing and undefined numbers never leave a block out.
-    kept = F.coalesce(F.col("_near") <= F.col("_limit") * (1 + 1e-9) + 1e-9, F.lit(True)) | F.isnan("_near")
-    blocks = met.withColumn("_limit", limit).where(kept).select(pair, index, state, "_block").withColumnRenamed("_block", "_b")
-    return blocks.join(w, (F.col(pair) == F.col("_p")) & (F.col("_b") == F.col("_block"))).select(pair, index, state, "_j", "_s")
+    w = winners.groupBy(F.col(pair).alias("_p"), F.col(state).alias("_s")).agg(F.min(index).alias("_j")).withColumn("_f", _features(F.col("_s")))
+    odd = w.where("_f is null").groupBy("_p").agg(F.min(F.struct("_j", "_s")).alias("_m")).select("_p", F.col("_m._j").alias("_j"), F.col("_m._s").alias("_s"))
+    good = w.where("_f is not null")
+    lost = losers.select(F.col(pair).alias("_p"), F.col(index).alias("_i"), F.col(state).alias("_t"), _features(F.col(state)).alias("_f"))
+    first = good.groupBy("_p").agg(F.min(F.struct("_j", "_s")).alias("_m")).select("_p", F.col("_m._j").alias("_j"), F.col("_m._s").alias("_s"))
+    # A loser row without a state has no distance to any row; a winner row without one is the last resort.
+    plain = lost.where("_f is null").drop("_f").join(first, "_p").unionByName(lost.drop("_f").join(odd, "_p"))
+    dealt = lambda key: F.pmod(F.xxhash64(key), F.col("_n"))
+    blocks = lambda df: df.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_n"))
+    lost = lost.where("_f is not null")
+    ours, theirs = blocks(lost), blocks(good)
+    all_of = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))
+    left = lost.join(ours, "_p").withColumn("_a", dealt("_i")).join(theirs.withColumnRenamed("_n", "_m"), "_p").withColumn("_b", all_of).select("_p", "_a", "_b", "_i", "_t", "_f")
+    right = good.join(theirs, "_p").withColumn("_b", dealt("_j")).join(ours.withColumnRenamed("_n", "_m"), "_p").withColumn("_a", all_of).select("_p", "_a", "_b", "_j", "_s", "_f")
+    names = ["_p", "_i", "_t", "_j", "_s"]
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        numbers = lambda t: pc.list_flatten(t["_f"]).to_numpy(zero_copy_only=False).reshape(-1, 16)
+        i, j = near_places(numbers(a), numbers(b), **weights) if a.num_rows and b.num_rows else ([], [])
+        x, y = a.take(pa.array(i, pa.int64())), b.take(pa.array(j, pa.int64()))
+        return pa.table([*(x[c] for c in names[:3]), *(y[c] for c in names[3:])], names=names)
+
+    keys = ["_p", "_a", "_b"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, ", ".join(f"{c} {kinds[c]}" for c in names))
+    both = met.unionByName(plain)
+    return both.select(F.col("_p").alias(pair), F.col("_i").alias(index), F.col("_t").alias(state), "_j", "_s")
 
 
 def nearest_state(losers: DataFrame, winners: DataFrame, pair: str, index: str, state: str, **weights: float) -> DataFrame:

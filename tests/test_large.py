@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import stats
+from kinelake.operators import augment, joins, stats
 from kinelake.plans import registry, store_queries, stream_queries
 from kinelake.sources import legacy, recordings
 
@@ -51,3 +51,31 @@ def test_messages_are_numbered_by_topic_and_time(spark):
     got = stream_queries.messages(spark, SMALL, F.col("event_type")).select("topic", "seq", F.get_json_object("payload", "$.event_id").cast("long")).collect()
     want = spark.read.parquet(f"{SMALL}/events.parquet").selectExpr("event_type", "row_number() over (partition by event_type order by ts, event_id) - 1", "event_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def states(rng, pairs, n):
+    return [(p, i, [float(x) for x in rng.normal(size=16)]) for p in range(pairs) for i in range(n)]
+
+
+def test_nearest_state_meets_in_blocks_and_keeps_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    schema = "pair int, i int, s array<double>"
+    lost, won = states(rng, 2, 70), states(rng, 2, 90)
+    won += [(p, i + 1000, s) for p, i, s in won] + [(0, 5000, [float("nan")] * 16), (1, 5000, [1e300] * 16), (1, 5001, [0.0] * 3), (2, 7, None)]
+    lost += [(0, 900, None), (1, 900, [float("inf")] * 16), (2, 0, lost[0][2])]
+    losers, winners = spark.createDataFrame(lost, schema), spark.createDataFrame(won, schema)
+    w = winners.select(F.col("pair").alias("p"), F.col("i").alias("j"), F.col("s").alias("t"))
+    d = losers.join(w, F.col("pair") == F.col("p")).withColumn("d", joins.pose_distance(F.col("s"), F.col("t")))
+    want = d.groupBy("pair", "i").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "j")).alias("m")).select("pair", "i", "m.j", F.col("m.d").cast("string"))
+    got = joins.nearest_state(losers, winners, "pair", "i", "s").withColumn("distance", F.col("distance").cast("string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_equal_states_are_compared_once(spark):
+    rng = np.random.default_rng(10)
+    still = [(1, i, [1.0] * 16) for i in range(500)]
+    schema = "pair int, i int, s array<double>"
+    losers = spark.createDataFrame([(1, i, s) for _, i, s in states(rng, 1, 200)], schema)
+    met = joins.nearest_candidates(losers, spark.createDataFrame(still, schema), "pair", "i", "s").collect()
+    assert len(met) == 200 and {r._j for r in met} == {0}
