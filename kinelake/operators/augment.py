@@ -29,3 +29,14 @@ def augment_pairs(losers: DataFrame, winners: DataFrame, pair: str, index: str,
     negative = met.select(pair, index, F.lit("negative").alias("kind"), path.alias("winner"), F.col("_chunk").alias("loser"))
     positive = won.select(pair, index, F.lit("positive").alias("kind"), F.col("_chunk").alias("winner"), F.col("_chunk").alias("loser"))
     return negative.unionByName(positive)
+
+
+def sample_counts(losers: DataFrame, winners: DataFrame, pair: str, horizon: int = 16) -> DataFrame:
+    """(pair, kind, n): how many samples :func:`augment_pairs` has, from the lengths of both sides.
+
+    Every loser row with a complete chunk has one nearest winner row where the pair has a winner at all, so neither states
+    nor actions are read.
+    """
+    lost, won = (df.groupBy(pair).agg(F.count(F.lit(1)).alias("n")) for df in (losers, winners))
+    negative = lost.join(won.select(pair), pair).select(pair, F.lit("negative").alias("kind"), (F.col("n") - horizon + 1).alias("n"))
+    return negative.where("n > 0").unionByName(won.select(pair, F.lit("positive").alias("kind"), "n"))

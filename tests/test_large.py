@@ -79,3 +79,13 @@ def test_equal_states_are_compared_once(spark):
     losers = spark.createDataFrame([(1, i, s) for _, i, s in states(rng, 1, 200)], schema)
     met = joins.nearest_candidates(losers, spark.createDataFrame(still, schema), "pair", "i", "s").collect()
     assert len(met) == 200 and {r._j for r in met} == {0}
+
+
+def test_sample_counts_are_those_of_the_samples(spark):
+    rng = np.random.default_rng(11)
+    schema = "pair int, i int, s array<double>, a array<double>"
+    rows = lambda sizes: spark.createDataFrame([(p, i, *[[float(x) for x in rng.normal(size=16)] for _ in range(2)]) for p, n in sizes.items() for i in range(n)], schema)
+    losers, winners = rows({1: 5, 2: 2, 3: 4}), rows({1: 3, 2: 4, 4: 2})
+    want = augment.augment_pairs(losers, winners, "pair", "i", "s", "a", horizon=3).groupBy("pair", "kind").count()
+    got = augment.sample_counts(losers, winners, "pair", horizon=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "negative", 3), (1, "positive", 3), (2, "positive", 4), (4, "positive", 2)]
