@@ -40,12 +40,13 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], x: str, shares: Sequence
     while (left := targets.where(f"inside > {held} and lo < hi").agg(F.count(F.lit(1)), F.sum("inside")).first()) and left[0] and tuple(left) != before:
         before = tuple(left)
         wide = targets.where(f"inside > {held} and lo < hi")
-        near = _within(data, wide, keys)
+        few = left[0] <= BRACKETS
+        near = _within(data, wide, keys, few)
         sketch = near.groupBy(*keys, "share", "end").agg(F.percentile_approx("_x", points, ACCURACY).alias("p"))
         place = (F.col("rank") - F.col("below")) / F.col("inside") * POINTS
         edge = 1 + POINTS * 2 // ACCURACY
         cut = wide.join(sketch, [*keys, "share", "end"]).withColumn("_lo", F.get("p", F.greatest(F.floor(place).cast("int") - edge, F.lit(0)))).withColumn("_hi", F.get("p", F.least(F.ceil(place).cast("int") + edge, F.lit(POINTS)))).drop("p")
-        counted = _within(data, cut, keys).groupBy(*names, "_lo", "_hi").agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_under"), F.sum(F.col("_x").between(F.col("_lo"), F.col("_hi")).cast("long")).alias("_in"))
+        counted = _within(data, cut, keys, few).groupBy(*names, "_lo", "_hi").agg(F.sum((F.col("_x") < F.col("_lo")).cast("long")).alias("_under"), F.sum(F.col("_x").between(F.col("_lo"), F.col("_hi")).cast("long")).alias("_in"))
         first, last = F.col("below") + F.col("_under"), F.col("below") + F.col("_under") + F.col("_in")
         missed_low, missed_high = F.col("rank") < first, F.col("rank") >= last  # the sketch was off: keep that side
         lo, hi = F.when(missed_low, F.col("lo")).otherwise(F.col("_lo")), F.when(missed_high, F.col("hi")).otherwise(F.col("_hi"))
@@ -53,7 +54,8 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], x: str, shares: Sequence
         inside = F.when(missed_low, F.col("_under") + F.col("_in")).when(missed_high, F.col("inside") - F.col("_under")).otherwise(F.col("_in"))
         narrowed = counted.select(*keys, "share", "n", lo.alias("lo"), hi.alias("hi"), "rank", "end", under.alias("below"), inside.alias("inside"))
         targets = _kept(targets.where(f"inside <= {held} or lo >= hi").unionByName(narrowed))
-    some = _within(data, targets.where("lo < hi"), keys).groupBy(*names).agg(F.sort_array(F.collect_list("_x")).alias("_v"))
+    last = targets.where("lo < hi")
+    some = _within(data, last, keys, last.count() <= BRACKETS).groupBy(*names).agg(F.sort_array(F.collect_list("_x")).alias("_v"))
     values = targets.where("lo >= hi").withColumn("v", F.col("lo")).unionByName(some.withColumn("v", F.get("_v", (F.col("rank") - F.col("below")).cast("int"))).drop("_v"))
     part = (F.first("n") - 1) * F.col("share")
     low, high = (F.max(F.when(F.col("end") == k, F.col("v"))) for k in (0, 1))
@@ -68,9 +70,14 @@ def _kept(targets: DataFrame) -> DataFrame:
     return targets.checkpoint()
 
 
-def _within(data: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of each target's bracket."""
+#: Brackets that are few enough to go to every task; with more, groups are many and rows meet them by group in a shuffle.
+BRACKETS = 10_000
+
+
+def _within(data: DataFrame, targets: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    """Rows of each target's bracket. Few brackets are broadcast, so that the rows of a large group stay where they are."""
     named = targets.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    named = F.broadcast(named) if few else named
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_x").between(F.col("lo"), F.col("hi")))
     return data.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
 

@@ -89,3 +89,11 @@ def test_sample_counts_are_those_of_the_samples(spark):
     want = augment.augment_pairs(losers, winners, "pair", "i", "s", "a", horizon=3).groupBy("pair", "kind").count()
     got = augment.sample_counts(losers, winners, "pair", horizon=3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, "negative", 3), (1, "positive", 3), (2, "positive", 4), (4, "positive", 2)]
+
+
+def test_rows_of_large_groups_stay_where_they_are(spark):
+    data = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("_x"))
+    targets = spark.createDataFrame([(0, 10.0, 20.0), (1, 90.0, 95.0)], "g long, lo double, hi double").localCheckpoint()
+    some = {few: stats._within(data, targets, ["g"], few) for few in (True, False)}
+    assert "BroadcastHashJoin" in some[True]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, some[True].select("g", "_x").collect())) == sorted(map(tuple, some[False].select("g", "_x").collect())) and some[True].count() == 9
