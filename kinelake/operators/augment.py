@@ -24,7 +24,8 @@ def augment_pairs(losers: DataFrame, winners: DataFrame, pair: str, index: str,
     arrival = F.get("_wchunk", F.lit(min(n, horizon - 1)))
     near = joins.nearest_state(lost, winners, pair, index, state)
     target = won.select(F.col(pair), F.col(index).alias("winner_index"), F.col("_chunk").alias("_wchunk"))
-    met = lost.join(near, [pair, index]).join(target, [pair, "winner_index"])
+    # Chunks are in order in one task for a pair; the bridges, whose work is greater by far, are dealt by rows.
+    met = lost.join(near, [pair, index]).join(target, [pair, "winner_index"]).repartition(joins.tasks(losers), pair, index)
     path = resample.bridge(F.col(state), F.col("_wchunk"), arrival, horizon, fraction, **bridge)
     negative = met.select(pair, index, F.lit("negative").alias("kind"), path.alias("winner"), F.col("_chunk").alias("loser"))
     positive = won.select(pair, index, F.lit("positive").alias("kind"), F.col("_chunk").alias("winner"), F.col("_chunk").alias("loser"))

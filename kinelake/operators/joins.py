@@ -24,8 +24,13 @@ def pose_distance(a: Column, b: Column, position: float = 1.0, rotation: float =
     return total
 
 
-#: Rows of a block of one side; pairs of rows that a task holds numbers of at a time.
-BLOCK, AT_ONCE = 4096, 1 << 17
+#: Rows of a block of one side; pairs of rows that a task holds numbers of at a time; places that have room in single precision.
+BLOCK, AT_ONCE, ROOM = 8192, 1 << 17, 1e15
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for rows that cost more work than their bytes tell; a number that is given is not made smaller by their bytes."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def _features(state: Column) -> Column:
@@ -40,9 +45,11 @@ def near_places(a: np.ndarray, b: np.ndarray, position: float = 1.0, rotation: f
 
     An angle is at least its chord, so a sum with chords is a lower bound of the distance; the distance to the row with the
     least bound is an upper one of the least. Rows whose bound is above it, or then whose distance is above the least by
-    more than rounding explains, are left out. Numbers that are not finite never leave a row out.
+    more than rounding explains, are left out. Bounds are in single precision, squares of lengths by products of matrices:
+    each row has a margin that is more than their errors. Numbers that are not finite, or have no room, never leave a row out.
     """
-    found, step = [], max(1, AT_ONCE // max(1, len(b)))
+    found, step, tiny = [], max(1, AT_ONCE // max(1, len(b))), float(np.finfo(np.float32).eps)
+    turn = 8 * rotation * rotation  # squared weight of a chord, times two
 
     def rest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = 0.0
@@ -51,20 +58,49 @@ def near_places(a: np.ndarray, b: np.ndarray, position: float = 1.0, rotation: f
             out = out + position * np.sqrt(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2]) + gripper * np.abs(moved[3])
         return out
 
-    def cosines(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        return [np.fmin(np.abs(sum(x[..., off + k] * y[..., off + k] for k in range(4))), 1.0) for off in (8, 12)]
+    def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        cosines = [np.fmin(np.abs(sum(x[..., off + k] * y[..., off + k] for k in range(4))), 1.0) for off in (8, 12)]
+        return rest(x, y) + sum(rotation * 2 * np.arccos(c) for c in cosines)
+
+    def weighed(x: np.ndarray, fits: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Positions, grippers and turns of both arms, and the margin of each row."""
+        x = np.where(fits[:, None], x, 0.0)
+        places = [(x[:, off : off + 3] - centre[off : off + 3]) * position for off in (0, 4)]
+        grips = [(x[:, off + 3] - centre[off + 3]) * gripper for off in (0, 4)]
+        margin = sum(4 * tiny**0.5 * np.sqrt((p * p).sum(axis=1)) for p in places) + sum(4 * tiny * np.abs(g) for g in grips)
+        return places, grips, [x[:, off : off + 4] for off in (8, 12)], margin + 4 * (tiny * turn) ** 0.5
 
     with np.errstate(all="ignore"):
+        fit_a, fit_b = ((np.abs(x) * max(1.0, position, gripper) < ROOM).all(axis=1) for x in (a, b))
+        centre = np.median(b[fit_b], axis=0) if fit_b.any() else np.zeros(16)
+        (places, grips, turns, margin), (b_places, b_grips, b_turns, b_margin) = weighed(a, fit_a), weighed(b, fit_b)
+        square = lambda p: (p * p).sum(axis=1, keepdims=True)
+        single = lambda *columns: np.ascontiguousarray(np.concatenate(columns, axis=1), dtype=np.float32)
+        ours = [single(p, square(p), np.ones((len(p), 1))) for p in places] + [single(q) for q in turns]
+        theirs = [single(-2 * p, np.ones((len(p), 1)), square(p)).T for p in b_places] + [single(turn * q).T for q in b_turns]
+        grips, b_grips, below = [g.astype(np.float32) for g in grips], [g.astype(np.float32) for g in b_grips], -b_margin.astype(np.float32)
+        held, odd = np.empty((2, step, len(b)), np.float32), not fit_b.all()
         for at in range(0, len(a), step):
-            x = a[at : at + step]
-            bound = rest(x[:, None], b[None])
-            for c in cosines(x[:, None], b[None]):
-                bound += rotation * 2 * np.sqrt(2 - 2 * c)
-            exact = lambda i, j: rest(x[i], b[j]) + sum(rotation * 2 * np.arccos(c) for c in cosines(x[i], b[j]))
-            rows = np.arange(len(x))
-            most = exact(rows, np.argmin(bound, axis=1))
-            i, j = np.nonzero(~(bound > (most * (1 + 1e-6) + 1e-6)[:, None]))
-            d = exact(i, j)
+            upto = slice(at, at + step)
+            x = a[upto]
+            bound, part = held[0, : len(x)], held[1, : len(x)]
+            bound[:] = below
+            for k in range(4):
+                np.matmul(ours[k][upto], theirs[k], out=part)
+                if k > 1:  # a chord from its cosine
+                    np.subtract(turn, np.abs(part, out=part), out=part)
+                bound += np.sqrt(np.maximum(part, 0, out=part), out=part)
+            for g, h in zip(grips, b_grips):
+                bound += np.abs(np.subtract(g[upto, None], h, out=part), out=part)
+            if odd:
+                bound[:, ~fit_b] = np.inf
+            most = exact(x, b[np.argmin(bound, axis=1)])
+            if odd:
+                bound[:, ~fit_b] = -np.inf
+            bound[~fit_a[upto]] = -np.inf
+            limit = (most * (1 + 1e-6) + 1e-6 + margin[upto]) * (1 + 1e-5)
+            i, j = np.nonzero(~(bound > limit.astype(np.float32)[:, None]))
+            d = exact(x[i], b[j])
             least = np.full(len(x), np.inf)
             np.fmin.at(least, i, d)
             kept = ~(d > least[i] * (1 + 1e-6) + 1e-6)
@@ -106,6 +142,7 @@ def nearest_candidates(losers: DataFrame, winners: DataFrame, pair: str, index:
         return pa.table([*(x[c] for c in names[:3]), *(y[c] for c in names[3:])], names=names)
 
     keys = ["_p", "_a", "_b"]
+    left, right = (df.repartition(tasks(losers), *keys) for df in (left, right))
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, ", ".join(f"{c} {kinds[c]}" for c in names))
     both = met.unionByName(plain)
     return both.select(F.col("_p").alias(pair), F.col("_i").alias(index), F.col("_t").alias(state), "_j", "_s")

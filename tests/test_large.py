@@ -81,6 +81,31 @@ def test_equal_states_are_compared_once(spark):
     assert len(met) == 200 and {r._j for r in met} == {0}
 
 
+def test_bounds_in_single_precision_lose_no_nearest_row():
+    rng = np.random.default_rng(12)
+    for scale in (1e-6, 1.0, 1e4, 1e13, 1e18):
+        a, b = rng.normal(size=(60, 16)), rng.normal(size=(300, 16))
+        for x in (a, b):
+            x[:, :8] *= scale
+            x[:, 8:12] /= np.linalg.norm(x[:, 8:12], axis=1, keepdims=True)
+            x[:, 12:] /= np.linalg.norm(x[:, 12:], axis=1, keepdims=True)
+        b[:60] = a + rng.normal(size=a.shape) * 1e-9  # nearer than single precision tells
+        b[60], b[61, :8], b[62, :8] = np.nan, 1e300, 1e15
+        moved = a[:, None] - b[None]
+        far = sum(np.sqrt((moved[..., o : o + 3] ** 2).sum(axis=-1)) + 0.2 * np.abs(moved[..., o + 3]) for o in (0, 4))
+        d = far + sum(np.arccos(np.minimum(np.abs((a[:, None, o : o + 4] * b[None, :, o : o + 4]).sum(axis=-1)), 1)) for o in (8, 12))
+        i, j = joins.near_places(a, b)
+        assert set(enumerate(np.nanargmin(d, axis=1).tolist())) <= set(zip(i.tolist(), j.tolist())) and len(i) < 4 * len(a)
+
+
+def test_bridges_of_a_pair_are_dealt_to_tasks(spark):
+    rng = np.random.default_rng(13)
+    schema = "pair int, i int, s array<double>, a array<double>"
+    losers, winners = (spark.createDataFrame([(0, i, *[[float(x) for x in rng.normal(size=16)] for _ in range(2)]) for i in range(60)], schema) for _ in range(2))
+    s = augment.augment_pairs(losers, winners, "pair", "i", "s", "a", horizon=3).where("kind = 'negative'")
+    assert s.withColumn("task", F.spark_partition_id()).groupBy("task").count().count() > 4
+
+
 def test_sample_counts_are_those_of_the_samples(spark):
     rng = np.random.default_rng(11)
     schema = "pair int, i int, s array<double>, a array<double>"
