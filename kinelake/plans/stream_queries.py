@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,15 +38,20 @@ def sizes(most: int) -> tuple[int, int]:
 
 def spooled(spark: SparkSession, rows: DataFrame, segment: int = SEGMENT) -> str:
     """A spool of (topic, seq, stamp, payload) rows, written by executors: a segment for each ``segment`` numbers of a topic."""
-    path = workspace(spark)
+    return spools(spark, rows, segment, lambda s: 0, 1)[0]
+
+
+def spools(spark: SparkSession, rows: DataFrame, segment: int, spool: Callable[[int], int], n: int) -> list[str]:
+    """``n`` spools of rows that are computed once: ``spool`` says in which of them a topic's segment of a number is."""
+    paths = [workspace(spark) for _ in range(n)]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
-        n = live.publish(path, part["topic"].iloc[0], zip(part["seq"], part["stamp"], part["payload"]), segment)
-        return pd.DataFrame({"n": [n]})
+        path = paths[spool(int(part["seq"].iloc[0]) // segment)]
+        return pd.DataFrame({"n": [live.publish(path, part["topic"].iloc[0], zip(part["seq"], part["stamp"], part["payload"]), segment)]})
 
     rows.groupBy("topic", F.expr(f"seq div {segment}").alias("s")).applyInPandas(run, "n long").agg(F.sum("n")).collect()
-    return path
+    return paths
 
 
 def messages(spark: SparkSession, sf_dir: str, topic) -> DataFrame:
@@ -86,11 +93,11 @@ def run(spark: SparkSession, writer) -> None:
 def live_messages(spark, sf_dir):
     """Topics read as a stream in two runs from one checkpoint: half of the messages come after the first run has stopped."""
     segment, batch = sizes(largest(spark, sf_dir, F.col("event_type")))
-    all_rows = messages(spark, sf_dir, F.col("event_type"))
-    path, out = spooled(spark, all_rows.where(f"seq div {segment} % 2 = 0 or seq < {2 * segment}"), segment), workspace(spark)
+    path, later = spools(spark, messages(spark, sf_dir, F.col("event_type")), segment, lambda s: int(s >= 2 and s % 2), 2)
+    out = workspace(spark)
     writer = lambda: streamed(spark, path, batch).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
     run(spark, writer())
-    live_copy(spark, spooled(spark, all_rows.where(f"seq div {segment} % 2 = 1 and seq >= {2 * segment}"), segment), path)
+    live_copy(spark, later, path)
     run(spark, writer())
     rows = spark.read.parquet(f"{out}/rows")
     return rows.select("topic", "seq", F.unix_micros("stamp").alias("us"), F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))

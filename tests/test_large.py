@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinelake.operators import augment, joins, stats
 from kinelake.plans import registry, store_queries, stream_queries
 from kinelake.sources import legacy, recordings
+from kinelake.streaming import live
 
 from .conftest import SMALL
 
@@ -81,6 +82,18 @@ def test_equal_states_are_compared_once(spark):
     assert len(met) == 200 and {r._j for r in met} == {0}
 
 
+def test_messages_of_both_runs_are_computed_once(spark, monkeypatch):
+    read, times = stream_queries.spools, []
+    monkeypatch.setattr(stream_queries, "spools", lambda *a: times.append(read(*a)) or times[-1])
+    monkeypatch.setattr(stream_queries, "SEGMENT", 20)
+    assert registry.queries()["live_messages"](spark, SMALL).count() == 1000
+    (first, later), = times  # one call for both
+    assert live.segments(later) == {} and all(s[-1][1] == sum(b - a for a, b, _ in s) for s in live.segments(first).values())
+    rows = spark.createDataFrame([("t", i, float(i), str(i)) for i in range(45)], "topic string, seq long, stamp double, payload string")
+    held = [live.segments(path)["t"] for path in read(spark, rows, 10, lambda s: s % 2, 2)]
+    assert [[(a, b) for a, b, _ in s] for s in held] == [[(0, 10), (20, 30), (40, 45)], [(10, 20), (30, 40)]]
+
+
 def test_bounds_in_single_precision_lose_no_nearest_row():
     rng = np.random.default_rng(12)
     for scale in (1e-6, 1.0, 1e4, 1e13, 1e18):
