@@ -34,11 +34,20 @@ def conversion_reason(width: Column, rotation: Column) -> Column:
 
 
 def camera_order(df: DataFrame, by: Sequence[str], camera: str, y: str) -> DataFrame:
-    """Cameras of each episode from left (largest mean y) to right; NaN is left out, cameras without a value come last."""
-    mean = F.avg(F.nanvl(F.col(y), F.lit(None).cast("double")))
-    each = df.groupBy(*by, camera).agg(mean.alias("mean_y"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.coalesce("mean_y", F.lit(float("-inf")))).alias("k"), F.col(camera).alias("c"))))
-    return each.groupBy(*by).agg(F.transform(ranked, lambda s: s["c"]).alias("cameras"))
+    """Cameras of each episode from left (largest mean y) to right; NaN is left out, cameras without a value come last.
+
+    Cameras with equal means are in the order of their names. Sums of doubles differ by the order of their rows, so means
+    are those of decimals; plain ones only for episodes with a value that has not at most 18 places, or means of 10^16 on.
+    """
+    value = F.nanvl(F.col(y), F.lit(None).cast("double"))
+    places = value.try_cast("decimal(38,18)")
+    same = F.coalesce(places.cast("double") == value, value.isNull())
+    each = df.groupBy(*by, camera).agg(F.avg(value).alias("_m"), F.try_avg(places).alias("_d"), F.bool_and(same).alias("_e"))
+    exact = F.bool_and(F.col("_e") & (F.col("_m").isNull() | F.col("_d").isNotNull()))
+    found = F.collect_list(F.struct(F.col("_m").isNull().alias("none"), (-F.col("_d")).alias("d"), (-F.col("_m")).alias("m"), F.col(camera).alias("c")))
+    grouped = each.groupBy(*by).agg(found.alias("_f"), exact.alias("_x"))
+    keys = F.transform("_f", lambda s: F.struct(s["none"].alias("none"), F.when(F.col("_x"), s["d"]).alias("d"), F.when(~F.col("_x"), s["m"]).alias("m"), s["c"].alias("c")))
+    return grouped.select(*by, F.transform(F.array_sort(keys), lambda s: s["c"]).alias("cameras"))
 
 
 def step_timing(df: DataFrame, stage: str, seconds: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import augment, joins, stats
+from kinelake.operators import augment, convert, joins, stats
 from kinelake.plans import registry, store_queries, stream_queries
 from kinelake.sources import legacy, recordings
 from kinelake.streaming import live
@@ -94,6 +94,22 @@ def test_messages_of_both_runs_are_computed_once(spark, monkeypatch):
     assert [[(a, b) for a, b, _ in s] for s in held] == [[(0, 10), (20, 30), (40, 45)], [(10, 20), (30, 40)]]
 
 
+def test_cameras_with_equal_means_are_in_the_order_of_their_names(spark):
+    inf, nan = float("inf"), float("nan")
+    heard = {
+        1: {"a": [0.3, 0.2, 0.1], "b": [0.1, 0.2, 0.3], "c": [0.2]},  # sums of doubles: a least
+        2: {"a": [0.1] * 3, "b": [0.1] * 10, "c": [0.1], "d": [None], "e": [nan, 0.2]},
+        3: {"a": [1.0], "b": [inf], "c": [1e300], "d": [nan]},
+        4: {"a": [1e-30], "b": [2e-30], "c": [-1.0]},
+        5: {"b": [nan], "a": [None], "c": [-1e17], "d": [-9e16]},
+    }
+    rows = [(e, c, y) for e, cameras in heard.items() for c, ys in cameras.items() for y in ys]
+    want = {1: "abc", 2: "eabcd", 3: "bcad", 4: "bac", 5: "dcab"}
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "e int, c string, y double").coalesce(1)
+        assert {r.e: "".join(r.cameras) for r in convert.camera_order(df, ["e"], "c", "y").collect()} == want
+
+
 def test_bounds_in_single_precision_lose_no_nearest_row():
     rng = np.random.default_rng(12)
     for scale in (1e-6, 1.0, 1e4, 1e13, 1e18):
